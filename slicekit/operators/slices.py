@@ -129,7 +129,8 @@ def accuracy_by_phenomenon(flat: DataFrame, cfg: EvalConfig, condition: str = OP
     """
     x = _phenomenon_counts(flat, cfg, condition)
     w = Window.partitionBy("dataset", "phenomenon")
-    x = x.filter((F.sum("n_with").over(w) > 0) & (F.sum("n_without").over(w) > 0))
+    x = (x.withColumn("_tw", F.sum("n_with").over(w)).withColumn("_tn", F.sum("n_without").over(w))
+          .filter((F.col("_tw") > 0) & (F.col("_tn") > 0)))
     aw = pct1(F.col("k_with"), F.col("n_with"))
     ao = pct1(F.col("k_without"), F.col("n_without"))
     x = x.select("lang", "dataset", "phenomenon", "model",

@@ -247,6 +247,9 @@ def with_views(body: str, *names: str) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
+    b = body.lstrip()
+    if b[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{b[5:]}"
     return f"WITH {ctes}\n{body}"
 
 
@@ -256,3 +259,19 @@ def register_sql(name: str, sql: str, deps: tuple[str, ...] = ()) -> None:
 
 
 CONFIG: EvalConfig = FIXTURE
+
+# Vocabulary spelled for the oracle SQL
+PH = ("newline", "pipe", "email", "long")
+PARA = ("literal_match", "paraphrase", "requires_inference")
+DOM = ("local_history", "local_geography", "general")
+LANGS_SQL = "('de','en','es','fr')"
+
+
+def sql_values(col: str, vals) -> str:
+    """A one-column VALUES table."""
+    return "(SELECT * FROM (VALUES " + ",".join(f"('{v}')" for v in vals) + f") AS t({col}))"
+
+
+def sql_has(ph: str = "phenomenon") -> str:
+    """The boolean of phenomenon column ``ph`` from the t_* flags."""
+    return "CASE " + ph + " " + " ".join(f"WHEN '{p}' THEN t_{p}" for p in PH) + " END"
