@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import qa_reports  # noqa: F401
+from . import mt_reports, qa_reports  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
