@@ -61,3 +61,14 @@ def locate_fn(rec: dict) -> dict:
     return {"gold": gold, "span_found": rec["doc_id"] % 4 != 0}
 
 
+
+
+def rule_tag_fn(rec: dict) -> dict:
+    """A tagger stand-in: tags from surface patterns; fails on ids ending in 9."""
+    import json
+    if rec["id"].endswith("9"):
+        raise ValueError("tagger returned no JSON")
+    t = rec["context"] or ""
+    ph = [p for p, hit in (("newline", "\n" in t), ("pipe", " | " in t), ("email", "@" in t),
+                           ("long", len(t) > 1500)) if hit]
+    return {"tags_json": json.dumps({"linguistic_phenomena": ph})}
