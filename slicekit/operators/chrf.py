@@ -5,7 +5,8 @@ Plan shape (per sentence pair, keyed by ``keys``):
 1. drop pairs with an empty/missing hypothesis (they are not scored);
 2. remove all whitespace from both texts;
 3. hash-partition the *texts* by the pair key -- the only shuffle;
-4. explode every character n-gram (n = 1..order) of both sides;
+4. explode every character n-gram (n = 1..order) of both sides (one
+   look-ahead regex pass per order, linear in the text length);
 5. count per (pair, n, gram) and side, ``least`` gives the clipped matches;
 6. sum per (pair, n), then one row per pair with the six precisions/recalls
    in fixed positions (so the float sums are order-deterministic).
@@ -27,32 +28,48 @@ CHAR_ORDER = 6
 BETA = 2
 
 
-def _gram_at(text: Column, n: int):
-    # a one-argument lambda: ``transform`` reads a two-argument one as (x, index)
-    return lambda i: F.struct(F.lit(n).alias("n"), F.substring(text, i, F.lit(n)).alias("g"))
+def _grams(text: Column, order: int) -> Column:
+    """array<struct<n int, gs array<string>>>: all char n-grams, n = 1..order.
 
+    One zero-width look-ahead regex per order, ``(?=(.{n}))``, yields every
+    overlapping n-gram in a single linear pass over the text (``.`` is one
+    code point, as Python slicing).  ``substring(text, i, n)`` per position
+    would cost O(length) per call on UTF-8 -- quadratic per text.
+    """
+    return F.array(*[F.struct(F.lit(n).alias("n"),
+                              F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)).alias("gs"))
+                     for n in range(1, order + 1)])
 
-def _grams(text: Column, order: int) -> Column:
-    """array<struct<n int, g string>> of all char n-grams, n = 1..order."""
-    parts = []
-    for n in range(1, order + 1):
-        # ``sequence(1, 0)`` counts down, so guard texts shorter than n
-        pos = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)) \
-               .otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(pos, _gram_at(text, n)))
-    return F.flatten(F.array(*parts))
+
+def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    if num_partitions:
+        return int(num_partitions)
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def chrf_stats(pairs: DataFrame, keys: list[str], hyp: str = "hyp", ref: str = "ref",
-               order: int = CHAR_ORDER, repartition: bool = True) -> DataFrame:
-    """Per (pair, n): hyp count (0 if the reference has no n-grams), ref count, matches."""
+               order: int = CHAR_ORDER, repartition: bool = True,
+               num_partitions: int | None = None) -> DataFrame:
+    """Per (pair, n): hyp count (0 if the reference has no n-grams), ref count, matches.
+
+    The texts are hash-partitioned by pair key into an explicit number of
+    partitions: the shuffled texts are small next to the n-gram work they
+    expand into (~order x length rows), and AQE would otherwise coalesce them
+    into a handful of tasks by their byte size.
+    """
     p = pairs.filter(F.col(hyp).isNotNull() & (F.length(hyp) > 0)).select(
         *keys, remove_whitespace(hyp).alias("_h"), remove_whitespace(ref).alias("_r"))
     if repartition:
-        p = p.repartition(*keys)
-    sides = F.array(F.struct(F.lit(True).alias("is_h"), _grams(F.col("_h"), order).alias("gs")),
-                    F.struct(F.lit(False).alias("is_h"), _grams(F.coalesce(F.col("_r"), F.lit("")), order).alias("gs")))
-    x = p.select(*keys, F.inline(sides)).select(*keys, "is_h", F.inline("gs"))
+        p = p.repartition(_partitions(pairs, num_partitions), *keys)
+    # a sentinel order 0 on the hypothesis side gives every pair a row, even one
+    # whose texts yield no n-gram at all (it never counts as an effective order)
+    sentinel = F.struct(F.lit(0).alias("n"), F.array(F.lit("")).alias("gs"))
+    h_side = F.struct(F.lit(True).alias("is_h"),
+                      F.concat(F.array(sentinel), _grams(F.col("_h"), order)).alias("ng"))
+    r_side = F.struct(F.lit(False).alias("is_h"), _grams(F.coalesce(F.col("_r"), F.lit("")), order).alias("ng"))
+    x = (p.select(*keys, F.inline(F.array(h_side, r_side)))
+          .select(*keys, "is_h", F.inline("ng"))
+          .select(*keys, "is_h", "n", F.explode("gs").alias("g")))
     per_gram = x.groupBy(*keys, "n", "g").agg(F.count_if("is_h").alias("hc"), F.count_if(~F.col("is_h")).alias("rc"))
     per_n = per_gram.groupBy(*keys, "n").agg(F.sum("hc").alias("h"), F.sum("rc").alias("r"),
                                               F.sum(F.least("hc", "rc")).alias("m"))
@@ -61,13 +78,13 @@ def chrf_stats(pairs: DataFrame, keys: list[str], hyp: str = "hyp", ref: str = "
 
 def chrf_sentence(pairs: DataFrame, keys: list[str], hyp: str = "hyp", ref: str = "ref",
                   order: int = CHAR_ORDER, beta: float = BETA, out: str = "chrf",
-                  repartition: bool = True) -> DataFrame:
+                  repartition: bool = True, num_partitions: int | None = None) -> DataFrame:
     """One chrF score (0-100) per pair with a non-empty hypothesis.
 
     Precision and recall are averaged over the *effective* orders (both sides
     have n-grams), then combined as F-beta.  No effective order -> 0.0.
     """
-    st = chrf_stats(pairs, keys, hyp, ref, order, repartition)
+    st = chrf_stats(pairs, keys, hyp, ref, order, repartition, num_partitions)
     prec = F.when(F.col("h") > 0, F.col("m") / F.col("h")).otherwise(F.lit(0.0))
     rec = F.when(F.col("r") > 0, F.col("m") / F.col("r")).otherwise(F.lit(0.0))
     eff = (F.col("h") > 0) & (F.col("r") > 0)
@@ -86,12 +103,7 @@ def chrf_sentence(pairs: DataFrame, keys: list[str], hyp: str = "hyp", ref: str
     R = F.when(F.col("eff") > 0, qsum / F.col("eff")).otherwise(F.lit(0.0))
     f = float(beta) ** 2
     score = F.when(P + R > 0, F.lit(100.0) * ((F.lit(1.0 + f) * P * R) / (F.lit(f) * P + R))).otherwise(F.lit(0.0))
-    scored = per_pair.select(*keys, score.alias(out))
-    # a pair whose texts yield no n-gram at all has no stats row: score 0
-    base = pairs.filter(F.col(hyp).isNotNull() & (F.length(hyp) > 0)).select(*keys)
-    if repartition:
-        base = base.repartition(*keys)
-    return base.join(scored, keys, "left").select(*keys, F.coalesce(F.col(out), F.lit(0.0)).alias(out))
+    return per_pair.select(*keys, score.alias(out))
 
 
 def chrf_corpus(scored: DataFrame, group_cols: list[str], col: str = "chrf") -> DataFrame:
