@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.tags import mt_phenomena
+from ..session import checkpoint_root
 from .jobs import new_candidates
 
 # Sentinels for thresholds: md5 hex digests sort strictly between them.
@@ -78,7 +79,8 @@ def bucket_counts(items: DataFrame, buckets_df: DataFrame) -> DataFrame:
 
 
 def quota_sample(candidates: DataFrame, existing: DataFrame, buckets: dict[str, tuple[tuple[str, ...], tuple[str, ...]]],
-                 quota: int, spark: SparkSession, batch_size: int = 32, seed: int = 42) -> DataFrame:
+                 quota: int, spark: SparkSession, batch_size: int = 32, seed: int = 42,
+                 materialize: bool = True) -> DataFrame:
     """Fill (lang, phenomenon) buckets to ``quota`` from shuffled candidates.
 
     Semantics of the sequential loop it replaces: candidates are visited in
@@ -100,6 +102,11 @@ def quota_sample(candidates: DataFrame, existing: DataFrame, buckets: dict[str,
     ``buckets[lang] = (required_tags, bonus_tags)``; ``candidates`` and
     ``existing`` are ``(id, lang, tags)`` frames.  Returns the accepted rows
     of ``candidates`` plus their order key ``_k``.
+
+    The candidate set is scanned four times (tag occurrences, positions, the
+    batch closer, acceptance); with ``materialize`` it is written once to the
+    shared checkpoint folder (a reliable ``checkpoint``, which also survives
+    executor loss) instead of being recomputed from its sources each time.
     """
     q, B = int(quota), int(batch_size)
     bdf = _buckets_df(spark, buckets)
@@ -107,6 +114,9 @@ def quota_sample(candidates: DataFrame, existing: DataFrame, buckets: dict[str,
     # bootstrap: occurrences already in the cache
     need = bucket_counts(existing, req).select("lang", "phenomenon", (F.lit(q) - F.col("n")).alias("need"))
     cand = new_candidates(candidates, existing).withColumn("_k", order_key(seed, "id"))
+    if materialize:
+        checkpoint_root(spark)
+        cand = cand.checkpoint(eager=True)
     pos_key = F.struct(F.col("_k"), F.col("id"))
 
     # thresholds of the buckets that still need items: the need-th occurrence

@@ -152,9 +152,8 @@ def _sql_prompt() -> str:
 @query("render_prompts", with_views(f"""
 SELECT i.id, c.condition, {_sql_prompt()} AS prompt FROM items i CROSS JOIN conditions c""", "items", "conditions"))
 def q_render_prompts(spark, sf_dir):
-    jobs = J.expand_jobs(fx.items(spark, sf_dir), CFG).dropDuplicates(["id", "condition"])
-    it = fx.items(spark, sf_dir).select("id", "question", "context")
-    x = jobs.select("id", "lang", "condition").join(it, "id")
+    it = fx.items(spark, sf_dir)
+    x = it.select("id", "lang", "question", "context", F.explode(CFG.conditions_of("dataset")).alias("condition"))
     return P.render_prompts(x, TEMPLATES).select("id", "condition", "prompt")
 
 
