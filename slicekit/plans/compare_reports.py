@@ -20,9 +20,10 @@ QUOTA, BATCH = 8, 32
 BUCKETS = {s.lang: (s.required, s.bonus) for s in CFG.langs}
 
 
+@fx.memo_plan
 def _flat(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    return R.flatten_all(fx.cells(spark, sf_dir, it), it, CFG)
+    return R.flatten_all(fx.cells(spark, sf_dir), it, CFG)
 
 
 # -- N1 / N2 / N3 -----------------------------------------------------------------------
@@ -152,7 +153,7 @@ HAVING count(DISTINCT model) = 4 AND bool_and(correct = 0)""", ("cells",))
 @query("gold_audit", with_views("SELECT * FROM audit", "audit"))
 def q_gold_audit(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    return X.gold_audit(fx.cells(spark, sf_dir, it), CFG, condition="closedbook")
+    return X.gold_audit(fx.cells(spark, sf_dir), CFG, condition="closedbook")
 
 
 @query("exclude_bad_gold", with_views("""
@@ -161,7 +162,7 @@ SELECT dataset, condition, model, CAST(count(*) AS BIGINT) AS n,
 FROM scored WHERE id NOT IN (SELECT id FROM audit) GROUP BY ALL""", "scored", "audit"))
 def q_exclude_bad_gold(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    cells = fx.cells(spark, sf_dir, it)
+    cells = fx.cells(spark, sf_dir)
     bad = X.gold_audit(cells, CFG, condition="closedbook").select("id")
     flat = R.flatten_all(P.exclude_ids(cells, bad), it, CFG)
     return S.accuracy_by_benchmark(flat, CFG, ordered=False)

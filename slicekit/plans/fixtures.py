@@ -19,6 +19,27 @@ FIX_RULES = (("newline", "\n"), ("pipe", " | "), ("email", "@"))
 LONG_CHARS = 1500
 
 
+_PLANS: dict = {}
+
+
+def memo_plan(fn):
+    """Reuse the (immutable, lazy) DataFrame a view builder returns for the
+    same session and table folder: building a plan costs thousands of
+    driver <-> JVM calls, and many queries share the same views.  Only plan
+    objects are kept -- no data is cached."""
+    def wrapped(spark, sf_dir, *args):
+        if args and any(a is not None for a in args):
+            return fn(spark, sf_dir, *args)
+        key = (fn.__module__, fn.__qualname__, id(spark), sf_dir.rstrip("/"))
+        hit = _PLANS.get(key)
+        if hit is None or hit[0] is not spark:
+            hit = (spark, fn(spark, sf_dir))
+            _PLANS[key] = hit
+        return hit[1]
+    wrapped.__name__, wrapped.__doc__, wrapped.__qualname__ = fn.__name__, fn.__doc__, fn.__qualname__
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -34,6 +55,7 @@ def _phenomena(text: str = "text", n_chars=None):
     return F.filter(arr, lambda x: x.isNotNull())
 
 
+@memo_plan
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QA items: one per document; tagged iff the document has a label row."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
@@ -65,6 +87,7 @@ def _model_cond_array():
                      for mi, m, po, pc in FIX_MODELS for ci, c in FIX_CONDITIONS])
 
 
+@memo_plan
 def cells(spark: SparkSession, sf_dir: str, it: DataFrame | None = None) -> DataFrame:
     """Long (item, model, condition) results; 5 % absent, ~3 % unjudged.
 
@@ -91,6 +114,7 @@ def cells(spark: SparkSession, sf_dir: str, it: DataFrame | None = None) -> Data
     )
 
 
+@memo_plan
 def mt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     lang = F.when(F.col("item_id") % 3 == 0, "de").when(F.col("item_id") % 3 == 1, "en").otherwise("fr")
@@ -99,6 +123,7 @@ def mt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.struct(_phenomena("text").alias("linguistic_phenomena")).alias("tags"))
 
 
+@memo_plan
 def translations(spark: SparkSession, sf_dir: str, mi: DataFrame | None = None) -> DataFrame:
     """(id, model, hyp): four synthetic systems of falling quality."""
     mi = mi if mi is not None else mt_items(spark, sf_dir)
@@ -112,12 +137,14 @@ def translations(spark: SparkSession, sf_dir: str, mi: DataFrame | None = None)
                     F.col("m.mi").alias("mi"), hyp.alias("hyp"))
 
 
+@memo_plan
 def mt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     mi = mt_items(spark, sf_dir)
-    tr = translations(spark, sf_dir, mi)
+    tr = translations(spark, sf_dir)
     return tr.join(mi.select("id", "ref", "tags"), "id")
 
 
+@memo_plan
 def parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return (c.filter(F.col("role").isin("user", "assistant"))
@@ -125,6 +152,7 @@ def parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "conv_id", "turn", "role", "text"))
 
 
+@memo_plan
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.col("event_id") % 5
@@ -136,6 +164,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "event_type", "value", reply.alias("reply"))
 
 
+@memo_plan
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge-style replies: JSON verdict objects in the same five wrappings."""
     e = table(spark, sf_dir, "events")

@@ -16,6 +16,7 @@ from .registry import query
 MT_LANGS_SQL = "('de','en','fr')"
 
 
+@fx.memo_plan
 def mt_scores(spark, sf_dir):
     """Wide (id, model, chrf, comet, adequacy, fluency) for the fixture systems.
 
@@ -38,6 +39,7 @@ def mt_scores(spark, sf_dir):
                     F.when(k != 11, flu).alias("fluency"))
 
 
+@fx.memo_plan
 def mt_flat(spark, sf_dir):
     return R.flatten_mt(fx.mt_items(spark, sf_dir), mt_scores(spark, sf_dir), CFG)
 
@@ -167,6 +169,7 @@ FROM (SELECT lang, phenomenon, model, CAST(count_if(has) AS BIGINT) AS n_with,
 _PT_OUT = ", ".join(f"round({m}_{s}, 6) AS {m}_{s}" for m in _METRICS for s in ("with", "without", "delta"))
 
 
+@fx.memo_plan
 def _per_tag(spark, sf_dir):
     return M.per_tag(mt_flat(spark, sf_dir), CFG)
 

@@ -43,7 +43,7 @@ WHERE NOT EXISTS (SELECT 1 FROM cells x WHERE x.id = i.id AND x.model = m.model
 
 def _pending_infer(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    todo = J.pending_infer(it, fx.cells(spark, sf_dir, it), CFG)
+    todo = J.pending_infer(it, fx.cells(spark, sf_dir), CFG)
     return todo.join(it.select("id", "question"), "id")
 
 
@@ -55,7 +55,7 @@ def q_pending_infer(spark, sf_dir):
 @query("pending_judge", with_views("SELECT id, model, condition FROM cells WHERE correct IS NULL", "cells"))
 def q_pending_judge(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    return J.pending_judge(fx.cells(spark, sf_dir, it), CFG.datasets).select("id", "model", "condition")
+    return J.pending_judge(fx.cells(spark, sf_dir), CFG.datasets).select("id", "model", "condition")
 
 
 @query("pending_tag", with_views("SELECT id FROM items WHERE NOT tagged", "items"))
@@ -131,8 +131,8 @@ SELECT id, model, condition, prediction,
 FROM cells""", "cells"))
 def q_upsert_cells(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    cells = fx.cells(spark, sf_dir, it).drop("lang", "dataset")
-    merged = J.upsert(cells, _judged(fx.cells(spark, sf_dir, it)), _KEY,
+    cells = fx.cells(spark, sf_dir).drop("lang", "dataset")
+    merged = J.upsert(cells, _judged(fx.cells(spark, sf_dir)), _KEY,
                       ["prediction", "verdict", "reason", "correct"])
     return merged.select(*_KEY, "prediction", "verdict", "correct", "status", "error")
 

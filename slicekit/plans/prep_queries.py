@@ -191,7 +191,7 @@ FROM items i LEFT JOIN (SELECT * FROM cells WHERE condition = 'openbook') c ON c
                                      "items", "cells"))
 def q_classify_models(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    s = R.slim_items(it, fx.cells(spark, sf_dir, it), CFG)
+    s = R.slim_items(it, fx.cells(spark, sf_dir), CFG)
     return s.select("id", F.array_join("correct_models", ",").alias("correct_models"),
                     F.array_join("wrong_models", ",").alias("wrong_models"), "n_correct", "n_wrong")
 
@@ -276,7 +276,7 @@ SELECT i.id, CAST(count(DISTINCT c.model) AS INTEGER) AS n_models, CAST(count(c.
 FROM items i LEFT JOIN cells c ON c.id = i.id GROUP BY i.id""", "items", "cells"))
 def q_nest_results(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    nested = R.nest_results(it, fx.cells(spark, sf_dir, it))
+    nested = R.nest_results(it, fx.cells(spark, sf_dir))
     n_cells = F.aggregate(F.map_values("predictions"), F.lit(0).cast("bigint"), lambda acc, m: acc + F.size(m))
     return nested.select("id", F.coalesce(F.size("predictions"), F.lit(0)).alias("n_models"),
                          F.coalesce(n_cells, F.lit(0).cast("bigint")).alias("n_cells"))
@@ -293,7 +293,7 @@ SELECT id, model, condition, correct = 1 AS correct, prediction FROM cells""", "
 def q_read_items_jsonl(spark, sf_dir):
     """Nested records -> JSON lines (S4) -> read back with the schema (S1) -> long cells."""
     it = fx.items(spark, sf_dir)
-    nested = R.nest_results(it.drop("doc_id"), fx.cells(spark, sf_dir, it))
+    nested = R.nest_results(it.drop("doc_id"), fx.cells(spark, sf_dir))
     path = IO.write_items_jsonl(nested, scratch_path(spark, "results-jsonl"))
     back = IO.read_items_jsonl(spark, path, RESULT_SCHEMA)
     per_model = back.select("id", F.explode("predictions").alias("model", "by_cond"))
@@ -321,7 +321,7 @@ WHERE i.t_newline AND ((i.dataset LIKE '%\\_native' ESCAPE '\\' AND p.n_wrong >
 GROUP BY ALL""", "items", "cells"))
 def q_write_inspection(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    slim = R.slim_items(it, fx.cells(spark, sf_dir, it), CFG)
+    slim = R.slim_items(it, fx.cells(spark, sf_dir), CFG)
     slim = slim.filter(has_tag(qa_phenomena("tags"), "newline")).withColumn("role", CFG.dataset_role("dataset"))
     sel = slim.filter(((F.col("role") == "native") & (F.col("n_wrong") > 0))
                       | ((F.col("role") == "translated") & (F.col("n_correct") > 0)))
@@ -348,7 +348,7 @@ def _s6_sql() -> str:
 @query("report_tables", _s6_sql())
 def q_report_tables(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    flat = R.flatten_all(fx.cells(spark, sf_dir, it), it, CFG)
+    flat = R.flatten_all(fx.cells(spark, sf_dir), it, CFG)
     a1 = S.accuracy_by_benchmark(flat, CFG, ordered=False)
     cov = S.coverage(it, CFG)
     return SK.report_tables({"accuracy": (a1, ["dataset", "condition", "model"]),

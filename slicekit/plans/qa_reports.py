@@ -12,9 +12,10 @@ from .fixtures import with_views
 from .registry import query
 
 
+@fx.memo_plan
 def _flat(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    return R.flatten_all(fx.cells(spark, sf_dir, it), it, CFG)
+    return R.flatten_all(fx.cells(spark, sf_dir), it, CFG)
 
 
 # -- R1 -----------------------------------------------------------------------
@@ -26,7 +27,7 @@ SELECT id, lang, dataset, model, condition, CAST(correct AS INTEGER) AS correct,
 FROM scored WHERE lang = 'en'""", "scored"))
 def q_flatten_qa(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    flat = R.flatten_qa(fx.cells(spark, sf_dir, it), it, CFG, lang="en")
+    flat = R.flatten_qa(fx.cells(spark, sf_dir), it, CFG, lang="en")
     return flat.withColumn("phenomena", F.array_join("phenomena", ","))
 
 
@@ -73,6 +74,7 @@ SELECT lang, dataset, facet, value, count, n, CAST(count AS DOUBLE) * 100 / n AS
 FROM ({_COV_LONG}) u""", ("coverage",))
 
 
+@fx.memo_plan
 def _cov(spark, sf_dir):
     return S.coverage(fx.items(spark, sf_dir), CFG)
 
@@ -270,7 +272,7 @@ WHERE i.t_newline
 GROUP BY i.lang""", "items", "cells"))
 def q_inspection_counts(spark, sf_dir):
     it = fx.items(spark, sf_dir)
-    return S.inspection_counts(it, fx.cells(spark, sf_dir, it), CFG, "newline")
+    return S.inspection_counts(it, fx.cells(spark, sf_dir), CFG, "newline")
 
 
 @query("present_langs", with_views(f"""
