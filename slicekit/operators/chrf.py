@@ -5,8 +5,9 @@ Plan shape (per sentence pair, keyed by ``keys``):
 1. drop pairs with an empty/missing hypothesis (they are not scored);
 2. remove all whitespace from both texts;
 3. hash-partition the *texts* by the pair key -- the only shuffle;
-4. explode every character n-gram (n = 1..order) of both sides (one
-   look-ahead regex pass per order, linear in the text length);
+4. explode every character n-gram (n = 1..order) of both sides: one
+   look-ahead regex pass per text yields each position's window of up to
+   ``order`` characters, whose prefixes are the n-grams (linear in length);
 5. count per (pair, n, gram) and side, ``least`` gives the clipped matches;
 6. sum per (pair, n), then one row per pair with the six precisions/recalls
    in fixed positions (so the float sums are order-deterministic).
@@ -28,17 +29,16 @@ CHAR_ORDER = 6
 BETA = 2
 
 
-def _grams(text: Column, order: int) -> Column:
-    """array<struct<n int, gs array<string>>>: all char n-grams, n = 1..order.
+def _windows(text: Column, order: int) -> Column:
+    """Every position's look-ahead window of up to ``order`` characters.
 
-    One zero-width look-ahead regex per order, ``(?=(.{n}))``, yields every
-    overlapping n-gram in a single linear pass over the text (``.`` is one
-    code point, as Python slicing).  ``substring(text, i, n)`` per position
-    would cost O(length) per call on UTF-8 -- quadratic per text.
+    One zero-width look-ahead regex, ``(?=(.{1,order}))``, matches at every
+    position in a single linear pass (``.`` is one code point, as Python
+    slicing); the n-grams of the text are the length-n prefixes of these
+    windows.  ``substring(text, i, n)`` per position would cost O(length) per
+    call on UTF-8 -- quadratic per text.
     """
-    return F.array(*[F.struct(F.lit(n).alias("n"),
-                              F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)).alias("gs"))
-                     for n in range(1, order + 1)])
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{order}}}))"), F.lit(1))
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -61,15 +61,19 @@ def chrf_stats(pairs: DataFrame, keys: list[str], hyp: str = "hyp", ref: str = "
         *keys, remove_whitespace(hyp).alias("_h"), remove_whitespace(ref).alias("_r"))
     if repartition:
         p = p.repartition(_partitions(pairs, num_partitions), *keys)
-    # a sentinel order 0 on the hypothesis side gives every pair a row, even one
-    # whose texts yield no n-gram at all (it never counts as an effective order)
-    sentinel = F.struct(F.lit(0).alias("n"), F.array(F.lit("")).alias("gs"))
-    h_side = F.struct(F.lit(True).alias("is_h"),
-                      F.concat(F.array(sentinel), _grams(F.col("_h"), order)).alias("ng"))
-    r_side = F.struct(F.lit(False).alias("is_h"), _grams(F.coalesce(F.col("_r"), F.lit("")), order).alias("ng"))
-    x = (p.select(*keys, F.inline(F.array(h_side, r_side)))
-          .select(*keys, "is_h", F.inline("ng"))
-          .select(*keys, "is_h", "n", F.explode("gs").alias("g")))
+    # The hypothesis side gets one sentinel window '' (order 0) so every pair
+    # keeps a row even when its texts yield no n-gram at all; order 0 never
+    # counts as an effective order because the reference side has none.
+    sides = F.array(
+        F.struct(F.lit(True).alias("is_h"), F.concat(F.array(F.lit("")), _windows(F.col("_h"), order)).alias("ws")),
+        F.struct(F.lit(False).alias("is_h"), _windows(F.coalesce(F.col("_r"), F.lit("")), order).alias("ws")))
+    w = F.col("_w")
+    prefixes = F.array(F.struct(F.when(w == "", F.lit(0)).alias("n"), F.lit("").alias("g")),
+                       *[F.struct(F.lit(n).alias("n"), F.substring(w, 1, n).alias("g")) for n in range(1, order + 1)])
+    x = (p.select(*keys, F.inline(sides))
+          .select(*keys, "is_h", F.explode("ws").alias("_w"))
+          .select(*keys, "is_h", F.inline(prefixes))
+          .filter(F.length("g") == F.col("n")))
     per_gram = x.groupBy(*keys, "n", "g").agg(F.count_if("is_h").alias("hc"), F.count_if(~F.col("is_h")).alias("rc"))
     per_n = per_gram.groupBy(*keys, "n").agg(F.sum("hc").alias("h"), F.sum("rc").alias("r"),
                                               F.sum(F.least("hc", "rc")).alias("m"))
