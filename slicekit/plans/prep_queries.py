@@ -373,3 +373,23 @@ def q_stage_checkpoint(spark, sf_dir):
     return final.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"),
                                         F.count_if(F.col("tags_json").isNotNull()).alias("n_tagged"),
                                         F.count_if(F.col("status") == "error").alias("n_failed"))
+
+
+# -- R10 ---------------------------------------------------------------------------------------------------
+@query("slim_items", with_views(f"""
+SELECT i.id, i.dataset, i.lang, i.gold,
+ CAST(count(c.model) AS INTEGER) AS n_entries,
+ coalesce(string_agg(c.model || '=' || coalesce(c.verdict, '-'), ',' ORDER BY {_ORD}), '') AS verdicts,
+ CAST(count_if(c.correct = 1) AS INTEGER) AS n_correct, CAST(count_if(c.correct = 0) AS INTEGER) AS n_wrong
+FROM items i LEFT JOIN (SELECT c.*, CASE WHEN correct = 1 THEN 'correct' WHEN correct = 0 THEN 'incorrect' END AS verdict
+                        FROM cells c WHERE condition = 'openbook') c ON c.id = i.id
+GROUP BY i.id, i.dataset, i.lang, i.gold""", "items", "cells"))
+def q_slim_items(spark, sf_dir):
+    """Inspection records: every model's open-book entry plus the tri-state split."""
+    it = fx.items(spark, sf_dir)
+    s = R.slim_items(it, fx.cells(spark, sf_dir), CFG)
+    entries = F.coalesce(F.col("openbook"), F.array())
+    verdicts = F.array_join(F.transform(entries, lambda e: F.concat(e["model"], F.lit("="),
+                                                                     F.coalesce(e["verdict"], F.lit("-")))), ",")
+    return s.select("id", "dataset", "lang", "gold", F.coalesce(F.size("openbook"), F.lit(0)).alias("n_entries"),
+                    verdicts.alias("verdicts"), "n_correct", "n_wrong")
