@@ -86,7 +86,11 @@ def pearson_r(df: DataFrame, x: str, y: str, group_cols: tuple[str, ...] = (), w
     sub = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     g = (sub.groupBy(*group_cols) if group_cols else sub.groupBy()).agg(
         F.count(F.lit(1)).alias("n"), pearson(x, y).alias("r"))
-    return g.withColumn("p", pearson_p("r", "n")) if with_p else g
+    if not with_p:
+        return g
+    from ..session import ship_package
+    ship_package(df.sparkSession)
+    return g.withColumn("p", pearson_p("r", "n"))
 
 
 def metric_agreement(flat: DataFrame, metrics: tuple[str, ...] = MT_METRICS, min_rows: int = 5) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 RowFn = Callable[[dict], dict]
 BatchFn = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -67,6 +69,7 @@ def enrich_missing(work: DataFrame, fn: RowFn, out_schema: T.StructType | str, k
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[f.name for f in res_schema.fields])
 
+    ship_package(work.sparkSession)
     w = work.repartition(parallelism) if parallelism else work
     return w.mapInPandas(run, res_schema)
 
@@ -112,6 +115,7 @@ def score_batches(work: DataFrame, scorer: BatchFn, out_schema: T.StructType | s
                             o["status"], o["error"] = "error", _err(e)
                             yield o[cols]
 
+    ship_package(work.sparkSession)
     return work.mapInPandas(run, res_schema)
 
 

@@ -55,3 +55,26 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the checkpoint root."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``slicekit`` importable in the Python workers (once per context).
+
+    User functions and helpers are pickled by reference, so every executor
+    needs the package; ``addPyFile`` distributes a zip of it through Spark.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    import slicekit
+    root = os.path.dirname(os.path.dirname(os.path.abspath(slicekit.__file__)))
+    out = tempfile.mkdtemp(prefix="slicekit-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "slicekit"), "zip", root_dir=root, base_dir="slicekit")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
