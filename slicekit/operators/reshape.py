@@ -16,25 +16,35 @@ from ..functions.tags import mt_phenomena, qa_phenomena
 # ---------------------------------------------------------------------------
 # Flatten QA results
 # ---------------------------------------------------------------------------
-def flatten_qa(cells: DataFrame, items: DataFrame, cfg: EvalConfig, lang: str | None = None,
+def flatten_qa(cells: DataFrame, items: DataFrame | None, cfg: EvalConfig, lang: str | None = None,
                exclude_ids: tuple[str, ...] | None = None) -> DataFrame:
     """One row per judged (item, model, condition): correct as 0/1 plus the
     item's tags (missing tags -> empty phenomenon list, null classes).
 
-    Only configured models; cells without a verdict are dropped.  The join to
-    ``items`` is an equi-join on the unique item id (no skew possible); AQE
-    turns it into a broadcast when ``items`` is small.
+    Only configured models; cells without a verdict are dropped.  If ``cells``
+    already carries ``lang, dataset, tags`` (denormalised when the stage
+    table was written -- the layout to use at scale), no join is planned and
+    ``items`` may be None.  Otherwise the join to ``items`` is an equi-join on
+    the unique item id (no key skew possible; AQE broadcasts a small side).
     """
     c = cells.filter(F.col("correct").isNotNull() & F.col("model").isin(*cfg.models))
-    it = items.select("id", "lang", "dataset", "tags")
-    if lang is not None:
-        c = c.filter(F.col("lang") == lang) if "lang" in cells.columns else c
-        it = it.filter(F.col("lang") == lang)
     bad = exclude_ids if exclude_ids is not None else cfg.bad_gold_ids
     if bad:
         c = c.filter(~F.col("id").isin(*bad))
-    c = c.select("id", "model", "condition", F.col("correct").cast("int").alias("correct"))
-    return c.join(it, "id").select(
+    denorm = all(k in cells.columns for k in ("lang", "dataset", "tags"))
+    if denorm:
+        j = c.select("id", "lang", "dataset", "model", "condition",
+                     F.col("correct").cast("int").alias("correct"), "tags")
+        if lang is not None:
+            j = j.filter(F.col("lang") == lang)
+    else:
+        it = items.select("id", "lang", "dataset", "tags")
+        if lang is not None:
+            c = c.filter(F.col("lang") == lang) if "lang" in cells.columns else c
+            it = it.filter(F.col("lang") == lang)
+        c = c.select("id", "model", "condition", F.col("correct").cast("int").alias("correct"))
+        j = c.join(it, "id")
+    return j.select(
         "id", "lang", "dataset", "model", "condition", "correct",
         qa_phenomena("tags").alias("phenomena"),
         F.col("tags.paraphrase_distance").alias("paraphrase_distance"),
@@ -43,8 +53,10 @@ def flatten_qa(cells: DataFrame, items: DataFrame, cfg: EvalConfig, lang: str |
     )
 
 
-def flatten_all(cells: DataFrame, items: DataFrame, cfg: EvalConfig) -> DataFrame:
+def flatten_all(cells: DataFrame, items: DataFrame | None, cfg: EvalConfig) -> DataFrame:
     """R2: every configured language at once; unconfigured languages drop out."""
+    if items is None:
+        return flatten_qa(cells.filter(F.col("lang").isin(*cfg.lang_codes)), None, cfg)
     return flatten_qa(cells, items.filter(F.col("lang").isin(*cfg.lang_codes)), cfg)
 
 

@@ -103,3 +103,17 @@ def test_passive_slice_swahili_native(spark):
     # the overall open-book accuracy is unchanged by the split
     tot = S.accuracy_by_benchmark(flat, PILOT).filter("dataset = 'tydiqa_sw' AND condition = 'openbook'")
     assert {r.model: r.accuracy_pct for r in tot.collect()} == dict(zip(COLS, PUBLISHED[5]))
+
+
+def test_denormalised_cells_need_no_join(spark):
+    cells, items = _cells_items(spark)
+    exp = {(r.dataset, r.condition, r.model): r.accuracy_pct
+           for r in S.accuracy_by_benchmark(R.flatten_all(cells, items, PILOT), PILOT).collect()}
+    # a stored, denormalised cells table (tags written with each cell)
+    denorm = spark.createDataFrame(cells.join(items.select("id", "tags"), "id").toPandas(),
+                                   cells.join(items.select("id", "tags"), "id").schema)
+    flat = R.flatten_all(denorm, None, PILOT)
+    assert "Join" not in flat._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.dataset, r.condition, r.model): r.accuracy_pct
+           for r in S.accuracy_by_benchmark(flat, PILOT).collect()}
+    assert got == exp
