@@ -54,10 +54,11 @@ def flatten_qa(cells: DataFrame, items: DataFrame | None, cfg: EvalConfig, lang:
 
 
 def flatten_all(cells: DataFrame, items: DataFrame | None, cfg: EvalConfig) -> DataFrame:
-    """R2: every configured language at once; unconfigured languages drop out."""
-    if items is None:
-        return flatten_qa(cells.filter(F.col("lang").isin(*cfg.lang_codes)), None, cfg)
-    return flatten_qa(cells, items.filter(F.col("lang").isin(*cfg.lang_codes)), cfg)
+    """R2: every configured language at once; unconfigured languages drop out
+    (an ``In`` predicate that reaches the scan when ``lang`` is a stored column)."""
+    c = cells.filter(F.col("lang").isin(*cfg.lang_codes)) if "lang" in cells.columns else cells
+    it = items.filter(F.col("lang").isin(*cfg.lang_codes)) if items is not None else None
+    return flatten_qa(c, it, cfg)
 
 
 # ---------------------------------------------------------------------------

@@ -92,14 +92,16 @@ def cells(spark: SparkSession, sf_dir: str, it: DataFrame | None = None) -> Data
     """Long (item, model, condition) results; 5 % absent, ~3 % unjudged.
 
     The model x condition grid is a literal array exploded per item, so no
-    join or cartesian product is planned.
+    join or cartesian product is planned.  Cells are stored denormalised
+    (``lang, dataset, tags`` of the item on every cell), so slicing them
+    needs no join back to the items.
     """
     it = it if it is not None else items(spark, sf_dir)
-    x = it.select("doc_id", "id", "lang", "dataset", F.explode(_model_cond_array()).alias("mc"))
+    x = it.select("doc_id", "id", "lang", "dataset", "tags", F.explode(_model_cond_array()).alias("mc"))
     h = (F.col("doc_id") * 7919 + F.col("mc.mi") * 104729 + F.col("mc.ci") * 1299709) % 1000
     h2 = F.col("doc_id") * 31 + F.col("mc.mi") * 17 + F.col("mc.ci") * 5
     p = F.when(F.col("mc.ci") == 0, F.col("mc.p_open")).otherwise(F.col("mc.p_closed"))
-    x = x.select("id", "lang", "dataset", F.col("mc.model").alias("model"),
+    x = x.select("id", "lang", "dataset", "tags", F.col("mc.model").alias("model"),
                  F.col("mc.condition").alias("condition"), h.alias("h"), h2.alias("h2"), p.alias("p"))
     x = x.filter(F.col("h2") % 20 != 0)
     correct = F.when(F.col("h2") % 33 == 0, F.lit(None).cast("boolean")).otherwise(F.col("h") < F.col("p"))
@@ -111,6 +113,7 @@ def cells(spark: SparkSession, sf_dir: str, it: DataFrame | None = None) -> Data
         correct.alias("correct"),
         F.lit("ok").alias("status"),
         F.lit(None).cast("string").alias("error"),
+        "tags",
     )
 
 
