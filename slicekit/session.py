@@ -57,9 +57,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_SHIPPED: set[int] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``slicekit`` importable in the Python workers (once per context).
 
@@ -67,8 +64,7 @@ def ship_package(spark: SparkSession) -> None:
     needs the package; ``addPyFile`` distributes a zip of it through Spark.
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
-    if key in _SHIPPED:
+    if getattr(sc, "_slicekit_shipped", False):
         return
     import shutil
 
@@ -77,4 +73,4 @@ def ship_package(spark: SparkSession) -> None:
     out = tempfile.mkdtemp(prefix="slicekit-pkg-")
     archive = shutil.make_archive(os.path.join(out, "slicekit"), "zip", root_dir=root, base_dir="slicekit")
     sc.addPyFile(archive)
-    _SHIPPED.add(key)
+    sc._slicekit_shipped = True
