@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 
 RowFn = Callable[[dict], dict]
 BatchFn = Callable[[pd.DataFrame], pd.DataFrame]
@@ -49,6 +49,8 @@ def enrich_missing(work: DataFrame, fn: RowFn, out_schema: T.StructType | str, k
 
     Output: ``keys`` + the fields of ``out_schema`` + ``status`` + ``error``.
     ``out_schema`` may be a DDL string, e.g. ``"prediction string"``.
+    The result is lazy: write it (``session.materialize`` or a stage table)
+    before using it more than once, or the function runs again.
     """
     out = _as_struct(out_schema)
     res_schema = _result_schema(work, keys, out)
@@ -179,7 +181,10 @@ def translate_and_locate(rows: DataFrame, translate_fn: RowFn, locate_fn: RowFn,
     the audit sees every row (rows are matched by key, never by position)."""
     from .prep import verify_spans
 
-    t = enrich_missing(rows, translate_fn, "question string, context string", [key], parallelism)
+    # the translations feed two branches below: write them once so the
+    # translator is never called twice for a row
+    t = materialize(enrich_missing(rows, translate_fn, "question string, context string", [key], parallelism),
+                    "translations")
     t_ok = t.filter(F.col("status") == "ok").drop("status", "error")
     src = rows.drop("question", "context") if "question" in rows.columns else rows
     located_in = t_ok.join(src, key)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.tags import mt_phenomena
-from ..session import checkpoint_root
+from ..session import materialize as materialize_table
 from .jobs import new_candidates
 
 # Sentinels for thresholds: md5 hex digests sort strictly between them.
@@ -104,9 +104,10 @@ def quota_sample(candidates: DataFrame, existing: DataFrame, buckets: dict[str,
     of ``candidates`` plus their order key ``_k``.
 
     The candidate set is scanned four times (tag occurrences, positions, the
-    batch closer, acceptance); with ``materialize`` it is written once to the
-    shared checkpoint folder (a reliable ``checkpoint``, which also survives
-    executor loss) instead of being recomputed from its sources each time.
+    batch closer, acceptance); with ``materialize`` it is written once as a
+    Parquet table in the shared checkpoint folder (survives executor loss,
+    later scans read only the columns they need) instead of being recomputed
+    from its sources each time.
     """
     q, B = int(quota), int(batch_size)
     bdf = _buckets_df(spark, buckets)
@@ -115,8 +116,7 @@ def quota_sample(candidates: DataFrame, existing: DataFrame, buckets: dict[str,
     need = bucket_counts(existing, req).select("lang", "phenomenon", (F.lit(q) - F.col("n")).alias("need"))
     cand = new_candidates(candidates, existing).withColumn("_k", order_key(seed, "id"))
     if materialize:
-        checkpoint_root(spark)
-        cand = cand.checkpoint(eager=True)
+        cand = materialize_table(cand, "quota-candidates")
     pos_key = F.struct(F.col("_k"), F.col("id"))
 
     # thresholds of the buckets that still need items: the need-th occurrence

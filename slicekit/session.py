@@ -74,3 +74,16 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(out, "slicekit"), "zip", root_dir=root, base_dir="slicekit")
     sc.addPyFile(archive)
     sc._slicekit_shipped = True
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as a Parquet table under the shared checkpoint folder
+    and return a DataFrame reading it back.
+
+    Cuts the lineage (later failures recompute from the table, not from the
+    sources -- and never call a user function twice) and, unlike an RDD
+    checkpoint, later scans still prune columns and push filters.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

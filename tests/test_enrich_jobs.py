@@ -101,3 +101,21 @@ def test_align_parallel_last_source_wins(spark):
                                 (2, "assistant", "orphan", 1)], "k int, role string, text string, o int")
     out = P.align_parallel(df, "k", "role", "user", "assistant", "o").collect()
     assert [(r.k, r.src_text, r.tgt_text) for r in out] == [(1, "second", "t")]
+
+
+def test_translate_and_locate_calls_each_function_once_per_row(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def translate(rec):
+        calls.add(1)
+        return {"question": rec["text"][:10], "context": rec["text"]}
+
+    def locate(rec):
+        return {"gold": rec["context"][2:6], "span_found": True}
+
+    rows = spark.createDataFrame([(f"r{i}", f"text number {i} here") for i in range(50)], "id string, text string")
+    out = E.translate_and_locate(rows, translate, locate, "id")
+    res = out.collect()
+    assert len(res) == 50 and all(r.span_found for r in res)
+    out.count()
+    assert calls.value == 50  # written once, never recomputed
