@@ -243,14 +243,16 @@ def q_extra_ids(spark, sf_dir):
 
 @query("union_splits", """
 SELECT lang, CAST(count(*) AS BIGINT) AS n FROM (
- SELECT doc_id, lang FROM documents WHERE lang IN ('en','de')
- UNION ALL SELECT doc_id, lang FROM documents WHERE lang IN ('en','fr')) u
-WHERE starts_with(CAST(doc_id AS VARCHAR), '1') GROUP BY lang""")
+ SELECT lang || '-' || CAST(doc_id AS VARCHAR) AS sid, lang FROM documents WHERE source <= 'src4'
+ UNION ALL SELECT lang || '-' || CAST(doc_id AS VARCHAR), lang FROM documents WHERE source > 'src4') u
+WHERE starts_with(sid, 'en-') GROUP BY lang""")
 def q_union_splits(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    u = P.union_splits(d.filter(F.col("lang").isin("en", "de")), d.filter(F.col("lang").isin("en", "fr")))
-    u = P.filter_id_prefix(u.withColumn("sid", F.col("doc_id").cast("string")), "1", "sid")
-    return u.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Two splits of one corpus (train / validation), unioned with duplicates
+    kept, then the English subset by id prefix (as the studied loader does)."""
+    d = fx.table(spark, sf_dir, "documents").select(
+        F.concat(F.col("lang"), F.lit("-"), F.col("doc_id").cast("string")).alias("sid"), "lang", "source")
+    u = P.union_splits(d.filter(F.col("source") <= "src4"), d.filter(F.col("source") > "src4"))
+    return P.filter_id_prefix(u, "en-", "sid").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("union_benchmarks", """
