@@ -122,32 +122,43 @@ def score_batches(work: DataFrame, scorer: BatchFn, out_schema: T.StructType | s
 
 
 def retrying(fn: Callable, max_tries: int = 3, wait: Callable[[int], float] | None = None,
-             accept: Callable[[object], bool] | None = None, fallback: object = ...,
-             sleep: Callable[[float], None] = time.sleep) -> Callable:
+             accept: Callable[[object], bool] | None = None,
+             retry_on: tuple[type[BaseException], ...] = (Exception,), wait_on_reject: bool = True,
+             fallback: object = ..., sleep: Callable[[float], None] = time.sleep) -> Callable:
     """Call ``fn`` up to ``max_tries`` times.
 
-    A try fails on an exception or when ``accept(result)`` is false (e.g. an
-    empty reply).  ``wait(k)`` seconds pass after failed try k (0-based); the
-    two policies of the studied pipeline are ``lambda k: 1.0 + 0.5 * k``
-    (tagger, 3 tries) and ``lambda k: min(60, 2 ** k)`` (translator, 5 tries,
-    returning ``''`` at the end: ``fallback=''``).  Without ``fallback`` the
-    last error is raised, so :func:`enrich_missing` marks the row as failed.
+    * An exception of a ``retry_on`` type is retried after ``wait(k)`` seconds
+      (k = 0-based try); on the last try it propagates.  Other exceptions
+      propagate at once.
+    * A result with ``accept(result)`` false (e.g. an empty reply) is retried,
+      after ``wait(k)`` only if ``wait_on_reject``; if the last try is
+      rejected, ``fallback`` is returned (or ``ValueError`` raised).
+
+    The two policies of the studied pipeline:
+    tagger  -- ``retrying(tag, 3, lambda k: 1.0 + 0.5 * k, retry_on=(ValueError,))``
+    with ``tag`` raising ``ValueError`` on an empty or unparsable reply;
+    translator -- ``retrying(gen, 5, lambda k: min(60, 2 ** k), accept=bool,
+    wait_on_reject=False, fallback='')``.
+    A raised error makes :func:`enrich_missing` mark the row as failed.
     """
     def wrapped(*args, **kwargs):
-        last: BaseException | None = None
         for k in range(max_tries):
+            last_try = k == max_tries - 1
             try:
                 res = fn(*args, **kwargs)
-                if accept is None or accept(res):
-                    return res
-                last = ValueError("rejected reply")
-            except Exception as e:  # noqa: BLE001
-                last = e
-            if k < max_tries - 1 and wait is not None:
+            except retry_on:
+                if last_try:
+                    raise
+                if wait is not None:
+                    sleep(wait(k))
+                continue
+            if accept is None or accept(res):
+                return res
+            if not last_try and wait is not None and wait_on_reject:
                 sleep(wait(k))
         if fallback is not ...:
             return fallback
-        raise last if last else ValueError("no result")
+        raise ValueError("reply rejected on every try")
     return wrapped
 
 

@@ -280,3 +280,11 @@ SELECT DISTINCT lang, CASE lang {" ".join(f"WHEN '{c}' THEN {i}" for i, c in enu
 FROM scored WHERE lang IN {fx.LANGS_SQL}""", "scored"))
 def q_present_langs(spark, sf_dir):
     return S.present_langs(_flat(spark, sf_dir), CFG)
+
+
+# -- P20 ---------------------------------------------------------------------------------------
+@query("panel_key", with_views(f"""
+SELECT dataset || ' / ' || condition AS panel, CAST(count(*) AS BIGINT) AS n
+FROM scored WHERE lang IN {fx.LANGS_SQL} GROUP BY ALL""", "scored"))
+def q_panel_key(spark, sf_dir):
+    return _flat(spark, sf_dir).groupBy(R.panel_key().alias("panel")).agg(F.count(F.lit(1)).alias("n"))

@@ -35,22 +35,44 @@ def test_enrich_isolates_errors_and_rerun_is_idempotent(spark):
 
 
 def test_retrying_policies():
-    calls = []
-
-    def flaky(x):
-        calls.append(x)
-        if len(calls) < 3:
-            return ""
-        return "ok"
-
+    # translator: empty replies retry without waiting and end in ''; errors wait 2^k
+    replies = iter(["", "", "done"])
     waits = []
-    f = E.retrying(flaky, max_tries=5, wait=lambda k: min(60, 2 ** k), accept=bool, sleep=waits.append)
-    assert f(1) == "ok" and waits == [1, 2]
-    g = E.retrying(lambda: "", max_tries=2, accept=bool, fallback="", sleep=lambda s: None)
-    assert g() == ""
-    h = E.retrying(lambda: 1 / 0, max_tries=2, sleep=lambda s: None)
-    with pytest.raises(ZeroDivisionError):
-        h()
+    gen = E.retrying(lambda: next(replies), max_tries=5, wait=lambda k: min(60, 2 ** k), accept=bool,
+                     wait_on_reject=False, fallback="", sleep=waits.append)
+    assert gen() == "done" and waits == []
+    assert E.retrying(lambda: "", 5, lambda k: 1, accept=bool, wait_on_reject=False, fallback="",
+                      sleep=waits.append)() == "" and waits == []
+    errs = iter([RuntimeError("429"), RuntimeError("429"), "ok"])
+
+    def flaky():
+        x = next(errs)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert E.retrying(flaky, 5, lambda k: min(60, 2 ** k), accept=bool, sleep=waits.append)() == "ok"
+    assert waits == [1, 2]
+    with pytest.raises(ZeroDivisionError):  # the error of the last try propagates
+        E.retrying(lambda: 1 / 0, 2, sleep=lambda s: None)()
+    # tagger: only ValueError is retried (1.0 + 0.5 k), anything else propagates at once
+    tag_waits, calls = [], []
+
+    def tag():
+        calls.append(1)
+        raise KeyError("x")
+
+    with pytest.raises(KeyError):
+        E.retrying(tag, 3, lambda k: 1.0 + 0.5 * k, retry_on=(ValueError,), sleep=tag_waits.append)()
+    assert len(calls) == 1
+    bad = iter([ValueError("empty"), ValueError("json"), ValueError("json")])
+
+    def tag2():
+        raise next(bad)
+
+    with pytest.raises(ValueError):
+        E.retrying(tag2, 3, lambda k: 1.0 + 0.5 * k, retry_on=(ValueError,), sleep=tag_waits.append)()
+    assert tag_waits == [1.0, 1.5]
 
 
 def test_score_batches_respects_batch_size(spark):
