@@ -123,7 +123,7 @@ def q_bucket_report(spark, sf_dir):
 
 
 # -- J7 -----------------------------------------------------------------------------------------
-@query("cross_task", with_views("""
+CROSS_SQL = """
 WITH qa AS (SELECT s.lang, r.phenomenon, s.model, count(*) AS n_qa, sum(s.correct) AS k_qa
             FROM scored s CROSS JOIN (VALUES ('newline'),('long'),('pipe')) r(phenomenon)
             WHERE s.condition = 'openbook' AND s.dataset = s.lang || '_native' AND s.lang IN ('de','en','fr')
@@ -136,7 +136,10 @@ mt AS (SELECT lang, phenomenon, model, count(*) AS n_mt, avg(chrf) AS mt_chrf FR
 SELECT qa.lang, qa.phenomenon, qa.model, round(CAST(k_qa AS DOUBLE) / n_qa * 100, 6) AS qa_acc,
  round(mt_chrf, 6) AS mt_chrf, CAST(n_qa AS BIGINT) AS n_qa, CAST(n_mt AS BIGINT) AS n_mt
 FROM qa JOIN mt ON qa.lang = mt.lang AND qa.phenomenon = mt.phenomenon AND qa.model = mt.model
-WHERE n_qa >= 5 AND mt_chrf IS NOT NULL""", "scored", "mt_flat"))
+WHERE n_qa >= 5 AND mt_chrf IS NOT NULL"""
+
+
+@query("cross_task", with_views(CROSS_SQL, "scored", "mt_flat"))
 def q_cross_task(spark, sf_dir):
     ct = X.cross_task(_flat(spark, sf_dir), mt_reports.mt_flat(spark, sf_dir), CFG)
     return ct.select("lang", "phenomenon", "model", F.round("qa_acc", 6).alias("qa_acc"),
@@ -224,3 +227,17 @@ def q_hardest_feature(spark, sf_dir):
     out = X.hardest_feature(qa, "qa").unionByName(X.hardest_feature(mt, "mt", delta_col="chrf_delta"))
     return out.select("lang", "task", "phenomenon", *[F.round(c, 6).alias(c) for c in
                                                      ("mean_delta", "min_delta", "max_delta")], "n_models")
+
+
+
+# -- M3 on the cross-task table ----------------------------------------------------------------
+@query("cross_task_r", with_views("""
+WITH ct AS (""" + CROSS_SQL.strip() + """)
+SELECT CAST(count(*) AS BIGINT) AS n,
+ round(covar_samp(qa_acc, mt_chrf) / nullif(stddev_samp(qa_acc) * stddev_samp(mt_chrf), 0), 6) AS r
+FROM ct""", "scored", "mt_flat"))
+def q_cross_task_r(spark, sf_dir):
+    """Pearson r between QA accuracy and MT chrF over the (lang, phenomenon, model) points."""
+    from ..operators import agree as G
+    ct = X.cross_task(_flat(spark, sf_dir), mt_reports.mt_flat(spark, sf_dir), CFG)
+    return G.pearson_r(ct, "qa_acc", "mt_chrf", with_p=False).select("n", F.round("r", 6).alias("r"))
