@@ -7,7 +7,7 @@ join and no broadcast, and the plan stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F

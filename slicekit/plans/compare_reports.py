@@ -67,6 +67,7 @@ def _existing(spark, sf_dir, it):
     return it.join(docs, "doc_id", "left_semi")
 
 
+@fx.memo_plan
 def _quota(spark, sf_dir):
     it = fx.items(spark, sf_dir).select("doc_id", "id", "lang", "tags")
     ex = _existing(spark, sf_dir, it)
