@@ -84,7 +84,10 @@ def flatten_mt(mt_items: DataFrame, scores: DataFrame, cfg: EvalConfig,
     models = F.array(*[F.lit(m) for m in cfg.models])
     grid = mt_items.select("id", "lang", mt_phenomena("tags").alias("phenomena"),
                            F.explode(models).alias("model"))
-    sc = scores.select("id", "model", *[F.col(m).cast("double").alias(m) for m in metrics])
+    # NaN (e.g. a failed neural metric) becomes null: pandas means skip NaN,
+    # Spark's avg would return NaN for the whole group
+    sc = scores.select("id", "model", *[F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")).alias(m)
+                                        for m in metrics])
     return grid.join(sc, ["id", "model"], "left")
 
 

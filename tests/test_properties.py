@@ -60,3 +60,13 @@ def test_unknown_dataset_sorts_last(spark):
     df = spark.createDataFrame([("zz", "openbook", "m0", 1, 0.0), ("de_native", "openbook", "m0", 1, 0.0)],
                                "dataset string, condition string, model string, n long, accuracy_pct double")
     assert [r.dataset for r in S.canonical_order(df, FIXTURE).collect()] == ["de_native", "zz"]
+
+
+def test_nan_metric_is_skipped_like_pandas(spark):
+    items = spark.createDataFrame([("a", "fr", None), ("b", "fr", None)],
+                                  "id string, lang string, tags struct<linguistic_phenomena: array<string>>")
+    scores = spark.createDataFrame([("a", "m0", 50.0, float("nan"), 4.0, 4.0), ("b", "m0", 70.0, 0.8, 5.0, 5.0)],
+                                   "id string, model string, chrf double, comet double, adequacy double, fluency double")
+    flat = R.flatten_mt(items, scores, FIXTURE).filter("model = 'm0'")
+    row = M.system_level(flat.withColumn("lang", F.lit("fr")), FIXTURE).first()
+    assert row.comet == 0.8 and row.n_comet == 1 and row.n == 2 and row.chrf == 60.0
