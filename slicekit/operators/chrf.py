@@ -32,13 +32,16 @@ BETA = 2
 def _windows(text: Column, order: int) -> Column:
     """Every position's look-ahead window of up to ``order`` characters.
 
-    One zero-width look-ahead regex, ``(?=(.{1,order}))``, matches at every
-    position in a single linear pass (``.`` is one code point, as Python
+    One look-ahead regex, ``(?=(.{1,order})).``, matches at every position
+    in a single linear pass (``.`` is one code point, as Python
     slicing); the n-grams of the text are the length-n prefixes of these
     windows.  ``substring(text, i, n)`` per position would cost O(length) per
     call on UTF-8 -- quadratic per text.
     """
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{order}}}))"), F.lit(1))
+    # the trailing ``.`` consumes one whole code point per match: after a
+    # zero-width match Java advances one UTF-16 unit, which could land inside
+    # a surrogate pair (characters beyond U+FFFF)
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{order}}}))."), F.lit(1))
 
 
 # Target bytes of n-gram rows per task, and how much larger the n-gram rows are
