@@ -31,8 +31,12 @@ def sequential(cands, existing, req, bonus, quota, batch):
     return out
 
 
-def test_quota_sample_matches_sequential_model(spark):
-    rng = random.Random(7)
+import pytest
+
+
+@pytest.mark.parametrize("quota,batch,seed", [(QUOTA, BATCH, 7), (5, 7, 11), (1, 1, 13)])
+def test_quota_sample_matches_sequential_model(spark, quota, batch, seed):
+    rng = random.Random(seed)
     vocab = ["a", "b", "c", "x", "z"]
     req, bonus = ("a", "b", "c"), ("x",)
     cand_rows, ex_rows, cases = [], [], {}
@@ -55,14 +59,14 @@ def test_quota_sample_matches_sequential_model(spark):
     cand = spark.createDataFrame(cand_rows, schema)
     ex = spark.createDataFrame(ex_rows, schema)
     buckets = {lang: (req, bonus) for lang in cases}
-    acc = N.quota_sample(cand, ex, buckets, QUOTA, spark, batch_size=BATCH, seed=42)
+    acc = N.quota_sample(cand, ex, buckets, quota, spark, batch_size=batch, seed=42)
     got = {}
     for r in acc.select("id", "lang").collect():
         got.setdefault(r.lang, set()).add(r.id)
     import hashlib
     for lang, (rows, exl) in cases.items():
         order = sorted(rows, key=lambda t: (hashlib.md5(f"42:{t[0]}".encode()).hexdigest(), t[0]))
-        exp = sequential(order, [t for _, t in exl], req, bonus, QUOTA, BATCH)
+        exp = sequential(order, [t for _, t in exl], req, bonus, quota, batch)
         assert got.get(lang, set()) == set(exp), lang
 
 
