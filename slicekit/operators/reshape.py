@@ -139,15 +139,18 @@ def nest_results(items: DataFrame, cells: DataFrame) -> DataFrame:
     """Long cells -> one record per item with ``predictions`` as
     ``map<model, map<condition, struct>>`` (the JSONL export shape).
 
-    Grouping is by item (bounded: models x conditions rows per group) and the
-    join back is on the unique id.
+    One grouping by item id (a group holds at most models x conditions cells)
+    and the two map levels are built inside the row, so the plan has a single
+    exchange on ``id``, which the join back to the items reuses.
     """
     entry = F.struct("prediction", "verdict", "reason", "correct")
-    per_model = (cells.groupBy("id", "model")
-                 .agg(F.map_from_entries(F.collect_list(F.struct("condition", entry))).alias("by_cond")))
-    per_item = (per_model.groupBy("id")
-                .agg(F.map_from_entries(F.collect_list(F.struct("model", "by_cond"))).alias("predictions")))
-    return items.join(per_item, "id", "left")
+    per_item = cells.groupBy("id").agg(F.collect_list(F.struct("model", "condition", entry.alias("e"))).alias("cs"))
+    models = F.array_distinct(F.transform("cs", lambda c: c["model"]))
+    nested = F.map_from_entries(F.transform(models, lambda m: F.struct(
+        m.alias("model"),
+        F.map_from_entries(F.transform(F.filter("cs", lambda c: c["model"] == m),
+                                       lambda c: F.struct(c["condition"], c["e"]))).alias("by_cond"))))
+    return items.join(per_item.select("id", nested.alias("predictions")), "id", "left")
 
 
 def slim_items(items: DataFrame, cells: DataFrame, cfg: EvalConfig, condition: str = "openbook") -> DataFrame:
