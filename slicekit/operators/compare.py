@@ -47,7 +47,7 @@ def cross_task(flat_qa: DataFrame, flat_mt: DataFrame, cfg: EvalConfig, min_n_qa
     j = qa_long.join(mt_long, ["lang", "model", "phenomenon"])
     j = j.filter(F.array_contains(cfg.required_of("lang"), F.col("phenomenon")))
     return j.filter((F.col("n_qa") >= min_n_qa) & F.col("mt_mean").isNotNull()).select(
-        "lang", "phenomenon", "model", (F.col("k_qa") / F.col("n_qa") * 100).alias("qa_acc"),
+        "lang", "phenomenon", "model", (F.col("k_qa").cast("double") * 100 / F.col("n_qa")).alias("qa_acc"),
         F.col("mt_mean").alias(f"mt_{metric}"), F.col("n_qa").cast("bigint").alias("n_qa"),
         F.col("n_mt").cast("bigint").alias("n_mt"))
 

@@ -22,6 +22,12 @@ def pct(k: Column, n: Column) -> Column:
     return F.try_divide(k.cast("double"), n.cast("double")) * 100
 
 
+def pct_of(k: Column, n: Column) -> Column:
+    """``100.0 * k / n`` (the order some reports use; differs from ``pct`` in
+    the last bit for some k, n), null for n = 0."""
+    return F.try_divide(k.cast("double") * 100, n.cast("double"))
+
+
 def pct1(k: Column, n: Column) -> Column:
     """Percent rounded half-even to one decimal (numpy/pandas ``round(1)``)."""
     return F.bround(pct(k, n), 1)
@@ -200,8 +206,8 @@ def open_vs_closed(flat: DataFrame, cfg: EvalConfig, spark: SparkSession) -> Dat
     grid = _bench_model_grid(spark, cfg)
     j = F.broadcast(grid).join(g, ["lang", "dataset", "model"], "left")
     return j.select("lang", "dataset", "model",
-                    F.coalesce(pct(F.col("k_open"), F.col("n_open")), F.lit(0.0)).alias("open_acc"),
-                    F.coalesce(pct(F.col("k_closed"), F.col("n_closed")), F.lit(0.0)).alias("closed_acc"),
+                    F.coalesce(pct_of(F.col("k_open"), F.col("n_open")), F.lit(0.0)).alias("open_acc"),
+                    F.coalesce(pct_of(F.col("k_closed"), F.col("n_closed")), F.lit(0.0)).alias("closed_acc"),
                     F.coalesce("n_open", F.lit(0)).cast("bigint").alias("n_open"),
                     F.coalesce("n_closed", F.lit(0)).cast("bigint").alias("n_closed"),
                     "lang_ord", "model_ord").orderBy("lang_ord", "dataset", "model_ord").drop("lang_ord", "model_ord")
@@ -214,8 +220,8 @@ def disentangle(flat: DataFrame, cfg: EvalConfig, spark: SparkSession) -> DataFr
     present = native.select("lang").distinct()
     grid = _bench_model_grid(spark, cfg, native_only=True).join(present, "lang", "left_semi")
     j = F.broadcast(grid).join(g, ["lang", "dataset", "model"], "left")
-    o = F.coalesce(pct(F.col("k_open"), F.col("n_open")), F.lit(0.0))
-    c = F.coalesce(pct(F.col("k_closed"), F.col("n_closed")), F.lit(0.0))
+    o = F.coalesce(pct_of(F.col("k_open"), F.col("n_open")), F.lit(0.0))
+    c = F.coalesce(pct_of(F.col("k_closed"), F.col("n_closed")), F.lit(0.0))
     return j.select("lang", "model", F.coalesce("n_open", F.lit(0)).cast("bigint").alias("n"),
                     o.alias("open_acc"), c.alias("closed_acc"), (c - o).alias("delta_pp"),
                     flag_qa_delta(c - o).alias("alert"))

@@ -134,7 +134,7 @@ mt AS (SELECT lang, phenomenon, model, count(*) AS n_mt, avg(chrf) AS mt_chrf FR
          (SELECT f.*, r.phenomenon FROM mt_flat f CROSS JOIN (VALUES ('newline'),('long'),('pipe')) r(phenomenon)
           WHERE CASE r.phenomenon WHEN 'newline' THEN f.t_newline WHEN 'long' THEN f.t_long ELSE f.t_pipe END) x
        GROUP BY ALL)
-SELECT qa.lang, qa.phenomenon, qa.model, round(CAST(k_qa AS DOUBLE) / n_qa * 100, 6) AS qa_acc,
+SELECT qa.lang, qa.phenomenon, qa.model, round(CAST(k_qa AS DOUBLE) * 100 / n_qa, 6) AS qa_acc,
  round(mt_chrf, 6) AS mt_chrf, CAST(n_qa AS BIGINT) AS n_qa, CAST(n_mt AS BIGINT) AS n_mt
 FROM qa JOIN mt ON qa.lang = mt.lang AND qa.phenomenon = mt.phenomenon AND qa.model = mt.model
 WHERE n_qa >= 5 AND mt_chrf IS NOT NULL"""

@@ -210,8 +210,8 @@ FROM scored WHERE lang IN {fx.LANGS_SQL} GROUP BY ALL""", ("scored",))
 
 @query("open_vs_closed", with_views(f"""
 SELECT b.lang, b.dataset, m.model,
- coalesce(CAST(o.k_open AS DOUBLE) / nullif(o.n_open, 0) * 100, 0.0) AS open_acc,
- coalesce(CAST(o.k_closed AS DOUBLE) / nullif(o.n_closed, 0) * 100, 0.0) AS closed_acc,
+ coalesce(CAST(o.k_open AS DOUBLE) * 100 / nullif(o.n_open, 0), 0.0) AS open_acc,
+ coalesce(CAST(o.k_closed AS DOUBLE) * 100 / nullif(o.n_closed, 0), 0.0) AS closed_acc,
  CAST(coalesce(o.n_open, 0) AS BIGINT) AS n_open, CAST(coalesce(o.n_closed, 0) AS BIGINT) AS n_closed
 FROM {_BENCH} b CROSS JOIN {_MODELS_SQL} m
 LEFT JOIN open_closed o ON o.lang = b.lang AND o.dataset = b.dataset AND o.model = m.model""", "open_closed"))
@@ -223,8 +223,8 @@ def q_open_vs_closed(spark, sf_dir):
 SELECT lang, model, n, open_acc, closed_acc, closed_acc - open_acc AS delta_pp,
  closed_acc - open_acc <= -30 AS alert
 FROM (SELECT b.lang, m.model, CAST(coalesce(o.n_open, 0) AS BIGINT) AS n,
-        coalesce(CAST(o.k_open AS DOUBLE) / nullif(o.n_open, 0) * 100, 0.0) AS open_acc,
-        coalesce(CAST(o.k_closed AS DOUBLE) / nullif(o.n_closed, 0) * 100, 0.0) AS closed_acc
+        coalesce(CAST(o.k_open AS DOUBLE) * 100 / nullif(o.n_open, 0), 0.0) AS open_acc,
+        coalesce(CAST(o.k_closed AS DOUBLE) * 100 / nullif(o.n_closed, 0), 0.0) AS closed_acc
       FROM {_BENCH} b CROSS JOIN {_MODELS_SQL} m
       LEFT JOIN open_closed o ON o.lang = b.lang AND o.dataset = b.dataset AND o.model = m.model
       WHERE b.dataset LIKE '%\\_native' ESCAPE '\\'
