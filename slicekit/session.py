@@ -49,9 +49,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="slicekit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
+    try:  # classic sessions: RDD checkpoints go to the same folder
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(root)
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        pass
     return root.rstrip("/")
 
 
@@ -66,17 +69,23 @@ def ship_package(spark: SparkSession) -> None:
     User functions and helpers are pickled by reference, so every executor
     needs the package; ``addPyFile`` distributes a zip of it through Spark.
     """
-    sc = spark.sparkContext
-    if getattr(sc, "_slicekit_shipped", False):
-        return
     import shutil
 
     import slicekit
+    try:
+        holder = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: ship as a session artifact
+        holder = spark
+    if getattr(holder, "_slicekit_shipped", False):
+        return
     root = os.path.dirname(os.path.dirname(os.path.abspath(slicekit.__file__)))
     out = tempfile.mkdtemp(prefix="slicekit-pkg-")
     archive = shutil.make_archive(os.path.join(out, "slicekit"), "zip", root_dir=root, base_dir="slicekit")
-    sc.addPyFile(archive)
-    sc._slicekit_shipped = True
+    if holder is spark:
+        spark.addArtifacts(archive, pyfile=True)
+    else:
+        holder.addPyFile(archive)
+    holder._slicekit_shipped = True
 
 
 def materialize(df, name: str):
