@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import has_tag, mt_phenomena, qa_phenomena
 from ..functions.text import sql_ustrip
-from ..operators import enrich as E
-from ..operators import jobs as J
 from ..operators import mt as M
 from ..operators import prep as P
 from ..operators import reshape as R

@@ -1,6 +1,5 @@
 """Reply parsing and Python string semantics on the JVM."""
 
-from pyspark.sql import functions as F
 
 from slicekit.functions.text import remove_whitespace, ustrip
 from slicekit.operators import parse as PA
