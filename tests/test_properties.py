@@ -70,3 +70,15 @@ def test_nan_metric_is_skipped_like_pandas(spark):
     flat = R.flatten_mt(items, scores, FIXTURE).filter("model = 'm0'")
     row = M.system_level(flat.withColumn("lang", F.lit("fr")), FIXTURE).first()
     assert row.comet == 0.8 and row.n_comet == 1 and row.n == 2 and row.chrf == 60.0
+
+
+def test_percent_rounding_matches_numpy_everywhere(spark):
+    """bround(k/n*100, 1) equals numpy's half-even round of the same double
+    for every 0 <= k <= n <= 600 (the published accuracies are such values)."""
+    import numpy as np
+    grid = (spark.range(1, 601).withColumnRenamed("id", "n")
+            .select("n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k")))
+    got = grid.select("n", "k", S.pct1(F.col("k"), F.col("n")).alias("r")).toPandas()
+    exp = np.round(got["k"].to_numpy(dtype="float64") / got["n"].to_numpy(dtype="float64") * 100, 1)
+    assert len(got) == 180_900
+    assert (got["r"].to_numpy() == exp).all()
