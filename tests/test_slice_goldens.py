@@ -79,3 +79,83 @@ def test_sixty_slice_rows(spark):
     for ds, ph, nw, rows in SLICES:
         for m, (no, hs, delta) in zip(MODELS, rows):
             assert got[(f"{ds}:{ph}", m)] == (nw, no, hs, delta), (ds, ph, m)
+
+
+# Class sizes (coverage reports) and published open-book
+# accuracy per model (deepseek, gemini, gemma, llama) for every class.
+CLASSES = {
+    "indoqa": {
+        "paraphrase_distance": {"literal_match": (209, (96.2, 97.1, 97.6, 93.3)),
+                                "paraphrase": (283, (92.2, 94.0, 94.3, 85.9)),
+                                "requires_inference": (8, (50.0, 50.0, 50.0, 37.5))},
+        "domain": {"general": (261, (92.0, 93.5, 94.6, 87.0)),
+                   "indonesian_geography": (30, (100.0, 100.0, 100.0, 96.7)),
+                   "indonesian_history": (209, (93.8, 95.2, 94.7, 88.5))}},
+    "squad_id": {
+        "paraphrase_distance": {"literal_match": (166, (95.8, 95.8, 95.8, 91.0)),
+                                "paraphrase": (317, (92.1, 92.4, 92.4, 82.3)),
+                                "requires_inference": (16, (81.2, 87.5, 81.2, 87.5))},
+        "domain": {"general": (495, (92.9, 93.3, 93.1, 85.3)),
+                   "indonesian_geography": (3, (100.0, 100.0, 100.0, 100.0)),
+                   "indonesian_history": (1, (100.0, 100.0, 100.0, 100.0))}},
+    "tydiqa_sw": {
+        "paraphrase_distance": {"literal_match": (118, (97.5, 99.2, 99.2, 83.1)),
+                                "paraphrase": (305, (86.6, 92.8, 92.1, 76.7)),
+                                "requires_inference": (73, (54.8, 56.2, 39.7, 39.7))},
+        "domain": {"east_african_geography": (75, (86.7, 82.7, 86.7, 74.7)),
+                   "east_african_history": (95, (88.4, 88.4, 87.4, 73.7)),
+                   "general": (326, (82.8, 90.5, 85.6, 72.1))}},
+    "squad_sw": {
+        "paraphrase_distance": {"literal_match": (190, (95.8, 96.3, 96.3, 78.9)),
+                                "paraphrase": (292, (91.4, 92.1, 92.5, 66.8)),
+                                "requires_inference": (16, (75.0, 87.5, 81.2, 68.8))},
+        "domain": {"east_african_geography": (5, (100.0, 100.0, 100.0, 80.0)),
+                   "east_african_history": (63, (93.7, 85.7, 87.3, 69.8)),
+                   "general": (430, (92.3, 94.7, 94.4, 71.6))}},
+}
+
+
+def test_paraphrase_and_domain_slices(spark):
+    from slicekit.config import PILOT
+    rows = []
+    for ds, facets in CLASSES.items():
+        for mi, m in enumerate(MODELS):
+            ks = {}
+            for facet, classes in facets.items():
+                tot = 0
+                for cls, (n, accs) in classes.items():
+                    cands = [k for k in range(n + 1) if _r1(k, n) == accs[mi]]
+                    assert len(cands) == 1, (ds, facet, cls, m, cands)
+                    ks[(facet, cls)] = (n, cands[0])
+                    tot += cands[0]
+                assert tot == K[ds][mi], (ds, facet, m)  # the classes add up to the published total
+            # items 0..N-1: paraphrase and domain classes assigned in blocks, correct answers first
+            rows.append((ds, m, [(f, c, n, k) for (f, c), (n, k) in ks.items()]))
+    recs = []
+    for ds, m, spec in rows:
+        para = [(c, n, k) for f, c, n, k in spec if f == "paraphrase_distance"]
+        dom = [(c, n, k) for f, c, n, k in spec if f == "domain"]
+        # two independent frames per (dataset, model): one per facet (joint distribution unknown)
+        for facet, classes in (("p", para), ("d", dom)):
+            i = 0
+            for cls, n, k in classes:
+                for j in range(n):
+                    recs.append((f"{ds}-{facet}-{i}", ds, m, facet, cls, j < k))
+                    i += 1
+    df = spark.createDataFrame(recs, "id string, dataset string, model string, facet string, cls string, correct boolean")
+    lang = F.when(F.col("dataset").isin("indoqa", "squad_id"), "id").otherwise("sw")
+    tags = F.struct(F.array().cast("array<string>").alias("linguistic_phenomena"),
+                    F.when(F.col("facet") == "p", F.col("cls")).alias("paraphrase_distance"),
+                    F.when(F.col("facet") == "d", F.col("cls")).alias("domain"))
+    cells = df.select("id", lang.alias("lang"), "dataset", "model", F.lit("openbook").alias("condition"),
+                      "correct", tags.alias("tags"))
+    flat = R.flatten_all(cells, None, PILOT)
+    got_p = {(r.dataset, r.category, r.model): (r.n, r.accuracy) for r in S.accuracy_by_paraphrase(flat).collect()}
+    got_d = {(r.dataset, r.category, r.model): (r.n, r.accuracy) for r in S.accuracy_by_domain(flat).collect()}
+    for ds, facets in CLASSES.items():
+        for facet, classes in facets.items():
+            got = got_p if facet == "paraphrase_distance" else got_d
+            for cls, (n, accs) in classes.items():
+                for m, acc in zip(MODELS, accs):
+                    assert got[(ds, cls, m)] == (n, acc), (ds, cls, m)
+    assert len(got_p) == 48 and len(got_d) == 48
