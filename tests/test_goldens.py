@@ -117,3 +117,16 @@ def test_denormalised_cells_need_no_join(spark):
     got = {(r.dataset, r.condition, r.model): r.accuracy_pct
            for r in S.accuracy_by_benchmark(flat, PILOT).collect()}
     assert got == exp
+
+
+def test_disentangle_native_open_to_closed(spark):
+    # published open -> closed drops on the native Indonesian set (pp, 0 decimals):
+    # DeepSeek -45, Gemini -42, Gemma -60, Llama -77; all cross the -30 pp alert
+    cells, items = _cells_items(spark)
+    d = S.disentangle(R.flatten_all(cells, items, PILOT), PILOT, spark)
+    got = {(r.lang, r.model): r for r in d.collect()}
+    exp = {"deepseek_v4_pro": -45, "gemini_3_pro": -42, "gemma_4_31b_it": -60, "llama_31_8b": -77}
+    for m, pp in exp.items():
+        r = got[("id", m)]
+        assert round(r.delta_pp) == pp and r.alert is True and r.n == 500
+    assert {lang for lang, _ in got} == {"id", "sw"}
