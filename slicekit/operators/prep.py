@@ -94,41 +94,30 @@ def render_prompts(df: DataFrame, templates: dict[tuple[str, str], str], on_miss
                    lang: str = "lang", condition: str = "condition", out: str = "prompt") -> DataFrame:
     """Render a prompt per row from ``templates[(lang, condition)]``.
 
-    A template such as ``'Q: {question}'`` is split into literal parts and
-    field references at plan-build time and stored as a literal map keyed by
-    (lang, condition): no join, no broadcast, and rendering is one ``concat``
-    over the parts -- never chained ``replace`` (a context containing
-    ``{question}`` would otherwise be substituted twice).
+    Each template such as ``'Q: {question}'`` is split at plan-build time into
+    literal parts and field references and becomes one ``concat``; the
+    templates form a single CASE on (lang, condition) -- no join, no per-row
+    map, and never chained ``replace`` (a context containing ``{question}``
+    would otherwise be substituted twice).
 
     ``on_missing``: ``'raise'`` fails the job for a row without a template
     (the reference raises on an unknown condition), ``'null'`` leaves the
     prompt null.
     """
-    part_t = "array<struct<lit:string,field:string>>"
-    fields: dict[str, None] = {}
-    entries = []
+    expr = None
     for (lg, cond), text in templates.items():
-        parts = template_parts(text)
-        for _, f in parts:
-            if f is not None:
-                fields[f] = None
-        arr = F.array(*[F.struct(F.lit(lit).cast("string").alias("lit"), F.lit(f).cast("string").alias("field"))
-                        for lit, f in parts]).cast(part_t)
-        entries += [F.lit(f"{lg}\u0000{cond}"), arr]
-    tmap = F.create_map(*entries)
-    key = F.concat(F.col(lang), F.lit("\u0000"), F.col(condition))
-    parts_col = F.try_element_at(tmap, key)
-    values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])
-    rendered = F.array_join(F.transform(parts_col, lambda p: F.coalesce(
-        p["lit"], F.coalesce(F.try_element_at(values, p["field"]), F.lit("")))), "")
+        parts = [F.lit(lit) if lit is not None else F.coalesce(F.col(f).cast("string"), F.lit(""))
+                 for lit, f in template_parts(text)]
+        rendered = F.concat(*parts) if parts else F.lit("")
+        hit = (F.col(lang) == F.lit(lg)) & (F.col(condition) == F.lit(cond))
+        expr = F.when(hit, rendered) if expr is None else expr.when(hit, rendered)
+    if expr is None:
+        expr = F.lit(None).cast("string")
     if on_missing == "raise":
-        prompt = F.when(parts_col.isNull(),
-                        F.raise_error(F.concat(F.lit("no template for "), F.coalesce(F.col(lang), F.lit("?")),
-                                               F.lit("/"), F.coalesce(F.col(condition), F.lit("?")))))
-        prompt = prompt.otherwise(rendered)
-    else:
-        prompt = rendered
-    return df.withColumn(out, prompt)
+        msg = F.concat(F.lit("no template for "), F.coalesce(F.col(lang), F.lit("?")), F.lit("/"),
+                       F.coalesce(F.col(condition), F.lit("?")))
+        expr = expr.otherwise(F.raise_error(msg)) if templates else F.raise_error(msg)
+    return df.withColumn(out, expr)
 
 
 def template_parts(text: str) -> list[tuple[str | None, str | None]]:
