@@ -1,7 +1,7 @@
 """Parsing model replies.
 
-The brace span (first ``{`` .. last ``}``) is cut with one regex; a code
-fence needs no step of its own because the braces delimit the object.
+The brace span (first ``{`` .. last ``}``) is cut by position; a code fence
+needs no step of its own because the braces delimit the object.
 Malformed JSON is caught with a corrupt-record column, so a bad reply marks
 its own row as an error and never fails the job.
 """
@@ -14,14 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BRACES_RE = r"(?s)\{.*\}"
 _CORRUPT = "_corrupt_record"
 
 
 def json_object_text(col: Column | str) -> Column:
-    """The text from the first ``{`` to the last ``}`` ('' when there is none)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_extract(F.coalesce(c, F.lit("")), BRACES_RE, 0)
+    """The text from the first ``{`` to the last ``}`` ('' when there is none).
+
+    Positions come from ``instr`` on the text and on its reverse, so the cost
+    is linear in the reply length (a greedy ``\\{.*\\}`` regex can
+    backtrack quadratically on long texts with many ``{`` and no ``}``).
+    """
+    c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+    first = F.instr(c, "{")
+    last_from_end = F.instr(F.reverse(c), "}")
+    last = F.length(c) - last_from_end + 1
+    ok = (first > 0) & (last_from_end > 0) & (last > first)
+    return F.when(ok, F.substring(c, first, last - first + 1)).otherwise(F.lit(""))
 
 
 def extract_json_strict(df: DataFrame, col: str, schema: T.StructType, out: str = "parsed",

@@ -41,3 +41,16 @@ def test_strip_and_whitespace_match_python(spark):
     for r in got:
         assert r.s == r.t.strip(), repr(r.t)
         assert r.w == "".join(r.t.split()), repr(r.t)
+
+
+def test_brace_span_is_linear_and_matches_find_rfind(spark):
+    import time
+    texts = ["{" * 100000 + "x", "a}b{c}d", "}{", "{}", "pre {\"k\": 1} post } tail", "no braces"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    t0 = time.perf_counter()
+    got = {r.i: r.s for r in df.select("i", PA.json_object_text("t").alias("s")).collect()}
+    assert time.perf_counter() - t0 < 30
+    for i, t in enumerate(texts):
+        a, b = t.find("{"), t.rfind("}")
+        exp = t[a:b + 1] if a != -1 and b != -1 and b > a else ""
+        assert got[i] == exp, t[:20]
