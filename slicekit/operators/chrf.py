@@ -51,18 +51,31 @@ _TARGET_BYTES = 256 << 20
 _EXPANSION = 36
 
 
+def _input_bytes(df: DataFrame) -> int | None:
+    """Bytes the plan reads: the sum of its leaf (scan) size estimates.
+
+    The root estimate is no use here: without cost-based statistics Spark
+    estimates a join as the *product* of its inputs.
+    """
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        total = 0
+        for i in range(leaves.size()):
+            size = leaves.apply(i).stats().sizeInBytes()
+            total += size if isinstance(size, int) else int(size.toString())
+        return total
+    except Exception:  # noqa: BLE001 - no estimate available
+        return None
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Tasks for the n-gram work: explicit, else sized from Catalyst's size
-    estimate of the pairs (never fewer than the shuffle partitions)."""
+    """Tasks for the n-gram work: explicit, else sized from the bytes the
+    pairs are read from (never fewer than the shuffle partitions)."""
     if num_partitions:
         return int(num_partitions)
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        est = size if isinstance(size, int) else int(size.toString())
-    except Exception:  # noqa: BLE001 - no estimate: fall back to the setting
-        return base
-    if est <= 0 or est >= 1 << 60:  # unknown size
+    est = _input_bytes(df)
+    if est is None or est <= 0 or est >= 1 << 60:  # unknown size
         return base
     return max(base, min(200_000, -(-est * _EXPANSION // _TARGET_BYTES)))
 
