@@ -141,3 +141,32 @@ def test_translate_and_locate_calls_each_function_once_per_row(spark):
     assert len(res) == 50 and all(r.span_found for r in res)
     out.count()
     assert calls.value == 50  # written once, never recomputed
+
+
+def test_wave_runner_resumes_only_pending_rows(spark, tmp_path):
+    from slicekit.streaming.stages import run_stage_in_waves
+    store = StageStore(spark, str(tmp_path / "st"))
+    base = spark.createDataFrame([(f"i{k}", f"text {k}", None, None, None) for k in range(40)],
+                                 "id string, context string, tag string, status string, error string")
+    store.write("t", base)
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(rec):  # first run: rows ending in 7 fail
+        calls.add(1)
+        if rec["id"].endswith("7"):
+            raise RuntimeError("transient")
+        return {"tag": rec["context"].upper()}
+
+    work = lambda cur: cur.filter(F.col("tag").isNull()).select("id", "context")
+    out = run_stage_in_waves(store, "t", work, fn, "tag string", ["id"], ["tag"], waves=3)
+    assert calls.value == 40
+    assert out.filter("tag IS NULL").count() == 4 and out.filter("status = 'error'").count() == 4
+
+    def fn2(rec):
+        calls.add(1)
+        return {"tag": rec["context"].upper()}
+
+    out2 = run_stage_in_waves(store, "t", work, fn2, "tag string", ["id"], ["tag"], waves=3)
+    assert calls.value == 44  # only the 4 pending rows were called again
+    assert out2.filter("tag IS NULL").count() == 0 and out2.count() == 40
+    assert len(store.versions("t")) == 7  # the base + one version per wave, nothing overwritten
