@@ -70,10 +70,15 @@ def _input_bytes(df: DataFrame) -> int | None:
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     """Tasks for the n-gram work: explicit, else sized from the bytes the
-    pairs are read from (never fewer than the shuffle partitions)."""
+    pairs are read from (never fewer than the shuffle partitions, nor than
+    two tasks per core)."""
     if num_partitions:
         return int(num_partitions)
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:  # at least two tasks per core: one task per core was ~2x slower (uneven texts)
+        base = max(base, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect)
+        pass
     est = _input_bytes(df)
     if est is None or est <= 0 or est >= 1 << 60:  # unknown size
         return base
