@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once inside a task: bounds the memory of a Python worker.
@@ -21,7 +22,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES
     (a longer single value is a run of its own).  An empty batch gives nothing."""
     if not batch.num_rows:
         return
-    sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + (n or 0) > max_bytes:
@@ -35,24 +36,22 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def row_key() -> Column:
-    """Tells rows that share a doc_id apart; equal only for equal (doc_id, text)."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__k1, __k2``: 128 bits that are never null and tell rows
+    apart by (doc_id, text); only rows equal in both share them."""
+    return docs.withColumns({"__k1": F.xxhash64(F.col("doc_id"), F.col("text")),
+                             "__k2": F.xxhash64(F.col("text"), F.lit("#"), F.col("doc_id"))})
 
 
 def drop_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, row key) is not in ``marked(__id, __key)``.
+    """Rows of ``docs`` whose keys are not in ``marked(__k1, __k2)``.
 
-    A null-safe anti join; AQE broadcasts ``marked`` only when its measured size
-    is under the session's threshold, and else joins by shuffle."""
-    return _against(docs, marked, "left_anti")
+    AQE broadcasts ``marked`` only when its measured size is under the session's
+    threshold, and else joins by shuffle."""
+    return with_row_keys(docs).join(marked, ["__k1", "__k2"], "left_anti").drop("__k1", "__k2")
 
 
-def keep_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, row key) is in ``marked(__id, __key)``."""
-    return _against(docs, marked, "left_semi")
-
-
-def _against(docs: DataFrame, marked: DataFrame, how: str) -> DataFrame:
-    d, m = docs.withColumn("__row_key", row_key()), marked
-    return d.join(m, (d["__row_key"] == m["__key"]) & d["doc_id"].eqNullSafe(m["__id"]), how).drop("__row_key")
+def keep_one_row(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each key of ``marked(__k1, __k2)``."""
+    return (with_row_keys(docs).join(marked, ["__k1", "__k2"], "left_semi")
+            .dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2"))
