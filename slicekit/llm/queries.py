@@ -1,11 +1,52 @@
-"""The queries of this subpackage over the driver tables, and their SQL oracles."""
+"""The queries of this subpackage over the driver tables, and their SQL oracles.
+
+Each query applies one operator, with its production parameters, to the whole
+of its tables and returns its full result.
+"""
 
 from __future__ import annotations
 
 from .common import read_table
 from .counts import count_tokens
+from .decontam import WINDOW, contamination
+from .langid import identify_languages
 from .packing import pack_documents
+from .quality import classify
+from .simhash import simhash_components
+from .spans import span_dedup
 from .token_files import token_file_digest
+from .topk import nearest_vectors
+from .urls import filter_urls
+
+
+def op1_language_id(spark, sf_dir):
+    """The language of every document by cross-parsing."""
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op2_top_k(spark, sf_dir):
+    """The five best other vectors for every fiftieth one."""
+    return nearest_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op3_url_filter(spark, sf_dir):
+    """Rule and verdict of every page's url."""
+    return filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op4_decontamination(spark, sf_dir):
+    """How much of every document are windows of benchmark items."""
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("__k1", "__k2")
+
+
+def op5_span_dedup(spark, sf_dir):
+    """All documents without the sentence spans that occurred before."""
+    return span_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark, sf_dir):
+    """The classifier's verdict on every document."""
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op7_token_files(spark, sf_dir):
@@ -18,10 +59,60 @@ def op8_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     """Bytes and tokens of every document."""
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_token_files, op8_best_fit_packing, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_top_k, op3_url_filter, op4_decontamination, op5_span_dedup, op6_quality, op7_token_files,
+    op8_best_fit_packing, op9_simhash, op10_token_counts)}
+
+# -- SQL for the results that SQL can express
+
+_OP2 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.w) + 1), i -> q.w[i] * c.w[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_OP4 = f"""
+WITH folded AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(list_slice(w, i, i + least(len(w), {WINDOW}) - 1), ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM folded, sizes WHERE len(w) >= n)),
+found AS (SELECT DISTINCT r, i, grams.n, item_id FROM grams JOIN windows ON grams.n = windows.n AND grams.g = windows.g),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+of AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+       FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM folded LEFT JOIN hit USING (r) LEFT JOIN of USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_top_k": _OP2, "op4_decontamination": _OP4}
