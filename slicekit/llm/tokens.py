@@ -14,15 +14,13 @@ import re
 
 import numpy as np
 
-#: The Unicode White_Space characters.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-
-_W = "\t-\r \x85\xa0  -     　"
-_LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+# The Unicode White_Space characters, as the inside of a character class.
+_W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _PUNCT = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which may begin a contraction
 
 
-def piece_pattern(spec: dict) -> re.Pattern | None:
+def piece_pattern(tok) -> re.Pattern | None:
     """The pattern whose matches are independent pieces for the tokenizer, or
     None where no safe boundary is known (whole texts are encoded then).
 
@@ -30,12 +28,10 @@ def piece_pattern(spec: dict) -> re.Pattern | None:
     pre-tokenisation pattern; files that drop white space cut at all of it.  A
     run of Latin letters is cut off before ASCII punctuation: both kinds of
     file end a letter run there."""
-    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    plain = all(not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") and not t.get("normalized")
-                for t in spec.get("added_tokens", []))
-    if not plain:
+    pre, norm = (json.loads(part.__getstate__()) if part else {} for part in (tok.pre_tokenizer, tok.normalizer))
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tok.get_added_tokens_decoder().values()):
         return None
-    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
         return re.compile(f" ?[{_LATIN}]+(?=[{_PUNCT}])| ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
     steps = pre.get("pretokenizers", [])
     drops_space = (len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("invert")
@@ -43,7 +39,7 @@ def piece_pattern(spec: dict) -> re.Pattern | None:
                    and steps[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
                    and not steps[1].get("add_prefix_space"))
     known = {"NFC", "Lowercase", "Replace"}
-    if drops_space and norm and norm.get("type") == "Sequence" and {n["type"] for n in norm["normalizers"]} <= known:
+    if drops_space and norm.get("type") == "Sequence" and {n["type"] for n in norm["normalizers"]} <= known:
         return re.compile(f"[{_LATIN}]+(?=[{_PUNCT}])|[^{_W}]+")
     return None
 
@@ -62,16 +58,14 @@ class PieceEncoder:
     The piece table is emptied when it passes ``max_pieces``, which bounds the
     memory of a worker whatever the texts hold."""
 
-    def __init__(self, path: str, max_pieces: int = 800_000):
+    def __init__(self, path: str, max_pieces: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.pattern = piece_pattern(spec)
-        special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
+        self.pattern = piece_pattern(self.tok)
+        special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.max_pieces = max_pieces
         self._reset()
