@@ -105,7 +105,7 @@ class CrossParser:
             tables.append((((nxt * width + base) << 1) | fails).ravel())
             self.root.append(base)
             base += nxt.size
-        self.table = np.concatenate(tables).astype(np.int32 if base < 1 << 30 else np.int64)
+        self.table = np.concatenate(tables or [np.zeros(0, np.int64)]).astype(np.int32 if base < 1 << 30 else np.int64)
 
     def phrases(self, s: np.ndarray, per: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) for each language (columns)."""
