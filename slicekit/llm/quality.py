@@ -62,20 +62,16 @@ def shape(text: str) -> list[float]:
             1 - len(set(words)) / n if words else 0.0]
 
 
-def _vote(value: float, bad_above: float, good_below: float) -> int:
-    return 0 if value > bad_above else 1 if value < good_below else 2
-
-
 def votes(text: str | None) -> tuple[list[int], list[int]]:
-    """The heuristic labellers' votes on both axes: 0 bad, 1 good, 2 nothing."""
+    """The heuristic labellers' votes on both axes: 0 bad, 1 good, 2 nothing.  Those
+    of low quality look for one kind of junk each and are silent otherwise, but the
+    last, which finds texts without any sign of junk good."""
     symbols, capitals, bars, echoes, variety = shape(text or "")
     n = len((text or "").split())
-    words = words_of((text or "").lower())
-    insults = len(INSULTS.intersection(words))
-    quality = [_vote(symbols, 0.04, 0.01), _vote(capitals, 0.3, 0.1) if n > 3 else 2, _vote(bars, 0.15, 0.02),
-               _vote(echoes, 0.15, 0.03) if n > 3 else 2, _vote(variety, 0.7, 0.5) if n > 20 else 2]
-    toxic = [0 if insults else 1]
-    return quality, toxic
+    signs = [symbols > 0.04, capitals > 0.3 and n > 3, bars > 0.15, echoes > 0.15 and n > 3, variety > 0.7 and n > 20]
+    plain = symbols < 0.01 and capitals < 0.1 and bars < 0.02 and echoes < 0.03 and variety < 0.5
+    insults = len(INSULTS.intersection(words_of((text or "").lower())))
+    return [0 if s else 2 for s in signs] + [1 if plain else 2], [0 if insults else 1]
 
 
 def _pack(v: list[int]) -> int:
