@@ -55,10 +55,10 @@ class _Codes(dict):
 class PieceEncoder:
     """Ids and lengths of texts for a tokenizer file.
 
-    The piece table is emptied when it passes ``max_pieces``, which bounds the
-    memory of a worker whatever the texts hold."""
+    When the piece table passes ``max_pieces`` only the more frequent half is
+    kept, which bounds the memory of a worker whatever the texts hold."""
 
-    def __init__(self, path: str, max_pieces: int = 250_000):
+    def __init__(self, path: str, max_pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
@@ -75,8 +75,23 @@ class PieceEncoder:
         self.lens = np.zeros(1 << 12, np.int64)
         self.starts = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
+        self.met = np.zeros(1 << 12, np.int64)  # how often each piece was met
         self.known = self.used = 0
 
+    def _forget(self) -> None:
+        """Keep the pieces met most often, half of the table at most."""
+        kept = np.sort(np.argsort(-self.met[:self.known], kind="stable")[:self.max_pieces // 2])
+        kept = kept[self.met[kept] > 1]
+        pieces = list(self.codes)
+        lens, starts = self.lens[kept], self.starts[kept]
+        first = np.cumsum(lens) - lens
+        flat = self.flat[np.repeat(starts - first, lens) + np.arange(int(lens.sum()))]
+        met = self.met[kept] // 2
+        self._reset()
+        self.codes.update((pieces[k], i) for i, k in enumerate(kept.tolist()))
+        self.known, self.used = len(kept), len(flat)
+        self.lens, self.starts, self.flat, self.met = (_grown(x, 1 << 12) for x in (lens, first, flat, met))
+
     def _pieces(self, text: str) -> list[str]:
         if self.pattern is None:
             return [text] if text else []
@@ -90,9 +105,8 @@ class PieceEncoder:
     def _learn(self) -> None:
         """Encode the pieces met since the last call, in batches of about a megabyte."""
         new = list(itertools.islice(self.codes, self.known, None))
-        while self.known + len(new) > len(self.lens):
-            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        if self.known + len(new) > len(self.lens):
+            self.lens, self.starts, self.met = (_grown(x, self.known + len(new)) for x in (self.lens, self.starts, self.met))
         at = 0
         while at < len(new):
             end, held = at, 0
@@ -102,8 +116,8 @@ class PieceEncoder:
             ids = [e.ids for e in self.tok.encode_batch(new[at:end], add_special_tokens=False)]
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
             total = int(lens.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            if self.used + total > len(self.flat):
+                self.flat = _grown(self.flat, self.used + total)
             self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
             k = self.known
             self.lens[k:k + len(ids)] = lens
@@ -115,12 +129,13 @@ class PieceEncoder:
     def _code(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts one after the other, and pieces per text."""
         if len(self.codes) > self.max_pieces:
-            self._reset()
+            self._forget()
         number = self.codes.__getitem__
         coded = [list(map(number, self._pieces(t))) if t else [] for t in texts]
         per = np.fromiter(map(len, coded), np.int64, len(coded))
         codes = np.fromiter(itertools.chain.from_iterable(coded), np.int64, int(per.sum()))
         self._learn()
+        self.met[:self.known] += np.bincount(codes, minlength=self.known)
         return codes, per
 
     def lengths(self, texts: list[str | None]) -> np.ndarray:
@@ -138,6 +153,13 @@ class PieceEncoder:
         return self.flat[at], _sums(lens, per)
 
 
+def _grown(x: np.ndarray, least: int) -> np.ndarray:
+    """``x`` with room for ``least`` values and a quarter more."""
+    out = np.zeros(max(least + least // 4, len(x)), x.dtype)
+    out[:len(x)] = x
+    return out
+
+
 def _sums(values: np.ndarray, per: np.ndarray) -> np.ndarray:
     ends = np.cumsum(per)
     total = np.concatenate([[0], np.cumsum(values)])

@@ -58,7 +58,7 @@ def test_many_shards_and_the_second_round(spark):
         assert r.offset == fill[r.sequence_id]
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 1024
-    assert len(fill) <= -(-sum(sizes) // 1024) * 1.02 + 1
+    assert len(fill) <= -(-sum(sizes) // 1024) * 1.03 + 1  # shards of 300 pieces
 
 
 def test_evolution_keeps_all_pieces_and_does_not_get_worse():

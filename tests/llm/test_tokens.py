@@ -59,9 +59,10 @@ def test_the_piece_table_is_bounded(pair):
     own = PieceEncoder(tokenizer_path(FILES[0]), max_pieces=10)
     library = Tokenizer.from_file(tokenizer_path(FILES[0]))
     rng = random.Random(2)
-    for _ in range(5):
-        _same((own, library), [prose(rng, 3)])
+    for _ in range(30):
+        _same((own, library), [prose(rng, 3) + " the the the"])
         assert len(own.codes) < 200
+    assert " the" in own.codes
 
 
 def test_counts_of_every_row(spark):
@@ -114,7 +115,7 @@ def test_token_files_hold_all_documents_in_order(spark, tmp_path):
     docs = with_clashes(documents(spark, EDGE_ROWS))
     path = str(tmp_path / "files")
     write_token_files(docs, path, segment_tokens=100)
-    assert spark.read.parquet(path).count() > 3  # several segments
+    assert spark.read.parquet(path).count() >= 3  # several segments
     want, at = [], 0
     for d, t in sorted(EDGE_ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
         ids = library.encode(t or "", add_special_tokens=False).ids + [1]
