@@ -100,7 +100,7 @@ class UrlModel:
                 n, t = self.context[y][c].astype(float), self.followers[y][c].astype(float)
                 seen = np.minimum(self.gram[y][g], n)
                 p = np.where(n > 0, (seen + t * p) / np.maximum(n + t, 1), p)
-            logs.append(np.log(np.maximum(p, 1e-12)))
+            logs.append(np.log(p))
         total = np.concatenate([[0], np.cumsum(logs[0] - logs[1])])
         ends = np.cumsum(size)
         return (total[ends] - total[ends - size]) / size
