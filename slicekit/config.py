@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the studied pipeline's vocabularies)
@@ -30,10 +29,10 @@ QA_ALERT_PP = -30.0
 class LangSpec:
     lang: str
     name: str
-    native_dataset: str
-    translated_dataset: str
+    native_dataset: str | None       # null: a language with translations only
+    translated_dataset: str | None
     phenomena: tuple[str, ...]
-    domains: tuple[str, ...]
+    domains: tuple[str, ...] = ()
     required: tuple[str, ...] = ()   # MT quota buckets that gate sampling
     bonus: tuple[str, ...] = ()      # MT buckets tracked but not gating
 
@@ -60,10 +59,13 @@ class EvalConfig:
 
     @property
     def datasets(self) -> tuple[str, ...]:
-        out: list[str] = []
-        for s in self.langs:
-            out += [s.native_dataset, s.translated_dataset]
-        return tuple(out)
+        return tuple(d for _, d, _ in self.benchmarks)
+
+    @property
+    def benchmarks(self) -> tuple[tuple[str, str, str], ...]:
+        """(lang, dataset, role) in canonical order; languages without QA have none."""
+        return tuple((s.lang, d, role) for s in self.langs
+                     for d, role in ((s.native_dataset, "native"), (s.translated_dataset, "translated")) if d)
 
     @property
     def all_phenomena(self) -> tuple[str, ...]:
@@ -87,8 +89,7 @@ class EvalConfig:
     # -- literal column expressions ---------------------------------------
     def dataset_rank(self, col: Column | str) -> Column:
         """Canonical dataset order (per language: native, translated); unknown -> null."""
-        m = F.create_map(*[x for i, d in enumerate(self.datasets) for x in (F.lit(d), F.lit(i))])
-        return F.try_element_at(m, _c(col))
+        return _lookup({d: F.lit(i) for i, d in enumerate(self.datasets)}, col)
 
     def model_rank(self, col: Column | str) -> Column:
         m = F.create_map(*[x for i, d in enumerate(self.models) for x in (F.lit(d), F.lit(i))])
@@ -100,15 +101,14 @@ class EvalConfig:
 
     def dataset_role(self, col: Column | str) -> Column:
         """'native' / 'translated' / null for a dataset name."""
-        pairs = []
-        for s in self.langs:
-            pairs += [F.lit(s.native_dataset), F.lit("native"),
-                      F.lit(s.translated_dataset), F.lit("translated")]
-        return F.try_element_at(F.create_map(*pairs), _c(col))
+        return _lookup({d: F.lit(role) for _, d, role in self.benchmarks}, col)
 
     def native_dataset(self, lang_col: Column | str) -> Column:
-        m = F.create_map(*[x for s in self.langs for x in (F.lit(s.lang), F.lit(s.native_dataset))])
-        return F.try_element_at(m, _c(lang_col))
+        return _lookup({s.lang: F.lit(s.native_dataset) for s in self.langs if s.native_dataset}, lang_col)
+
+    def domains_of(self, lang_col: Column | str) -> Column:
+        """Per-language domain vocabulary as an array expression."""
+        return _lookup({s.lang: F.array(*[F.lit(d) for d in s.domains]).cast("array<string>") for s in self.langs}, lang_col)
 
     def phenomena_of(self, lang_col: Column | str) -> Column:
         """Per-language phenomenon vocabulary as an array expression."""
@@ -135,40 +135,18 @@ class EvalConfig:
         m = F.create_map(*[x for k in self.models for x in (F.lit(k), F.lit(labels.get(k, k)))])
         return F.coalesce(F.try_element_at(m, _c(col)), _c(col))
 
-    # -- tiny literal tables (size = size of the config) ---------------------
-    def lang_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(s.lang, s.name, s.native_dataset, s.translated_dataset, list(s.phenomena),
-                 list(s.domains), i) for i, s in enumerate(self.langs)]
-        return spark.createDataFrame(rows, "lang string, name string, native_dataset string, "
-                                           "translated_dataset string, phenomena array<string>, "
-                                           "domains array<string>, lang_ord int")
-
-    def vocab_df(self, spark: SparkSession, required_only: bool = False) -> DataFrame:
-        rows = []
-        for i, s in enumerate(self.langs):
-            vocab = s.required if required_only else s.phenomena
-            rows += [(s.lang, p, i, j) for j, p in enumerate(vocab)]
-        return spark.createDataFrame(rows, "lang string, phenomenon string, lang_ord int, ph_ord int")
-
-    def models_df(self, spark: SparkSession) -> DataFrame:
-        labels = dict(self.model_labels)
-        return spark.createDataFrame([(m, i, labels.get(m, m)) for i, m in enumerate(self.models)],
-                                     "model string, model_ord int, label string")
-
-    def bucket_df(self, spark: SparkSession) -> DataFrame:
-        rows = []
-        for s in self.langs:
-            rows += [(s.lang, p, True) for p in s.required]
-            rows += [(s.lang, p, False) for p in s.bonus]
-        return spark.createDataFrame(rows, T.StructType([
-            T.StructField("lang", T.StringType()), T.StructField("phenomenon", T.StringType()),
-            T.StructField("required", T.BooleanType())]))
-
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _lookup(values: dict[str, Column], col: Column | str) -> Column:
+    """The value of a literal map, null for other keys and for an empty map."""
+    if not values:
+        return F.lit(None)
+    return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), _c(col))
+
+
 # ---------------------------------------------------------------------------
 # Presets
 # ---------------------------------------------------------------------------
@@ -201,6 +179,9 @@ PILOT = EvalConfig(
                  ("noun_class_concord", "applicative", "passive", "locative_ni"),
                  ("east_african_history", "east_african_geography", "general"),
                  required=("noun_class_concord", "passive", "locative_ni"), bonus=("applicative",)),
+        LangSpec("fr", "French", None, None,
+                 ("clitic_pronoun", "subjunctive", "complex_NP_relative", "past_participle_agreement"),
+                 required=("clitic_pronoun", "subjunctive", "complex_NP_relative"), bonus=("past_participle_agreement",)),
     ),
     models=("gemini_3_pro", "deepseek_v4_pro", "gemma_4_31b_it", "llama_31_8b"),
     model_labels=(("gemini_3_pro", "Gemini 3.1 Pro"), ("deepseek_v4_pro", "DeepSeek V4 Pro"),

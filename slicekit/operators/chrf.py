@@ -115,7 +115,8 @@ def chrf_stats(pairs: DataFrame, keys: list[str], hyp: str = "hyp", ref: str = "
     per_gram = x.groupBy(*keys, "n", "g").agg(F.count_if("is_h").alias("hc"), F.count_if(~F.col("is_h")).alias("rc"))
     per_n = per_gram.groupBy(*keys, "n").agg(F.sum("hc").alias("h"), F.sum("rc").alias("r"),
                                               F.sum(F.least("hc", "rc")).alias("m"))
-    return per_n.select(*keys, "n", F.when(F.col("r") > 0, F.col("h")).otherwise(F.lit(0)).alias("h"), "r", "m")
+    return per_n.select(*keys, "n", F.when(F.col("r") > 0, F.col("h")).otherwise(F.lit(0)).alias("h"), "r", "m",
+                        F.when(F.col("n") == 0, F.col("h")).alias("pairs"))
 
 
 def chrf_sentence(pairs: DataFrame, keys: list[str], hyp: str = "hyp", ref: str = "ref",
@@ -123,15 +124,18 @@ def chrf_sentence(pairs: DataFrame, keys: list[str], hyp: str = "hyp", ref: str
                   repartition: bool = True, num_partitions: int | None = None) -> DataFrame:
     """One chrF score (0-100) per pair with a non-empty hypothesis.
 
-    Precision and recall are averaged over the *effective* orders (both sides
+    Pairs that share a key are told apart by a hash of their texts; a pair that
+    occurs k times gives k rows (its counts are k-fold on both sides, which
+    leaves the score as it is).  Precision and recall are averaged over the *effective* orders (both sides
     have n-grams), then combined as F-beta.  No effective order -> 0.0.
     """
-    st = chrf_stats(pairs, keys, hyp, ref, order, repartition, num_partitions)
+    out_keys, keys = keys, [*keys, "_texts"]
+    st = chrf_stats(pairs.withColumn("_texts", F.xxhash64(hyp, ref)), keys, hyp, ref, order, repartition, num_partitions)
     prec = F.when(F.col("h") > 0, F.col("m") / F.col("h")).otherwise(F.lit(0.0))
     rec = F.when(F.col("r") > 0, F.col("m") / F.col("r")).otherwise(F.lit(0.0))
     eff = (F.col("h") > 0) & (F.col("r") > 0)
-    st = st.select(*keys, "n", prec.alias("p"), rec.alias("q"), eff.alias("e"))
-    aggs = []
+    st = st.select(*keys, "n", prec.alias("p"), rec.alias("q"), eff.alias("e"), "pairs")
+    aggs = [F.max("pairs").alias("pairs")]
     for n in range(1, order + 1):
         aggs += [F.max(F.when(F.col("n") == n, F.col("p"))).alias(f"p{n}"),
                  F.max(F.when(F.col("n") == n, F.col("q"))).alias(f"q{n}")]
@@ -145,7 +149,8 @@ def chrf_sentence(pairs: DataFrame, keys: list[str], hyp: str = "hyp", ref: str
     R = F.when(F.col("eff") > 0, qsum / F.col("eff")).otherwise(F.lit(0.0))
     f = float(beta) ** 2
     score = F.when(P + R > 0, F.lit(100.0) * ((F.lit(1.0 + f) * P * R) / (F.lit(f) * P + R))).otherwise(F.lit(0.0))
-    return per_pair.select(*keys, score.alias(out))
+    scored = per_pair.select(*out_keys, score.alias(out), "pairs")
+    return scored.select(*out_keys, out, F.explode(F.sequence(F.lit(1), F.col("pairs")))).select(*out_keys, out)
 
 
 def chrf_corpus(scored: DataFrame, group_cols: list[str], col: str = "chrf") -> DataFrame:

@@ -3,7 +3,7 @@
 The expensive calls of an evaluation (a model answering, a judge grading, a
 translator) are user functions.  Spark runs them over the *pending* rows only
 (see :mod:`slicekit.operators.jobs`), one Arrow batch at a time inside
-``mapInPandas``; the parallelism is the number of partitions of the work
+``mapInArrow``; the parallelism is the number of partitions of the work
 list, which :func:`enrich_missing` can spread with a round-robin
 repartition so slow calls do not pile up in one task.
 
@@ -17,9 +17,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialize, ship_package
 
@@ -40,7 +42,7 @@ def _result_schema(work: DataFrame, keys: list[str], out: T.StructType) -> T.Str
 
 
 def _err(e: BaseException) -> str:
-    return f"{type(e).__name__}: {e}"[:500]
+    return f"{type(e).__name__}: {e}"
 
 
 def enrich_missing(work: DataFrame, fn: RowFn, out_schema: T.StructType | str, keys: list[str],
@@ -55,11 +57,12 @@ def enrich_missing(work: DataFrame, fn: RowFn, out_schema: T.StructType | str, k
     out = _as_struct(out_schema)
     res_schema = _result_schema(work, keys, out)
     names = [f.name for f in out.fields]
+    arrow_schema = to_arrow_schema(res_schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for rec in pdf.to_dict("records"):
+            for rec in batch.to_pylist():  # nulls are None and integers stay integers
                 row = {k: rec[k] for k in keys}
                 try:
                     res = fn(rec) or {}
@@ -69,11 +72,11 @@ def enrich_missing(work: DataFrame, fn: RowFn, out_schema: T.StructType | str, k
                     row.update({n: None for n in names})
                     row.update(status="error", error=_err(e))
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=[f.name for f in res_schema.fields])
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
     ship_package(work.sparkSession)
     w = work.repartition(parallelism) if parallelism else work
-    return w.mapInPandas(run, res_schema)
+    return w.mapInArrow(run, res_schema)
 
 
 def score_batches(work: DataFrame, scorer: BatchFn, out_schema: T.StructType | str, keys: list[str],
@@ -192,14 +195,14 @@ def translate_and_locate(rows: DataFrame, translate_fn: RowFn, locate_fn: RowFn,
     the audit sees every row (rows are matched by key, never by position)."""
     from .prep import verify_spans
 
-    # the translations feed two branches below: write them once so the
-    # translator is never called twice for a row
+    # the translations feed two branches below, and the caller may use the
+    # result more than once: both are written, so no function runs twice for a row
     t = materialize(enrich_missing(rows, translate_fn, "question string, context string", [key], parallelism),
                     "translations")
     t_ok = t.filter(F.col("status") == "ok").drop("status", "error")
     src = rows.drop("question", "context") if "question" in rows.columns else rows
     located_in = t_ok.join(src, key)
-    loc = enrich_missing(located_in, locate_fn, "gold string, span_found boolean", [key], parallelism)
+    loc = materialize(enrich_missing(located_in, locate_fn, "gold string, span_found boolean", [key], parallelism), "located")
     merged = (t.select(key, "question", "context", F.col("status").alias("t_status"), F.col("error").alias("t_error"))
               .join(loc.select(key, "gold", "span_found", F.col("status").alias("l_status"),
                                F.col("error").alias("l_error")), key, "left"))

@@ -62,9 +62,12 @@ def pending_translate(mt_items: DataFrame, translations: DataFrame, cfg: EvalCon
     return pending(jobs, translations.filter(F.col("hyp").isNotNull()), ["id", "model"])
 
 
-def pending_metric(translations: DataFrame, scores: DataFrame, metric: str) -> DataFrame:
-    """Pairs with a non-empty hypothesis and no value for ``metric`` yet."""
-    done = scores.filter(F.col(metric).isNotNull())
+def pending_metric(translations: DataFrame, scores: DataFrame, metric: str, status: str | None = None) -> DataFrame:
+    """Pairs with a non-empty hypothesis and no answer for ``metric`` yet.
+
+    With a ``status`` column an answered pair (``'ok'``) is done even if the
+    answer held no value; without one only the value can tell."""
+    done = scores.filter(F.col(status) == "ok" if status else F.col(metric).isNotNull())
     todo = translations.filter(F.col("hyp").isNotNull() & (F.length("hyp") > 0))
     return pending(todo, done, ["id", "model"])
 
@@ -74,16 +77,25 @@ def new_candidates(candidates: DataFrame, cached: DataFrame, key: str = "id") ->
     return candidates.join(cached.select(key), key, "left_anti")
 
 
+def _one_per_key(df: DataFrame, keys: list[str], name: str, status: str, order: str | None) -> DataFrame:
+    row = F.struct(*[c for c in df.columns if c not in keys])
+    ok = F.coalesce(F.col(status) == "ok", F.lit(False)) if status in df.columns else F.lit(True)
+    last = F.col(order) if order and order in df.columns else F.to_json(row)
+    return df.groupBy(*keys).agg(F.max_by(row, F.struct(ok, last)).alias(name))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], payload: list[str],
-           status: str = "status") -> DataFrame:
+           status: str = "status", order: str | None = None) -> DataFrame:
     """Merge stage results into the table by key.
 
     A new row with ``status = 'ok'`` replaces the payload; a failed new row
     leaves the old payload (and records its error); keys only in one side are
-    kept.  Both sides are shuffled once on the key; the merge is row-local.
+    kept.  Of several rows with one key an 'ok' row counts before a failed one,
+    then the last by column ``order`` (without it: the greatest as JSON text).
+    Both sides are shuffled once on the key; the merge is row-local.
     """
-    o = old.select(*keys, F.struct(*[c for c in old.columns if c not in keys]).alias("_o"))
-    n = new.select(*keys, F.struct(*[c for c in new.columns if c not in keys]).alias("_n"))
+    o = _one_per_key(old, keys, "_o", status, order)
+    n = _one_per_key(new, keys, "_n", status, order)
     j = o.join(n, keys, "full_outer")
     ok = F.coalesce(F.col(f"_n.{status}") == F.lit("ok"), F.lit(False))
     cols = []

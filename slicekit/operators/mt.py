@@ -17,12 +17,13 @@ from ..functions.tags import has_tag
 
 
 def system_level(flat: DataFrame, cfg: EvalConfig, metrics: tuple[str, ...] = MT_METRICS) -> DataFrame:
-    """(lang, model) -> n rows, scored rows per metric, mean per metric."""
+    """(lang, model) -> n rows, scored rows per metric, mean per metric, in
+    the order of languages and models in the config."""
     sub = flat.filter(F.col("lang").isin(*(cfg.mt_langs or cfg.lang_codes)))
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.count(m).alias(f"n_{m}") for m in metrics]
     aggs += [F.avg(m).alias(m) for m in metrics]
-    return sub.groupBy("lang", "model").agg(*aggs)
+    return sub.groupBy("lang", "model").agg(*aggs).orderBy(cfg.lang_rank("lang"), cfg.model_rank("model").asc_nulls_last(), "model")
 
 
 def per_tag(flat: DataFrame, cfg: EvalConfig, metrics: tuple[str, ...] = MT_METRICS,

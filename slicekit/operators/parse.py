@@ -32,13 +32,24 @@ def json_object_text(col: Column | str) -> Column:
     return F.when(ok, F.substring(c, first, last - first + 1)).otherwise(F.lit(""))
 
 
+def _one_object(txt: Column) -> Column:
+    """Whether the text, put into an array (and that into another), is its only element."""
+    one = F.lit(True)
+    for left, right in (("[", "]"), ("[[", "]]")):
+        n = F.json_array_length(F.concat(F.lit(left), txt, F.lit(right)))
+        one = one & F.coalesce(n == 1, F.lit(False))
+    return one
+
+
 def extract_json_strict(df: DataFrame, col: str, schema: T.StructType, out: str = "parsed",
                         required: Iterable[str] = ()) -> DataFrame:
     """P10: parse the JSON object inside a reply.
 
     Adds ``out`` (struct of ``schema``), ``status`` ('ok' / 'error') and
     ``error`` (null, 'no JSON object', 'invalid JSON' or 'missing <field>').
-    Single-quoted pseudo-JSON is rejected as Python's parser would.
+    Single-quoted pseudo-JSON is rejected as Python's parser would, and so is
+    anything between the outer braces that is more than one object: ``from_json``
+    alone would take the first of two objects.
     """
     full = T.StructType(list(schema.fields) + [T.StructField(_CORRUPT, T.StringType())])
     txt = json_object_text(col)
@@ -46,7 +57,8 @@ def extract_json_strict(df: DataFrame, col: str, schema: T.StructType, out: str
                                      "allowSingleQuotes": "false"})
     x = df.withColumn("_txt", txt).withColumn("_p", parsed)
     err = (F.when(F.col("_txt") == "", F.lit("no JSON object"))
-            .when(F.col("_p").isNull() | F.col(f"_p.{_CORRUPT}").isNotNull(), F.lit("invalid JSON")))
+            .when(F.col("_p").isNull() | F.col(f"_p.{_CORRUPT}").isNotNull() | ~_one_object(F.col("_txt")),
+                  F.lit("invalid JSON")))
     for f in required:
         err = err.when(F.col(f"_p.{f}").isNull(), F.lit(f"missing {f}"))
     x = x.withColumn("error", err)

@@ -181,12 +181,18 @@ def align_parallel(rows: DataFrame, key: str, role: str, src_role: str, tgt_role
 
 
 def merge_existing(fresh: DataFrame, existing: DataFrame, allowed_datasets: Iterable[str],
-                   key: str = "id") -> DataFrame:
+                   key: str = "id", order: str | None = None) -> DataFrame:
     """An existing record wins over the fresh one with the same key; existing
-    records not in the fresh set are kept when their dataset is allowed."""
+    records not in the fresh set are kept when their dataset is allowed.
+
+    Of existing records with one key the last by column ``order`` counts;
+    without it the greatest as JSON text, so that the choice does not depend on
+    how the rows lie."""
     cols = fresh.columns
-    ex = existing.select(*cols)
-    ex_tag = ex.select(key, F.struct(*[F.col(c) for c in cols]).alias("_ex"))
+    record = F.struct(*[F.col(c) for c in cols])
+    last = F.col(order) if order else F.to_json(record)
+    ex_tag = existing.groupBy(key).agg(F.max_by(record, last).alias("_ex"))
+    ex = ex_tag.select("_ex.*")
     merged = fresh.join(ex_tag, key, "left").select(
         *[F.when(F.col("_ex").isNotNull(), F.col(f"_ex.{c}")).otherwise(F.col(c)).alias(c) for c in cols])
     extras = extra_ids(ex, fresh, key).filter(F.col("dataset").isin(*list(allowed_datasets)))

@@ -64,16 +64,6 @@ def flatten_all(cells: DataFrame, items: DataFrame | None, cfg: EvalConfig) -> D
 # ---------------------------------------------------------------------------
 # Flatten MT results
 # ---------------------------------------------------------------------------
-def scores_wide(scores_long: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    """Long ``(id, model, metric, value)`` -> one row per (id, model).
-
-    A conditional aggregation (not ``pivot``), so the value list is fixed and
-    the plan is a single partial + final hash aggregate.
-    """
-    return scores_long.groupBy("id", "model").agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
-
-
 def flatten_mt(mt_items: DataFrame, scores: DataFrame, cfg: EvalConfig,
                metrics: tuple[str, ...] = ("chrf", "comet", "adequacy", "fluency")) -> DataFrame:
     """One row per (item, configured model); metrics stay null when missing.
@@ -113,9 +103,9 @@ def category_pivot(by_category: DataFrame, values: tuple[str, ...], value_col: s
 
 
 def per_tag_pivot(per_tag_long: DataFrame, models: tuple[str, ...], value_col: str) -> DataFrame:
-    """(lang, phenomenon) x model for one statistic; all-null rows dropped."""
+    """(lang, phenomenon) x model for one statistic, rows sorted; all-null rows dropped."""
     p = per_tag_long.groupBy("lang", "phenomenon").pivot("model", list(models)).agg(F.first(value_col))
-    return p.dropna(how="all", subset=list(models))
+    return p.dropna(how="all", subset=list(models)).orderBy("lang", "phenomenon")
 
 
 def panel_key(dataset: Column | str = "dataset", condition: Column | str = "condition") -> Column:
@@ -154,23 +144,18 @@ def nest_results(items: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def slim_items(items: DataFrame, cells: DataFrame, cfg: EvalConfig, condition: str = "openbook") -> DataFrame:
-    """R10 + P16: per item, the open-book entries of all models and the
-    tri-state split into correct / wrong models (ordered by config rank)."""
+    """R10 + P16: per item, one open-book entry for each configured model (with
+    null fields where the model has none) and the tri-state split into correct /
+    wrong models, all in config order."""
     c = cells.filter(F.col("condition") == condition).filter(F.col("model").isin(*cfg.models))
-    rank = cfg.model_rank("model")
-    agg = c.groupBy("id").agg(
-        F.collect_list(F.struct(rank.alias("ord"), "model", "prediction", "verdict", "reason",
-                                "correct")).alias("entries"))
-    srt = F.array_sort(F.col("entries"))
-    correct_m = F.transform(F.filter(srt, lambda e: e["correct"] == F.lit(True)), lambda e: e["model"])
-    wrong_m = F.transform(F.filter(srt, lambda e: e["correct"] == F.lit(False)), lambda e: e["model"])
-    slim = agg.select("id", srt.alias("openbook"), correct_m.alias("correct_models"),
-                      wrong_m.alias("wrong_models"))
-    slim = slim.select("*", F.size("correct_models").alias("n_correct"), F.size("wrong_models").alias("n_wrong"))
-    out = items.select("id", "dataset", "lang", "question", "context", "gold", "tags").join(slim, "id", "left")
-    empty = F.array().cast("array<string>")
-    return out.select("id", "dataset", "lang", "question", "context", "gold", "tags", "openbook",
-                      F.coalesce("correct_models", empty).alias("correct_models"),
-                      F.coalesce("wrong_models", empty).alias("wrong_models"),
-                      F.coalesce("n_correct", F.lit(0)).alias("n_correct"),
-                      F.coalesce("n_wrong", F.lit(0)).alias("n_wrong"))
+    fields = ("prediction", "verdict", "reason", "correct")
+    entry = F.struct("model", *fields)
+    agg = c.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("model", entry.alias("e")))).alias("by"))
+    cols = ("id", "dataset", "lang", "question", "context", "gold", "tags")
+    out = items.select(*cols).join(agg, "id", "left")
+    of = lambda m: F.try_element_at("by", F.lit(m))
+    entries = F.array(*[F.struct(F.lit(m).alias("model"), *[of(m)[f].alias(f) for f in fields]) for m in cfg.models])
+    out = out.select(*cols, entries.alias("openbook"))
+    split = lambda right: F.transform(F.filter("openbook", lambda e: e["correct"] == F.lit(right)), lambda e: e["model"])
+    out = out.select(*cols, "openbook", split(True).alias("correct_models"), split(False).alias("wrong_models"))
+    return out.select("*", F.size("correct_models").alias("n_correct"), F.size("wrong_models").alias("n_wrong"))

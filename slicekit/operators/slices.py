@@ -62,7 +62,8 @@ def present_langs(df: DataFrame, cfg: EvalConfig) -> DataFrame:
 def coverage(items: DataFrame, cfg: EvalConfig) -> DataFrame:
     """Per (lang, dataset), tagged items only: n, count per phenomenon, none,
     per paraphrase class, per domain.  Vocabulary from config so zero counts
-    appear; a dataset without tagged items yields no row."""
+    appear; what only other languages have is null.  A dataset without tagged
+    items yields no row."""
     tagged = items.filter(F.col("tags").isNotNull() & F.col("lang").isin(*cfg.lang_codes))
     ph = qa_phenomena("tags")
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -73,9 +74,12 @@ def coverage(items: DataFrame, cfg: EvalConfig) -> DataFrame:
     out = tagged.groupBy("lang", "dataset").agg(*aggs)
     # keep only the configured (lang, dataset) pairs
     ok = F.lit(False)
-    for s in cfg.langs:
-        ok = ok | ((F.col("lang") == s.lang) & F.col("dataset").isin(s.native_dataset, s.translated_dataset))
-    return out.filter(ok)
+    for lang, dataset, _ in cfg.benchmarks:
+        ok = ok | ((F.col("lang") == lang) & (F.col("dataset") == dataset))
+    own = {f"ph_{p}": [s.lang for s in cfg.langs if p in s.phenomena] for p in cfg.all_phenomena}
+    own |= {f"dom_{d}": [s.lang for s in cfg.langs if d in s.domains] for d in cfg.all_domains}
+    return out.filter(ok).select(*[F.when(F.col("lang").isin(own[c]), F.col(c)).alias(c) if c in own else F.col(c)
+                                   for c in out.columns])
 
 
 def coverage_pct(cov: DataFrame, cfg: EvalConfig) -> DataFrame:
@@ -86,17 +90,16 @@ def coverage_pct(cov: DataFrame, cfg: EvalConfig) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(f).alias("facet"), F.lit(v).alias("value"), F.col(c).alias("count"))
                     for f, v, c in cols])
     x = cov.select("lang", "dataset", "n", F.inline(arr))
-    # a phenomenon outside the language's vocabulary is not reported
-    x = x.filter((F.col("facet") != "phenomenon") | (F.col("value") == "none")
-                 | F.array_contains(cfg.phenomena_of("lang"), F.col("value")))
+    # a phenomenon or domain outside the language's vocabulary is not reported
+    vocabulary = F.when(F.col("facet") == "phenomenon", cfg.phenomena_of("lang")).otherwise(cfg.domains_of("lang"))
+    x = x.filter((F.col("facet") == "paraphrase") | (F.col("value") == "none") | F.array_contains(vocabulary, F.col("value")))
     return x.select("lang", "dataset", "facet", "value", "count", "n",
                     (F.col("count").cast("double") * 100 / F.col("n")).alias("pct"))
 
 
 def tagged_counts(items: DataFrame, cfg: EvalConfig, spark: SparkSession) -> DataFrame:
     """A4: tagged items per configured benchmark, zero when absent."""
-    bench = spark.createDataFrame([(s.lang, d, i * 2 + j) for i, s in enumerate(cfg.langs)
-                                   for j, d in enumerate((s.native_dataset, s.translated_dataset))],
+    bench = spark.createDataFrame([(lang, d, i) for i, (lang, d, _) in enumerate(cfg.benchmarks)],
                                   "lang string, dataset string, ord int")
     cnt = (items.filter(F.col("tags").isNotNull()).groupBy("lang", "dataset")
            .agg(F.count(F.lit(1)).alias("n_tagged")))
@@ -184,13 +187,9 @@ def accuracy_by_domain(flat: DataFrame, condition: str = OPENBOOK) -> DataFrame:
 # Open vs closed book
 # ---------------------------------------------------------------------------
 def _bench_model_grid(spark: SparkSession, cfg: EvalConfig, native_only: bool = False) -> DataFrame:
-    rows = []
-    for i, s in enumerate(cfg.langs):
-        ds = (s.native_dataset,) if native_only else (s.native_dataset, s.translated_dataset)
-        for d in ds:
-            for j, m in enumerate(cfg.models):
-                rows.append((s.lang, d, m, i, j))
-    return spark.createDataFrame(rows, "lang string, dataset string, model string, lang_ord int, model_ord int")
+    rows = [(lang, d, m, i, j) for i, (lang, d, role) in enumerate(cfg.benchmarks) if role == "native" or not native_only
+            for j, m in enumerate(cfg.models)]
+    return spark.createDataFrame(rows, "lang string, dataset string, model string, bench_ord int, model_ord int")
 
 
 def _open_closed(flat: DataFrame) -> DataFrame:
@@ -210,16 +209,17 @@ def open_vs_closed(flat: DataFrame, cfg: EvalConfig, spark: SparkSession) -> Dat
                     F.coalesce(pct_of(F.col("k_closed"), F.col("n_closed")), F.lit(0.0)).alias("closed_acc"),
                     F.coalesce("n_open", F.lit(0)).cast("bigint").alias("n_open"),
                     F.coalesce("n_closed", F.lit(0)).cast("bigint").alias("n_closed"),
-                    "lang_ord", "model_ord").orderBy("lang_ord", "dataset", "model_ord").drop("lang_ord", "model_ord")
+                    "bench_ord", "model_ord").orderBy("bench_ord", "model_ord").drop("bench_ord", "model_ord")
 
 
 def disentangle(flat: DataFrame, cfg: EvalConfig, spark: SparkSession) -> DataFrame:
     """Native dataset only, closed - open in pp per (lang, model), alert at <= -30."""
     native = flat.filter(F.col("dataset") == cfg.native_dataset("lang"))
-    g = _open_closed(native)
-    present = native.select("lang").distinct()
-    grid = _bench_model_grid(spark, cfg, native_only=True).join(present, "lang", "left_semi")
-    j = F.broadcast(grid).join(g, ["lang", "dataset", "model"], "left")
+    # one pass: the languages with rows come from the aggregate, each with the full list of models
+    g = _open_closed(native).groupBy("lang", "dataset").agg(
+        F.map_from_entries(F.collect_list(F.struct("model", F.struct("n_open", "k_open", "n_closed", "k_closed")))).alias("by"))
+    j = g.select("lang", "dataset", "by", F.explode(F.array(*map(F.lit, cfg.models))).alias("model")) \
+        .withColumn("s", F.try_element_at("by", F.col("model"))).select("lang", "dataset", "model", "s.*")
     o = F.coalesce(pct_of(F.col("k_open"), F.col("n_open")), F.lit(0.0))
     c = F.coalesce(pct_of(F.col("k_closed"), F.col("n_closed")), F.lit(0.0))
     return j.select("lang", "model", F.coalesce("n_open", F.lit(0)).cast("bigint").alias("n"),

@@ -17,6 +17,7 @@ FIX_MODELS = ((0, "m0", 950, 550), (1, "m1", 930, 480), (2, "m2", 900, 350), (3,
 FIX_CONDITIONS = ((0, "openbook"), (1, "closedbook"))
 FIX_RULES = (("newline", "\n"), ("pipe", " | "), ("email", "@"))
 LONG_CHARS = 1500
+MT_LONG_CHARS = 220
 
 
 _PLANS: dict = {}
@@ -44,6 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def second_word(text: str = "text"):
+    """The answer of an item: the second word of its text, '' if there is none."""
+    return F.split_part(F.col(text), F.lit(" "), F.lit(2))
+
+
 def _phenomena(text: str = "text", n_chars=None):
     """Tag list of a text from the four fixture phenomena (array, in vocab order)."""
     t = F.col(text)
@@ -74,9 +80,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         F.concat(F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.lit("_native"))
                  .otherwise(F.lit("_translated"))).alias("dataset"),
-        F.substring("text", 1, 80).alias("question"),
+        F.substring_index("text", "\n", 1).alias("question"),
         F.col("text").alias("context"),
-        F.substring("text", 11, 12).alias("gold"),
+        second_word().alias("gold"),
         F.when(tagged, tags).alias("tags"),
     )
 
@@ -117,13 +123,22 @@ def cells(spark: SparkSession, sf_dir: str, it: DataFrame | None = None) -> Data
     )
 
 
+def _mt_phenomena():
+    """The same four names by signs that occur in the short benchmark texts on
+    either side: a line end, a comma, a vowel letter beyond ASCII, over 220 characters."""
+    t = F.col("text")
+    arr = F.array(F.when(t.contains("\n"), F.lit("newline")), F.when(t.contains(","), F.lit("pipe")),
+                  F.when(t.rlike("[áéíóúèêàâîôûäöü]"), F.lit("email")), F.when(F.length(t) > MT_LONG_CHARS, F.lit("long")))
+    return F.filter(arr, lambda x: x.isNotNull()).alias("linguistic_phenomena")
+
+
 @memo_plan
 def mt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     lang = F.when(F.col("item_id") % 3 == 0, "de").when(F.col("item_id") % 3 == 1, "en").otherwise("fr")
     return b.select(F.col("item_id"), F.concat(F.lit("b_"), F.col("item_id").cast("string")).alias("id"),
                     lang.alias("lang"), F.col("text").alias("ref"),
-                    F.struct(_phenomena("text").alias("linguistic_phenomena")).alias("tags"))
+                    F.struct(_mt_phenomena()).alias("tags"))
 
 
 @memo_plan
@@ -133,9 +148,9 @@ def translations(spark: SparkSession, sf_dir: str, mi: DataFrame | None = None)
     models = F.array(*[F.struct(F.lit(i).alias("mi"), F.lit(m).alias("model")) for i, m, _, _ in FIX_MODELS])
     x = mi.select("item_id", "id", "lang", "ref", F.explode(models).alias("m"))
     hyp = (F.when(F.col("m.mi") == 0, F.col("ref"))
-            .when(F.col("m.mi") == 1, F.substring("ref", 1, 40))
+            .when(F.col("m.mi") == 1, F.regexp_replace("ref", "[aou]", ""))
             .when(F.col("m.mi") == 2, F.replace(F.col("ref"), F.lit("e"), F.lit("a")))
-            .otherwise(F.lower(F.substring("ref", 1, 60))))
+            .otherwise(F.lower(F.regexp_replace("ref", "(th|en|er|la)", "ba"))))
     return x.select("item_id", "id", "lang", F.col("m.model").alias("model"),
                     F.col("m.mi").alias("mi"), hyp.alias("hyp"))
 
@@ -151,7 +166,7 @@ def mt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return (c.filter(F.col("role").isin("user", "assistant"))
-             .select((F.col("conv_id") * 100 + F.col("turn") - F.col("turn") % 2).alias("pair_id"),
+             .select(F.concat_ws("_", "conv_id", F.col("turn") - F.col("turn") % 2).alias("pair_id"),
                      "conv_id", "turn", "role", "text"))
 
 
@@ -179,7 +194,7 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(k == 2, F.concat(F.lit("Sure: "), obj, F.lit(" done")))
               .when(k == 3, F.lit("no json here"))
               .otherwise(F.lit("{broken}")))
-    return e.select("event_id", F.concat(F.lit("doc_"), (F.col("event_id") % 1000).cast("string")).alias("id"),
+    return e.select("event_id", F.concat(F.lit("doc_"), F.col("event_id").cast("string")).alias("id"),
                     reply.alias("reply"))
 
 
@@ -196,7 +211,7 @@ DEPS: dict[str, tuple[str, ...]] = {}
 SQL["items"] = """
 SELECT d.doc_id, 'doc_' || CAST(d.doc_id AS VARCHAR) AS id, d.lang,
  d.lang || CASE WHEN d.doc_id % 2 = 0 THEN '_native' ELSE '_translated' END AS dataset,
- substring(d.text, 1, 80) AS question, d.text AS context, substring(d.text, 11, 12) AS gold,
+ split_part(d.text, chr(10), 1) AS question, d.text AS context, split_part(d.text, ' ', 2) AS gold,
  l.doc_id IS NOT NULL AS tagged,
  l.doc_id IS NOT NULL AND contains(d.text, chr(10)) AS t_newline,
  l.doc_id IS NOT NULL AND contains(d.text, ' | ')   AS t_pipe,
@@ -233,20 +248,20 @@ DEPS["scored"] = ("cells", "items")
 SQL["mt_items"] = """
 SELECT item_id, 'b_' || CAST(item_id AS VARCHAR) AS id,
  CASE item_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'en' ELSE 'fr' END AS lang, text AS ref,
- contains(text, chr(10)) AS t_newline, contains(text, ' | ') AS t_pipe,
- contains(text, '@') AS t_email, length(text) > 1500 AS t_long
+ contains(text, chr(10)) AS t_newline, contains(text, ',') AS t_pipe,
+ regexp_matches(text, '[áéíóúèêàâîôûäöü]') AS t_email, length(text) > 220 AS t_long
 FROM benchmark"""
 
 SQL["mt_pairs"] = """
 SELECT b.item_id, b.id, b.lang, m.mi, m.model, b.ref,
- CASE m.mi WHEN 0 THEN b.ref WHEN 1 THEN substring(b.ref, 1, 40)
-           WHEN 2 THEN replace(b.ref, 'e', 'a') ELSE lower(substring(b.ref, 1, 60)) END AS hyp,
+ CASE m.mi WHEN 0 THEN b.ref WHEN 1 THEN regexp_replace(b.ref, '[aou]', '', 'g')
+           WHEN 2 THEN replace(b.ref, 'e', 'a') ELSE lower(regexp_replace(b.ref, '(th|en|er|la)', 'ba', 'g')) END AS hyp,
  b.t_newline, b.t_pipe, b.t_email, b.t_long
 FROM mt_items b CROSS JOIN models m"""
 DEPS["mt_pairs"] = ("mt_items", "models")
 
 SQL["parallel"] = """
-SELECT conv_id * 100 + turn - turn % 2 AS pair_id, conv_id, turn, role, text
+SELECT conv_id || '_' || (turn - turn % 2) AS pair_id, conv_id, turn, role, text
 FROM conversations WHERE role IN ('user','assistant')"""
 
 SQL["replies"] = """
@@ -257,7 +272,7 @@ SELECT event_id, event_type, value, CASE event_id % 5 WHEN 0 THEN props
 FROM events"""
 
 SQL["judge_replies"] = """
-SELECT event_id, 'doc_' || CAST(event_id % 1000 AS VARCHAR) AS id,
+SELECT event_id, 'doc_' || CAST(event_id AS VARCHAR) AS id,
  CASE event_id % 5 WHEN 0 THEN obj
   WHEN 1 THEN '```json' || chr(10) || obj || chr(10) || '```'
   WHEN 2 THEN 'Sure: ' || obj || ' done' WHEN 3 THEN 'no json here'

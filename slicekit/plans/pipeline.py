@@ -95,17 +95,17 @@ def q_new_candidates(spark, sf_dir):
 # -- E1 / E2 / J3 ---------------------------------------------------------------------------
 @query("enrich_missing", with_views("""
 SELECT id, model, condition,
- CASE WHEN id LIKE '%7' THEN NULL ELSE model || ':' || substring(question, 1, 20) END AS prediction,
- CASE WHEN id LIKE '%7' THEN 'error' ELSE 'ok' END AS status,
- CASE WHEN id LIKE '%7' THEN 'TimeoutError: model call timed out' END AS error
+ CASE WHEN length(question) > 400 THEN NULL ELSE model || ':' || question END AS prediction,
+ CASE WHEN length(question) > 400 THEN 'error' ELSE 'ok' END AS status,
+ CASE WHEN length(question) > 400 THEN 'ValueError: question too long: ' || question END AS error
 FROM pending_infer""", "pending_infer"))
 def q_enrich_missing(spark, sf_dir):
     work = _pending_infer(spark, sf_dir)
-    return E.enrich_missing(work, infer_fn, "prediction string", _KEY, parallelism=8)
+    return E.enrich_missing(work, infer_fn, "prediction string", _KEY)
 
 
 @query("enrich_with_retry", with_views("""
-SELECT id, model, condition, model || ':' || substring(question, 1, 20) AS prediction,
+SELECT id, model, condition, model || ':' || question AS prediction,
  'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM pending_infer""", "pending_infer"))
 def q_enrich_with_retry(spark, sf_dir):
     work = _pending_infer(spark, sf_dir)
@@ -180,10 +180,10 @@ def q_score_batches(spark, sf_dir):
 
 # -- E4 / A14 / P11 / P5 --------------------------------------------------------------------------
 fx.register_sql("located", f"""
-SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, {sql_ustrip('substring(text, 1, 80)')} AS question,
- CASE WHEN doc_id % 4 <> 0 AND contains(text, CASE WHEN doc_id % 3 <> 0 THEN substring(text, 11, 12) ELSE 'not-in-text' END)
-      THEN CASE WHEN doc_id % 3 <> 0 THEN substring(text, 11, 12) ELSE 'not-in-text' END ELSE '' END AS gold,
- doc_id % 4 <> 0 AND contains(text, CASE WHEN doc_id % 3 <> 0 THEN substring(text, 11, 12) ELSE 'not-in-text' END)
+SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, {sql_ustrip('split_part(text, chr(10), 1)')} AS question,
+ CASE WHEN doc_id % 4 <> 0 AND contains(text, CASE WHEN doc_id % 3 <> 0 THEN split_part(text, ' ', 2) ELSE 'not-in-text' END)
+      THEN CASE WHEN doc_id % 3 <> 0 THEN split_part(text, ' ', 2) ELSE 'not-in-text' END ELSE '' END AS gold,
+ doc_id % 4 <> 0 AND contains(text, CASE WHEN doc_id % 3 <> 0 THEN split_part(text, ' ', 2) ELSE 'not-in-text' END)
    AS span_found
 FROM documents""")
 
@@ -191,7 +191,7 @@ FROM documents""")
 def _located(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"), "text")
-    return E.translate_and_locate(docs, translate_fn, locate_fn, "id", parallelism=8)
+    return E.translate_and_locate(docs, translate_fn, locate_fn, "id")
 
 
 @query("translate_and_locate", with_views("SELECT id, question, gold, span_found, 'ok' AS status FROM located",
@@ -210,19 +210,20 @@ def q_span_rate(spark, sf_dir):
 
 fx.register_sql("claims", """
 SELECT d.doc_id, 'doc_' || CAST(d.doc_id AS VARCHAR) AS id, d.text AS context,
- CASE d.doc_id % 4 WHEN 0 THEN substring(d.text, 11, 12) WHEN 1 THEN b.text WHEN 2 THEN ''
-      ELSE substring(d.text, 11, 12) || 'x' END AS gold,
+ CASE d.doc_id % 4 WHEN 0 THEN split_part(d.text, ' ', 2) WHEN 1 THEN b.text WHEN 2 THEN ''
+      ELSE split_part(d.text, ' ', 2) || 'x' END AS gold,
  d.doc_id % 5 <> 0 AS claimed
-FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT nullif(count(*), 0) FROM benchmark)""")
 
 
 def _claims(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
     b = fx.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("btext"))
-    j = d.join(b, b.item_id == d.doc_id % 40)
+    n = b.agg(F.nullif(F.count(F.lit(1)), F.lit(0))).scalar()  # every benchmark row meets documents, however many there are
+    j = d.join(b, b.item_id == d.doc_id % n)
     k = F.col("doc_id") % 4
-    gold = (F.when(k == 0, F.substring("text", 11, 12)).when(k == 1, F.col("btext"))
-             .when(k == 2, F.lit("")).otherwise(F.concat(F.substring("text", 11, 12), F.lit("x"))))
+    gold = (F.when(k == 0, fx.second_word()).when(k == 1, F.col("btext"))
+             .when(k == 2, F.lit("")).otherwise(F.concat(fx.second_word(), F.lit("x"))))
     return j.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"),
                     F.col("text").alias("context"), gold.alias("gold"),
                     (F.col("doc_id") % 5 != 0).alias("span_found"))

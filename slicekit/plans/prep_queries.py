@@ -37,7 +37,7 @@ def q_normalize_items(spark, sf_dir):
 # -- P2 / P3 / P4 ---------------------------------------------------------------------------
 fx.register_sql("answer_src", """
 SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [' ' || chr(160)]
-  ELSE [substring(text, 11, 12), substring(text, 1, 5)] END AS answers_text FROM documents""")
+  ELSE [split_part(text, ' ', 2), split_part(text, ' ', 1)] END AS answers_text FROM documents""")
 
 
 def _answer_src(spark, sf_dir):
@@ -45,7 +45,7 @@ def _answer_src(spark, sf_dir):
     k = F.col("doc_id") % 5
     arr = (F.when(k == 0, F.array().cast("array<string>"))
             .when(k == 1, F.array(F.lit("  ")))
-            .otherwise(F.array(F.substring("text", 11, 12), F.substring("text", 1, 5))))
+            .otherwise(F.array(fx.second_word(), F.split_part(F.col("text"), F.lit(" "), F.lit(1)))))
     return d.select("doc_id", F.struct(arr.alias("text")).alias("answers"))
 
 
@@ -63,7 +63,7 @@ def q_filter_has_answer(spark, sf_dir):
 
 @query("filter_answerable", """
 SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-WHERE coalesce(CASE d.doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE substring(d.text, 11, 12) END, '') <> ''
+WHERE coalesce(CASE d.doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE split_part(d.text, ' ', 2) END, '') <> ''
   AND (l.doc_id IS NULL OR l.toxic <> 1)""")
 def q_filter_answerable(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
@@ -72,7 +72,7 @@ def q_filter_answerable(spark, sf_dir):
     src = d.join(lab, "doc_id", "left").select(
         "doc_id",
         F.when(k == 0, F.lit("")).when(k == 1, F.lit(None).cast("string"))
-         .otherwise(F.substring("text", 11, 12)).alias("answer"),
+         .otherwise(fx.second_word()).alias("answer"),
         F.when(F.col("toxic").isNull(), F.lit(None).cast("string"))
          .when(F.col("toxic") == 1, F.lit("UNANSWERABLE")).otherwise(F.lit("FACTOID")).alias("category"))
     return P.filter_answerable(src).select("doc_id")
@@ -255,13 +255,13 @@ def q_union_splits(spark, sf_dir):
 
 @query("union_benchmarks", """
 SELECT dataset, CAST(count(*) AS BIGINT) AS n, CAST(count(gold) AS BIGINT) AS n_gold FROM (
- SELECT 'documents' AS dataset, substring(text, 11, 12) AS gold FROM documents
+ SELECT 'documents' AS dataset, split_part(text, ' ', 2) AS gold FROM documents
  UNION ALL SELECT 'benchmark', NULL FROM benchmark
  UNION ALL SELECT 'conversations', NULL FROM conversations WHERE role = 'user'
  UNION ALL SELECT 'pages', NULL FROM pages) u GROUP BY dataset""")
 def q_union_benchmarks(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents").select(F.lit("documents").alias("dataset"), "doc_id",
-                                                   F.substring("text", 11, 12).alias("gold"))
+                                                   fx.second_word().alias("gold"))
     b = fx.table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("dataset"), "item_id")
     c = (fx.table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
          .select(F.lit("conversations").alias("dataset"), "conv_id"))
@@ -378,12 +378,13 @@ def q_stage_checkpoint(spark, sf_dir):
 # -- R10 ---------------------------------------------------------------------------------------------------
 @query("slim_items", with_views(f"""
 SELECT i.id, i.dataset, i.lang, i.gold,
- CAST(count(c.model) AS INTEGER) AS n_entries,
- coalesce(string_agg(c.model || '=' || coalesce(c.verdict, '-'), ',' ORDER BY {_ORD}), '') AS verdicts,
+ CAST(count(m.model) AS INTEGER) AS n_entries,
+ coalesce(string_agg(m.model || '=' || coalesce(c.verdict, '-'), ',' ORDER BY m.mi), '') AS verdicts,
  CAST(count_if(c.correct = 1) AS INTEGER) AS n_correct, CAST(count_if(c.correct = 0) AS INTEGER) AS n_wrong
-FROM items i LEFT JOIN (SELECT c.*, CASE WHEN correct = 1 THEN 'correct' WHEN correct = 0 THEN 'incorrect' END AS verdict
-                        FROM cells c WHERE condition = 'openbook') c ON c.id = i.id
-GROUP BY i.id, i.dataset, i.lang, i.gold""", "items", "cells"))
+FROM items i CROSS JOIN models m
+LEFT JOIN (SELECT c.*, CASE WHEN correct = 1 THEN 'correct' WHEN correct = 0 THEN 'incorrect' END AS verdict
+           FROM cells c WHERE condition = 'openbook') c ON c.id = i.id AND c.model = m.model
+GROUP BY i.id, i.dataset, i.lang, i.gold""", "items", "models", "cells"))
 def q_slim_items(spark, sf_dir):
     """Inspection records: every model's open-book entry plus the tri-state split."""
     it = fx.items(spark, sf_dir)

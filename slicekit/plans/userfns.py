@@ -8,11 +8,10 @@ from __future__ import annotations
 
 
 def infer_fn(rec: dict) -> dict:
-    """Answers with the model name and the first 20 characters of the question;
-    'times out' on items whose id ends in 7."""
-    if rec["id"].endswith("7"):
-        raise TimeoutError("model call timed out")
-    return {"prediction": f"{rec['model']}:{rec['question'][:20]}"}
+    """Answers with the model name and the question; refuses questions over 400 characters."""
+    if len(rec["question"]) > 400:
+        raise ValueError(f"question too long: {rec['question']}")
+    return {"prediction": f"{rec['model']}:{rec['question']}"}
 
 
 def judge_fn(rec: dict) -> dict:
@@ -38,7 +37,7 @@ class FlakyOnce:
 
 
 def _infer_ok(rec: dict) -> dict:
-    return {"prediction": f"{rec['model']}:{rec['question'][:20]}"}
+    return {"prediction": f"{rec['model']}:{rec['question']}"}
 
 
 def length_ratio_scorer(pdf):
@@ -53,11 +52,12 @@ def length_ratio_scorer(pdf):
 
 
 def translate_fn(rec: dict) -> dict:
-    return {"question": rec["text"][:80].strip(), "context": rec["text"]}
+    return {"question": rec["text"].split("\n")[0].strip(), "context": rec["text"]}
 
 
 def locate_fn(rec: dict) -> dict:
-    gold = rec["context"][10:22] if rec["doc_id"] % 3 else "not-in-text"
+    words = rec["context"].split(" ")
+    gold = (words[1] if len(words) > 1 else "") if rec["doc_id"] % 3 else "not-in-text"
     return {"gold": gold, "span_found": rec["doc_id"] % 4 != 0}
 
 

@@ -47,6 +47,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share; "
+                               f"a folder of this machine would not do on {master or 'a cluster'}")
         root = tempfile.mkdtemp(prefix="slicekit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     try:  # classic sessions: RDD checkpoints go to the same folder
