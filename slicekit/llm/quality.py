@@ -139,18 +139,12 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray, list[fl
     return feature, (count * _scale(len(words))).astype(np.float32), shape(text or "")
 
 
-def train(feature: np.ndarray, value: np.ndarray, row: np.ndarray, dense: np.ndarray, label: np.ndarray,
+def train(feature: np.ndarray, value: np.ndarray, row: np.ndarray, dense: np.ndarray, label: np.ndarray, kept: np.ndarray,
           weight_decay: float = 2e-4, rounds: int = 300) -> tuple[dict[int, float], np.ndarray, float]:
     """Logistic regression with posterior labels, by proximal gradient steps with
-    an absolute penalty: weights of hashed features, of the shape, and the bias."""
-    n, bad = len(label), label[row]
-    # keep the features whose documents' labels stand out most
-    df = np.bincount(feature, minlength=DIMENSIONS).astype(float)
-    df_bad = np.bincount(feature, bad, DIMENSIONS)
+    an absolute penalty: weights of the ``kept`` hashed features, of the shape, and the bias."""
+    n = len(label)
     rate = max(1e-6, min(1 - 1e-6, float(label.mean())))
-    z = np.where(df >= 3, (df_bad - rate * df) / np.sqrt(df * rate * (1 - rate) + 1e-9), 0)
-    kept = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    kept = kept[np.abs(z[kept]) > 2]
     place = np.full(DIMENSIONS, -1, np.int64)
     place[kept] = np.arange(len(kept))
     at = place[feature]
@@ -245,46 +239,93 @@ def fit_scorer(docs: DataFrame, labels: DataFrame | None = None, train_rows: int
     cast_votes = materialize(_annotated(
         keyed.mapInArrow(cast, "doc_id long, __k1 long, __k2 long, low_quality int, toxic int"), labels), "votes")
     seen = cast_votes.groupBy("low_quality", "toxic", *(f"a_{a}" for a in AXES)).count().collect()  # patterns, not rows
-    belief = {}
+    belief = []
     for k, axis in enumerate(AXES):
         patterns: dict[tuple[int, ...], int] = {}
         for r in seen:
             p = (*_unpack(r[axis], n_labellers[k]), r[f"a_{axis}"])
             patterns[p] = patterns.get(p, 0) + r["count"]
-        belief[axis] = estimate(patterns) if patterns else None
+        belief.append((patterns, estimate(patterns) if patterns else None))
 
     annotated = cast_votes.filter(" or ".join(f"a_{a} < 2" for a in AXES))
     enough = annotated.limit(200).count() == 200
     drawn = (annotated if enough else cast_votes).orderBy(F.xxhash64("__k1"), "__k2").limit(train_rows)
 
+    known = [{p: float(y) for p, y in zip(patterns, posterior(np.array(list(patterns)), *of))} if of else {}
+             for patterns, of in belief]
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text"):
-                f, v, s = zip(*map(document_features, texts_of(batch)))
+                f, v, form = zip(*map(document_features, texts_of(batch)))
+                cast_, annotator = ([batch.column(i + k).to_pylist() for k in range(2)] for i in (1, 3))
+                label = [pa.array([known[k][(*_unpack(c, n_labellers[k]), a)] for c, a in zip(cast_[k], annotator[k])], pa.float64())
+                         for k in range(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), batch.column(2), batch.column(3), batch.column(4), pa.array([x.tobytes() for x in f], pa.binary()),
-                     pa.array([x.tobytes() for x in v], pa.binary()), pa.array(list(s), pa.list_(pa.float64()))],
-                    names=["low_quality", "toxic", "a_low_quality", "a_toxic", "feature", "value", "shape"])
+                    [*label, batch.column(5), pa.array([x.tobytes() for x in f], pa.binary()),
+                     pa.array([x.tobytes() for x in v], pa.binary()), pa.array(list(form), pa.list_(pa.float64()))],
+                    names=_SAMPLE_COLUMNS)
 
     # at most train_rows ids: bounded, so the texts are not shuffled for them
-    sample = keyed.drop("doc_id").join(F.broadcast(drawn.drop("doc_id")), ["__k1", "__k2"]).select(
-        "text", "low_quality", "toxic", "a_low_quality", "a_toxic")
-    rows = sample.mapInArrow(extract, "low_quality int, toxic int, a_low_quality int, a_toxic int, "
-                                      "feature binary, value binary, shape array<double>").limit(train_rows).collect()
-    if not rows:
+    picked = keyed.drop("doc_id").join(F.broadcast(drawn.drop("doc_id")), ["__k1", "__k2"]).select(
+        "text", "low_quality", "toxic", "a_low_quality", "a_toxic", (F.pmod("__k1", F.lit(5)) == 0).alias("held"))
+    sample = materialize(picked.mapInArrow(extract, _SAMPLE), "quality-sample")
+    return _fit(sample, train_rows)
+
+
+_SAMPLE = "y0 double, y1 double, held boolean, feature binary, value binary, shape array<double>"
+_SAMPLE_COLUMNS = ["y0", "y1", "held", "feature", "value", "shape"]
+
+
+def _fit(sample: DataFrame, train_rows: int) -> Scorer:
+    """Screens the features of the sample where it lies, and trains on what is kept of them."""
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
+            size = list(map(len, f))
+            feature, at = np.unique(np.concatenate(f or [np.zeros(0, np.int32)]), return_inverse=True)
+            bad = [np.bincount(at, np.repeat(batch.column(k).to_numpy(zero_copy_only=False), size), len(feature)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(feature), pa.array(np.bincount(at, minlength=len(feature))), pa.array(bad[0]), pa.array(bad[1])],
+                names=["feature", "n", "bad0", "bad1"])
+
+    seen = (sample.filter("not held").select("y0", "y1", "feature").mapInArrow(screen, "feature int, n long, bad0 double, bad1 double")
+            .groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("n", "bad0", "bad1"))).filter("n >= 3"))
+    rates = sample.agg(F.avg("y0"), F.avg("y1")).first()
+    if rates[0] is None:
         return Scorer([({}, np.zeros(len(_SHAPE)), -10.0) for _ in AXES])
-    rows.sort(key=lambda r: r["feature"])  # tasks end in any order
+    kept = []
+    for k, rate in enumerate(max(1e-6, min(1 - 1e-6, r)) for r in rates):
+        # the features whose documents' labels stand out most
+        z = F.abs(F.col(f"bad{k}") - rate * F.col("n")) / F.sqrt(F.col("n") * rate * (1 - rate))
+        top = seen.select("feature", z.alias("z")).filter("z > 2").orderBy(F.desc("z"), "feature").limit(FEATURES)
+        kept.append(np.sort(np.array([r["feature"] for r in top.collect()], np.int64)))
+    either = np.union1d(*kept)
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for f, v in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                f, v = np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)
+                on = np.isin(f, either)
+                out[0].append(f[on].tobytes())
+                out[1].append(v[on].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], *(pa.array(x, pa.binary()) for x in out), batch.column(5)], names=_SAMPLE_COLUMNS)
+
+    rows = sample.mapInArrow(shrink, _SAMPLE).limit(train_rows).collect()
+    rows.sort(key=lambda r: (r["feature"], r["value"], r["shape"]))  # tasks end in any order
     features = [np.frombuffer(r["feature"], np.int32) for r in rows]
     values = [np.frombuffer(r["value"], np.float32) for r in rows]
     dense = np.array([r["shape"] for r in rows])
-    hold = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
+    hold = np.array([r["held"] for r in rows]) if len(rows) >= 50 else np.zeros(len(rows), bool)
     pick = lambda mask: (np.concatenate([f for f, m in zip(features, mask) if m] or [np.zeros(0, np.int32)]),
                          np.concatenate([v for v, m in zip(values, mask) if m] or [np.zeros(0, np.float32)]),
                          np.repeat(np.arange(int(mask.sum())), [len(f) for f, m in zip(features, mask) if m]))
     fitted = []
-    for k, axis in enumerate(AXES):
-        label = posterior(np.array([(*_unpack(r[axis], n_labellers[k]), r[f"a_{axis}"]) for r in rows]), *belief[axis])
-        weights, form, bias = train(*pick(~hold), dense[~hold], label[~hold])
+    for k in range(len(AXES)):
+        label = np.array([r[f"y{k}"] for r in rows])
+        weights, form, bias = train(*pick(~hold), dense[~hold], label[~hold], kept[k])
         f, v, r = pick(hold)  # the cut is set on rows that the weights have not seen
         each = np.fromiter((weights.get(x, 0.0) for x in f.tolist()), float, len(f)) * v
         margin = np.bincount(r, each, int(hold.sum())) + dense[hold] @ form + bias
