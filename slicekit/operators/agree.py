@@ -24,43 +24,44 @@ def pearson(x: Column | str, y: Column | str) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < eps:
-            break
-    return h
-
-
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
+#: Beyond so many degrees of freedom the t tail is taken from the normal one.
+_MANY = 20_000
+
+
+def t_two_sided(r: float, df: int) -> float:
+    """P(|correlation| >= |r|) with ``df`` degrees of freedom and no true correlation.
+
+    With sin(a) = |r| the probability is a power series in cos(a) that starts
+    where the finite sum for the central part ends, so small tails lose no digits:
+    even df: sin a * sum of c_k cos^2k a over k >= df/2, c_k = (2k-1)!!/(2k)!!;
+    odd df: 2/pi * sin a * sum of d_k cos^(2k+1) a over k >= (df-1)/2, d_k = (2k)!!/(2k+1)!!.
+    For a very small r, whose series is long and whose p is not small, one minus
+    the finite sum is used."""
+    s, c2 = abs(r), 1.0 - r * r
+    odd = df % 2
+    start = df // 2
+    if df > _MANY:  # the normal deviate that matches a t value best
+        z = math.sqrt(-df * math.log1p(-r * r)) * (8 * df + 1) / (8 * df + 3)
+        return math.erfc(z / math.sqrt(2))
+    if s > 0.005:  # each term is at most c2 times the one before: some 40 / s**2 terms
+        if odd:
+            log_d = 0.5 * math.log(math.pi) - math.log(2) + math.lgamma(start + 1) - math.lgamma(start + 1.5)
+            term, scale = math.exp(log_d + (start + 0.5) * math.log(c2)) if c2 > 0 else 0.0, 2 / math.pi * s
+        else:
+            log_c = math.lgamma(start + 0.5) - math.lgamma(start + 1) - 0.5 * math.log(math.pi)
+            term, scale = math.exp(log_c + start * math.log(c2)) if c2 > 0 else 0.0, s
+        total, k = 0.0, start
+        while term > total * 1e-17:
+            total += term
+            term *= c2 * ((2 * k + 2) / (2 * k + 3) if odd else (2 * k + 1) / (2 * k + 2))
+            k += 1
+        return scale * total
+    term, total = (math.sqrt(c2), 0.0) if odd else (1.0, 0.0)
+    for k in range(start):
+        total += term
+        term *= c2 * ((2 * k + 2) / (2 * k + 3) if odd else (2 * k + 1) / (2 * k + 2))
+    inside = 2 / math.pi * (math.asin(s) + s * total) if odd else s * total
+    return min(1.0, max(0.0, 1.0 - inside))
 
 
 def pearson_p_value(r: float | None, n: int | None) -> float | None:
@@ -69,9 +70,15 @@ def pearson_p_value(r: float | None, n: int | None) -> float | None:
         return None
     if abs(r) >= 1.0:
         return 0.0
-    df = n - 2.0
-    t2 = r * r * df / (1.0 - r * r)
-    return betainc(df / 2.0, 0.5, df / (df + t2))
+    return t_two_sided(r, n - 2)
+
+
+def sql_p(r: str, n: str, steps: int = 20_000) -> str:
+    """The oracle: p as a ratio of integrals of cos^(n-3), midpoint sums over ``range()``."""
+    angle = f"asin(least(abs({r}), 1.0))"
+    part = lambda lo: (f"(SELECT sum(pow(cos({lo} + (pi() / 2 - {lo}) * (i + 0.5) / {steps}), {n} - 3)) "
+                       f"FROM range({steps}) t(i)) * (pi() / 2 - {lo})")
+    return f"CASE WHEN {n} >= 3 THEN {part(angle)} / ({part('0.0')}) END"
 
 
 @F.pandas_udf(T.DoubleType())

@@ -265,12 +265,21 @@ def prepared_counts(items: DataFrame) -> DataFrame:
 def inspection_counts(items: DataFrame, cells: DataFrame, cfg: EvalConfig, phenomenon: str,
                       condition: str = OPENBOOK) -> DataFrame:
     """Per language, items with ``phenomenon`` where >= 1 model was wrong
-    (native dataset) and where >= 1 model was right (translated dataset)."""
+    (native dataset) and where >= 1 model was right (translated dataset).
+    With denormalised cells only languages that have such cells are listed."""
     c = cells.filter((F.col("condition") == condition) & F.col("model").isin(*cfg.models))
-    per_item = c.groupBy("id").agg(F.count_if(F.col("correct") == F.lit(False)).alias("n_wrong"),
-                                   F.count_if(F.col("correct") == F.lit(True)).alias("n_correct"))
+    counts = (F.count_if(F.col("correct") == F.lit(False)).alias("n_wrong"),
+              F.count_if(F.col("correct") == F.lit(True)).alias("n_correct"))
+    if all(k in cells.columns for k in ("lang", "dataset", "tags")):  # stored denormalised: filtered first, no join
+        j = (c.filter(has_tag(qa_phenomena("tags"), phenomenon)).groupBy("id", "lang", "dataset").agg(*counts)
+             .withColumn("role", cfg.dataset_role("dataset")))
+        return _inspected(j)
+    per_item = c.groupBy("id").agg(*counts)
     it = items.filter(has_tag(qa_phenomena("tags"), phenomenon)).select("id", "lang", "dataset")
-    j = it.join(per_item, "id", "left").withColumn("role", cfg.dataset_role("dataset"))
+    return _inspected(it.join(per_item, "id", "left").withColumn("role", cfg.dataset_role("dataset")))
+
+
+def _inspected(j: DataFrame) -> DataFrame:
     return j.groupBy("lang").agg(
         F.count_if((F.col("role") == "native") & (F.col("n_wrong") > 0)).alias("native_wrong"),
         F.count_if((F.col("role") == "translated") & (F.col("n_correct") > 0)).alias("translated_correct"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import agree as G
 from ..operators import compare as X
 from ..operators import mt as M
 from ..operators import prep as P
@@ -67,7 +68,6 @@ def _existing(spark, sf_dir, it):
     return it.join(docs, "doc_id", "left_semi")
 
 
-@fx.memo_plan
 def _quota(spark, sf_dir):
     it = fx.items(spark, sf_dir).select("doc_id", "id", "lang", "tags")
     ex = _existing(spark, sf_dir, it)
@@ -233,12 +233,11 @@ def q_hardest_feature(spark, sf_dir):
 
 # -- M3 on the cross-task table ----------------------------------------------------------------
 @query("cross_task_r", with_views("""
-WITH ct AS (""" + CROSS_SQL.strip() + """)
-SELECT CAST(count(*) AS BIGINT) AS n,
- round(covar_samp(qa_acc, mt_chrf) / nullif(stddev_samp(qa_acc) * stddev_samp(mt_chrf), 0), 6) AS r
-FROM ct""", "scored", "mt_flat"))
+WITH ct AS (""" + CROSS_SQL.strip() + """),
+x AS (SELECT CAST(count(*) AS BIGINT) AS n,
+       covar_samp(qa_acc, mt_chrf) / nullif(stddev_samp(qa_acc) * stddev_samp(mt_chrf), 0) AS r FROM ct)
+SELECT n, round(r, 6) AS r, round(""" + G.sql_p("r", "n") + """, 6) AS p FROM x""", "scored", "mt_flat"))
 def q_cross_task_r(spark, sf_dir):
-    """Pearson r between QA accuracy and MT chrF over the (lang, phenomenon, model) points."""
-    from ..operators import agree as G
+    """Pearson r, with p, between QA accuracy and MT chrF over the (lang, phenomenon, model) points."""
     ct = X.cross_task(_flat(spark, sf_dir), mt_reports.mt_flat(spark, sf_dir), CFG)
-    return G.pearson_r(ct, "qa_acc", "mt_chrf", with_p=False).select("n", F.round("r", 6).alias("r"))
+    return G.pearson_r(ct, "qa_acc", "mt_chrf").select("n", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))

@@ -27,7 +27,7 @@ def memo_plan(fn):
     """Reuse the (immutable, lazy) DataFrame a view builder returns for the
     same session and table folder: building a plan costs thousands of
     driver <-> JVM calls, and many queries share the same views.  Only plan
-    objects are kept -- no data is cached."""
+    objects are kept; a builder that writes tables must not be memoised."""
     def wrapped(spark, sf_dir, *args):
         if args and any(a is not None for a in args):
             return fn(spark, sf_dir, *args)
@@ -66,7 +66,17 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QA items: one per document; tagged iff the document has a label row."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     lab = table(spark, sf_dir, "labels").select("doc_id").withColumn("_lab", F.lit(True))
-    j = d.join(lab, "doc_id", "left")
+    return _items_of(d.join(lab, "doc_id", "left"))
+
+
+@memo_plan
+def plain_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells without their items' tags (null here): no join with ``labels``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    return cells(spark, sf_dir, _items_of(d.withColumn("_lab", F.lit(None).cast("boolean"))))
+
+
+def _items_of(j: DataFrame) -> DataFrame:
     tagged = F.col("_lab").isNotNull()
     para = (F.when(F.col("doc_id") % 10 < 4, "literal_match")
              .when(F.col("doc_id") % 10 < 9, "paraphrase").otherwise("requires_inference"))

@@ -61,6 +61,12 @@ FROM mt_items b CROSS JOIN models m LEFT JOIN mt_scores s ON s.id = b.id AND s.m
                 ("mt_items", "models", "mt_scores"))
 
 
+fx.register_sql("length_scores", """
+SELECT f.lang, f.chrf, CAST(length(p.hyp) AS DOUBLE) / greatest(length(p.ref), 1) AS length_ratio
+FROM mt_flat f JOIN mt_pairs p ON p.id = f.id AND p.model = f.model
+WHERE f.chrf IS NOT NULL AND p.hyp IS NOT NULL""", ("mt_flat", "mt_pairs"))
+
+
 # -- M1 / M2 ----------------------------------------------------------------------
 @query("chrf_sentence", with_views("SELECT id, model, round(chrf, 6) AS chrf FROM chrf", "chrf"))
 def q_chrf_sentence(spark, sf_dir):
@@ -212,10 +218,18 @@ def q_pearson_r(spark, sf_dir):
     return r.select("lang", "n", F.round("r", 6).alias("r"))
 
 
-@query("pearson_p")
+@query("pearson_p", with_views(f"""
+SELECT lang, n, round(r, 6) AS r, round({G.sql_p("r", "n")}, 6) AS p
+FROM (SELECT lang, CAST(count(*) AS BIGINT) AS n,
+       covar_samp(chrf, length_ratio) / nullif(stddev_samp(chrf) * stddev_samp(length_ratio), 0) AS r
+      FROM length_scores GROUP BY lang) x""", "length_scores"))
 def q_pearson_p(spark, sf_dir):
-    """r with its two-sided p value (t test); p has no SQL oracle (tested in tests/)."""
-    return G.pearson_r(mt_flat(spark, sf_dir), "chrf", "adequacy", ("lang",))
+    """r of chrF with the length ratio of both texts, and its two-sided p value."""
+    x = mt_flat(spark, sf_dir).select("id", "lang", "model", "chrf").join(
+        fx.mt_pairs(spark, sf_dir).select("id", "model", "hyp", "ref"), ["id", "model"])
+    ratio = F.length("hyp").cast("double") / F.greatest(F.length("ref"), F.lit(1))
+    r = G.pearson_r(x.select("lang", "chrf", ratio.alias("length_ratio")), "chrf", "length_ratio", ("lang",))
+    return r.select("lang", "n", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))
 
 
 _AG_PAIRS = [(a, b) for a in _METRICS for b in _METRICS]

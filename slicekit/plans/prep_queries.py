@@ -314,11 +314,11 @@ def q_read_corpus(spark, sf_dir):
 WITH p AS (SELECT id, count_if(correct = 0) AS n_wrong, count_if(correct = 1) AS n_correct
            FROM cells WHERE condition = 'openbook' GROUP BY id)
 SELECT CASE WHEN i.dataset LIKE '%\\_native' ESCAPE '\\' THEN 'native_wrong' ELSE 'translated_correct' END AS bucket,
- i.lang, CAST(count(*) AS BIGINT) AS n
+ i.lang, CAST(count(*) AS BIGINT) AS n, 'm0,m1,m2,m3' AS models
 FROM items i JOIN p ON p.id = i.id
 WHERE i.t_newline AND ((i.dataset LIKE '%\\_native' ESCAPE '\\' AND p.n_wrong > 0)
                         OR (i.dataset LIKE '%\\_translated' ESCAPE '\\' AND p.n_correct > 0))
-GROUP BY ALL""", "items", "cells"))
+GROUP BY 1, 2""", "items", "cells"))
 def q_write_inspection(spark, sf_dir):
     it = fx.items(spark, sf_dir)
     slim = R.slim_items(it, fx.cells(spark, sf_dir), CFG)
@@ -327,10 +327,8 @@ def q_write_inspection(spark, sf_dir):
                       | ((F.col("role") == "translated") & (F.col("n_correct") > 0)))
     sel = sel.withColumn("bucket", F.when(F.col("role") == "native", F.lit("native_wrong"))
                          .otherwise(F.lit("translated_correct"))).drop("role")
-    path = scratch_path(spark, "inspection")
-    SK.write_inspection(sel, path, "bucket")
-    back = spark.read.json(path)
-    return back.groupBy("bucket", "lang").agg(F.count(F.lit(1)).alias("n"))
+    out = SK.write_inspection(sel, scratch_path(spark, "inspection"), CFG.models, ("lang",))
+    return out.select("bucket", "lang", "n", F.array_join("models", ",").alias("models"))
 
 
 # -- S6 --------------------------------------------------------------------------------------------------

@@ -18,6 +18,12 @@ def _flat(spark, sf_dir):
     return R.flatten_all(fx.cells(spark, sf_dir), it, CFG)
 
 
+@fx.memo_plan
+def _flat_plain(spark, sf_dir):
+    """The same rows for reports that read no tag: nothing is joined."""
+    return R.flatten_all(fx.plain_cells(spark, sf_dir), None, CFG)
+
+
 # -- R1 -----------------------------------------------------------------------
 @query("flatten_qa", with_views("""
 SELECT id, lang, dataset, model, condition, CAST(correct AS INTEGER) AS correct,
@@ -52,7 +58,7 @@ GROUP BY dataset, condition, model""", "scored")
 
 @query("accuracy_by_benchmark", A1_SQL)
 def q_accuracy_by_benchmark(spark, sf_dir):
-    return S.accuracy_by_benchmark(_flat(spark, sf_dir), CFG)
+    return S.accuracy_by_benchmark(_flat_plain(spark, sf_dir), CFG)
 
 
 # -- A2 / A3 / A4 -------------------------------------------------------------------
@@ -194,7 +200,7 @@ _R7_COLS = ", ".join(f"CAST(sum(CASE WHEN model = '{m}' THEN correct END) AS DOU
 SELECT dataset || ' / ' || condition AS panel, {_R7_COLS}
 FROM scored WHERE lang IN {fx.LANGS_SQL} GROUP BY ALL""", "scored"))
 def q_panel_pivot(spark, sf_dir):
-    return R.panel_pivot(_flat(spark, sf_dir), CFG.models)
+    return R.panel_pivot(_flat_plain(spark, sf_dir), CFG.models)
 
 
 # -- A8 / A9 -----------------------------------------------------------------------------------
@@ -216,7 +222,7 @@ SELECT b.lang, b.dataset, m.model,
 FROM {_BENCH} b CROSS JOIN {_MODELS_SQL} m
 LEFT JOIN open_closed o ON o.lang = b.lang AND o.dataset = b.dataset AND o.model = m.model""", "open_closed"))
 def q_open_vs_closed(spark, sf_dir):
-    return S.open_vs_closed(_flat(spark, sf_dir), CFG, spark)
+    return S.open_vs_closed(_flat_plain(spark, sf_dir), CFG, spark)
 
 
 @query("disentangle", with_views(f"""
@@ -230,7 +236,7 @@ FROM (SELECT b.lang, m.model, CAST(coalesce(o.n_open, 0) AS BIGINT) AS n,
       WHERE b.dataset LIKE '%\\_native' ESCAPE '\\'
         AND b.lang IN (SELECT lang FROM scored WHERE dataset = lang || '_native')) x""", "open_closed"))
 def q_disentangle(spark, sf_dir):
-    return S.disentangle(_flat(spark, sf_dir), CFG, spark)
+    return S.disentangle(_flat_plain(spark, sf_dir), CFG, spark)
 
 
 # -- A10 / A11 -----------------------------------------------------------------------------------
@@ -279,7 +285,7 @@ def q_inspection_counts(spark, sf_dir):
 SELECT DISTINCT lang, CASE lang {" ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CFG.lang_codes))} END AS lang_ord
 FROM scored WHERE lang IN {fx.LANGS_SQL}""", "scored"))
 def q_present_langs(spark, sf_dir):
-    return S.present_langs(_flat(spark, sf_dir), CFG)
+    return S.present_langs(_flat_plain(spark, sf_dir), CFG)
 
 
 # -- P20 ---------------------------------------------------------------------------------------
@@ -287,4 +293,4 @@ def q_present_langs(spark, sf_dir):
 SELECT dataset || ' / ' || condition AS panel, CAST(count(*) AS BIGINT) AS n
 FROM scored WHERE lang IN {fx.LANGS_SQL} GROUP BY ALL""", "scored"))
 def q_panel_key(spark, sf_dir):
-    return _flat(spark, sf_dir).groupBy(R.panel_key().alias("panel")).agg(F.count(F.lit(1)).alias("n"))
+    return _flat_plain(spark, sf_dir).groupBy(R.panel_key().alias("panel")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_inspection(slim: DataFrame, path: str, bucket: str = "bucket", mode: str = "errorifexists") -> DataFrame:
-    """Inspection records written partitioned by bucket (one directory per
-    bucket, many files -- never one giant array); returns the counts."""
-    slim.write.mode(mode).partitionBy(bucket).json(path)
-    return slim.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+def write_inspection(slim: DataFrame, path: str, models: Iterable[str] = (), by: Iterable[str] = (), bucket: str = "bucket",
+                     mode: str = "errorifexists") -> DataFrame:
+    """Inspection records under ``path/items``, partitioned by bucket (one
+    directory per bucket, many files -- never one giant array), and their summary
+    under ``path/summary``: counts per bucket (and the columns ``by``) with the
+    list of models.  Returns the summary, counted from what was written."""
+    slim.write.mode(mode).partitionBy(bucket).json(f"{path}/items")
+    written = slim.sparkSession.read.schema(slim.schema).json(f"{path}/items")
+    names = F.array(*map(F.lit, models)).cast("array<string>")
+    summary = written.groupBy(bucket, *by).agg(F.count(F.lit(1)).alias("n")).withColumn("models", names)
+    summary.write.mode(mode).json(f"{path}/summary")
+    return slim.sparkSession.read.schema(summary.schema).json(f"{path}/summary")
 
 
 def report_long(df: DataFrame, section: str, key_cols: list[str], value_cols: list[str] | None = None,
