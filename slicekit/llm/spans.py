@@ -28,7 +28,7 @@ from ..session import ship_package
 from .common import byte_slices, texts_of
 
 MIN_SENTENCES = 2
-MIN_WORDS = 20
+MIN_WORDS = 13
 LONG_SENTENCE = 32  # words; longer sentences count as consecutive pieces of so many
 
 # a sentence ends behind .!? and blanks, at a line end, and before a capitalised word that follows a small letter

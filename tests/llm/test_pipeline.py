@@ -12,7 +12,7 @@ from .helpers import DOCS, prose, sentence, with_clashes
 from .test_decontam import _plain as plain_contamination
 from .test_packing import _check as check_packing
 from .test_simhash import _plain_components
-from .test_spans import _KEYS, _plain as plain_spans
+from .test_spans import _KEYS, S, _plain as plain_spans
 
 
 @pytest.fixture(scope="module")
@@ -75,7 +75,7 @@ def test_every_stage_against_brute_force(spark, tables, tmp_path):
     freed = step("repeated_spans", single)
     from pyspark.sql import functions as F
     _KEYS.update({(r.doc_id, r.text): r.k for r in single.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()})
-    assert sorted(((str(d), t) for d, t in pairs(freed)), key=str) == [x[:2] for x in plain_spans(pairs(single), 2, 20)]
+    assert sorted(((str(d), t) for d, t in pairs(freed)), key=str) == [x[:2] for x in plain_spans(pairs(single), S.MIN_SENTENCES, S.MIN_WORDS)]
 
     clean = step("benchmark", freed)
     bad = [r for r in pairs(freed) if plain_contamination([r], items)[0][5]]
