@@ -9,7 +9,7 @@ import pytest
 from __spark_entry__ import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents pages benchmark labels conversations".split()
+TABLES = "events documents embeddings pages benchmark labels conversations".split()
 NAMES = sorted(queries())
 
 
