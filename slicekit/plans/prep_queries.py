@@ -332,25 +332,53 @@ def q_write_inspection(spark, sf_dir):
 
 
 # -- S6 --------------------------------------------------------------------------------------------------
+_S6_MT = {"n": None, "chrf": 2, "comet": 3, "adequacy": 2, "fluency": 2}  # decimals of the summary
+
+
 def _s6_sql() -> str:
-    a1 = [f"SELECT 'accuracy' AS section, dataset || '|' || condition || '|' || model AS row_key, '{c}' AS \"column\", "
-          f"CAST({c} AS DOUBLE) AS value FROM a1" for c in ("n", "accuracy_pct")]
-    cov_cols = (["n"] + [f"ph_{p}" for p in fx.PH] + ["none"] + [f"para_{v}" for v in fx.PARA]
-                + [f"dom_{v}" for v in fx.DOM])
-    a2 = [f"SELECT 'coverage', lang || '|' || dataset, '{c}', CAST(\"{c}\" AS DOUBLE) FROM coverage" for c in cov_cols]
-    body = " UNION ALL ".join(a1 + a2)
-    a1_sql = qa_reports.A1_SQL[qa_reports.A1_SQL.index("SELECT dataset"):]
-    return with_views(f"WITH a1 AS ({a1_sql}) {body}", "scored", "coverage")
+    """Every section as long rows: (section, key columns, value columns, table)."""
+    cov_cols = ["n", *(f"ph_{p}" for p in fx.PH), "none", *(f"para_{v}" for v in fx.PARA), *(f"dom_{v}" for v in fx.DOM)]
+    a1 = qa_reports.A1_SQL[qa_reports.A1_SQL.index("SELECT dataset"):]
+    category = lambda col: f"""(SELECT lang, dataset, model, {col} AS category, count(*) AS n,
+ round_even(CAST(sum(correct) AS DOUBLE) / count(*) * 100, 1) AS accuracy
+FROM scored WHERE condition = 'openbook' AND {col} IS NOT NULL AND lang IN {fx.LANGS_SQL} GROUP BY ALL)"""
+    mt = ", ".join(c if d is None else f"round_even({c}, {d}) AS {c}" for c, d in _S6_MT.items())
+    sections = [
+        ("accuracy", ["dataset", "condition", "model"], ["n", "accuracy_pct"], f"({a1})"),
+        ("coverage", ["lang", "dataset"], cov_cols, "coverage"),
+        ("tagged", ["lang", "dataset"], ["n_tagged"], f"""(SELECT b.lang, b.dataset, coalesce(c.n, 0) AS n_tagged
+ FROM {qa_reports._BENCH} b LEFT JOIN (SELECT lang, dataset, count(*) AS n FROM items WHERE tagged GROUP BY ALL) c
+ ON b.lang = c.lang AND b.dataset = c.dataset)"""),
+        ("phenomenon", ["lang", "dataset", "phenomenon", "model"], ["n_with", "n_without", "acc_with", "acc_without", "delta"],
+         "by_phenomenon"),
+        ("paraphrase", ["lang", "dataset", "model", "category"], ["n", "accuracy"], category("paraphrase_distance")),
+        ("domain", ["lang", "dataset", "model", "category"], ["n", "accuracy"], category("domain")),
+        ("mt_system", ["lang", "model"], list(_S6_MT), f"(SELECT lang, model, {mt} FROM system_level)"),
+    ]
+    body = " UNION ALL ".join(
+        f"""SELECT '{name}' AS section, {" || '|' || ".join(keys)} AS row_key, '{c}' AS "column", CAST("{c}" AS DOUBLE) AS value
+ FROM {source} AS s_{name}""" for name, keys, cols, source in sections for c in cols)
+    return with_views(body, "scored", "coverage", "items", "by_phenomenon", "system_level")
 
 
 @query("report_tables", _s6_sql())
 def q_report_tables(spark, sf_dir):
+    """All sections of a run's summary in one long table."""
     it = fx.items(spark, sf_dir)
-    flat = R.flatten_all(fx.cells(spark, sf_dir), it, CFG)
-    a1 = S.accuracy_by_benchmark(flat, CFG, ordered=False)
-    cov = S.coverage(it, CFG)
-    return SK.report_tables({"accuracy": (a1, ["dataset", "condition", "model"]),
-                             "coverage": (cov, ["lang", "dataset"])})
+    flat = R.flatten_all(fx.cells(spark, sf_dir), None, CFG)
+    system = M.system_level(mt_reports.mt_flat(spark, sf_dir), CFG).select(
+        "lang", "model", *[F.col(c) if d is None else F.bround(c, d).alias(c) for c, d in _S6_MT.items()])
+    by_tag = ["lang", "dataset", "phenomenon", "model"]
+    by_class = ["lang", "dataset", "model", "category"]
+    return SK.report_tables({
+        "accuracy": (S.accuracy_by_benchmark(flat, CFG, ordered=False), ["dataset", "condition", "model"]),
+        "coverage": (S.coverage(it, CFG), ["lang", "dataset"]),
+        "tagged": (S.tagged_counts(it, CFG, spark), ["lang", "dataset"]),
+        "phenomenon": (S.accuracy_by_phenomenon(flat, CFG), by_tag),
+        "paraphrase": (S.accuracy_by_paraphrase(flat), by_class),
+        "domain": (S.accuracy_by_domain(flat), by_class),
+        "mt_system": (system, ["lang", "model"]),
+    })
 
 
 # -- S7 + resumable stage -------------------------------------------------------------------------------

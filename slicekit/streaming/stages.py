@@ -1,12 +1,12 @@
 """Incremental, resumable stage runs in waves.
 
 A stage (tag, infer, judge, translate, score) is run as a sequence of
-*waves*: each wave takes a hash slice of the current work list, runs the
-user function over it, writes the raw results (so a model is never called
-twice for the same row, even if a later step is recomputed), merges them into
-the table and writes the merged table as a new version.  The lineage is cut
-by every write; a killed run resumes from the newest version because the
-work list only holds rows that are still pending.
+*waves*: each wave takes a hash slice of the work list, runs the user function
+over it and appends the raw results -- keys, payload and status only, never
+the texts -- as one more version of a narrow results table.  The wide table is
+merged and written once, after the last wave, so a wave costs what it calls,
+whatever the table holds.  A killed run goes on from the results it has: their
+keys are no longer on the work list, and no row that was answered is asked again.
 """
 
 from __future__ import annotations
@@ -25,24 +25,29 @@ def run_stage_in_waves(store: StageStore, table: str, work_list: Callable[[DataF
                        fn: Callable[[dict], dict], out_schema: str, keys: list[str], payload: list[str],
                        waves: int = 1, parallelism: int | None = None,
                        to_payload: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Run one stage over the newest version of ``table``.
+    """Run one stage over the newest version of ``table`` and write the next one.
 
     ``work_list(table_df)`` returns the pending rows (with every column the
     function needs); ``to_payload`` may post-process results (e.g. derive
     ``correct`` from a verdict) before the merge.  Returns the final table.
     """
+    version = store.latest(table)
+    if version is None:
+        raise ValueError(f"stage table {table!r} has no version yet")
+    cur = store.read(table, version)
+    log = f"{table}__results/of={version:06d}"  # results that are not merged into a later version yet
+    parts = [store.read(log, v) for v in store.versions(log)]
     for w in range(waves):
-        cur = store.read(table)
-        if cur is None:
-            raise ValueError(f"stage table {table!r} has no version yet")
         work = work_list(cur)
         if waves > 1:
             work = work.filter(F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(waves)) == w)
-        res = enrich_missing(work, fn, out_schema, keys, parallelism)
-        res_v = store.write(f"{table}__results", res)
-        res = store.read(f"{table}__results", res_v)
-        if to_payload is not None:
-            res = to_payload(res)
-        merged = upsert(cur, res, keys, payload)
-        store.write(table, merged)
-    return store.read(table)
+        for done in parts:
+            work = work.join(done.filter("status = 'ok'").select(*keys), keys, "left_anti")
+        v = store.write(log, enrich_missing(work, fn, out_schema, keys, parallelism))
+        parts.append(store.read(log, v))
+    results = parts[0]
+    for part in parts[1:]:
+        results = results.unionByName(part)
+    if to_payload is not None:
+        results = to_payload(results)
+    return store.read(table, store.write(table, upsert(cur, results, keys, payload)))

@@ -169,4 +169,26 @@ def test_wave_runner_resumes_only_pending_rows(spark, tmp_path):
     out2 = run_stage_in_waves(store, "t", work, fn2, "tag string", ["id"], ["tag"], waves=3)
     assert calls.value == 44  # only the 4 pending rows were called again
     assert out2.filter("tag IS NULL").count() == 0 and out2.count() == 40
-    assert len(store.versions("t")) == 7  # the base + one version per wave, nothing overwritten
+    assert len(store.versions("t")) == 3  # the base + one version per run, nothing overwritten
+    assert store.versions("t__results/of=000001") == [1, 2, 3]  # one narrow version per wave
+    assert store.read("t__results/of=000001").columns == ["id", "tag", "status", "error"]
+
+
+def test_a_killed_run_goes_on_from_its_results(spark, tmp_path):
+    from slicekit.streaming.stages import run_stage_in_waves
+    store = StageStore(spark, str(tmp_path / "st"))
+    store.write("t", spark.createDataFrame([(f"i{k}", None, None, None) for k in range(30)],
+                                           "id string, tag string, status string, error string"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(rec):
+        calls.add(1)
+        return {"tag": rec["id"]}
+
+    work = lambda cur: cur.filter(F.col("tag").isNull()).select("id")
+    real, store.write = store.write, lambda name, df: 1 / 0 if name == "t" else real(name, df)
+    with pytest.raises(ZeroDivisionError):  # killed before the merge
+        run_stage_in_waves(store, "t", work, fn, "tag string", ["id"], ["tag"], waves=3)
+    store.write = real
+    out = run_stage_in_waves(store, "t", work, fn, "tag string", ["id"], ["tag"], waves=2)
+    assert calls.value == 30 and out.filter("tag = id").count() == 30
