@@ -41,6 +41,11 @@ def memo_plan(fn):
     return wrapped
 
 
+def forget_plans() -> None:
+    """Build all view plans anew from here on."""
+    _PLANS.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
