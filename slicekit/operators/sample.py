@@ -39,6 +39,8 @@ def seeded_sample(df: DataFrame, n: int, seed: int = 42, by: str | None = "datas
     """
     k = order_key(seed, key)
     w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(k, F.col(key))
+    if not by:  # the n rows are taken before one window numbers them
+        df = df.orderBy(k, F.col(key)).limit(int(n))
     x = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(int(n)))
     x = x.withColumn("position", F.col("_rn") - 1).drop("_rn")
     if id_prefix_col:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compare_reports, mt_reports, pipeline, prep_queries, qa_reports  # noqa: F401
+from . import chains, compare_reports, mt_reports, pipeline, prep_queries, qa_reports  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
