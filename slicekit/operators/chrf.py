@@ -49,6 +49,9 @@ def _windows(text: Column, order: int) -> Column:
 # 6 orders, 2 sides.
 _TARGET_BYTES = 256 << 20
 _EXPANSION = 36
+# Most tasks that are asked for without ``num_partitions``: a driver does not
+# schedule many more well; larger inputs get larger tasks, which spill.
+MAX_TASKS = 200_000
 
 
 def _input_bytes(df: DataFrame) -> int | None:
@@ -82,7 +85,7 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     est = _input_bytes(df)
     if est is None or est <= 0 or est >= 1 << 60:  # unknown size
         return base
-    return max(base, min(200_000, -(-est * _EXPANSION // _TARGET_BYTES)))
+    return max(base, min(MAX_TASKS, -(-est * _EXPANSION // _TARGET_BYTES)))
 
 
 def chrf_stats(pairs: DataFrame, keys: list[str], hyp: str = "hyp", ref: str = "ref",

@@ -57,7 +57,7 @@ def gold_audit(cells: DataFrame, cfg: EvalConfig, condition: str = OPENBOOK) ->
     them disagree with the gold answer -- candidates for gold errors."""
     c = cells.filter((F.col("condition") == condition) & F.col("model").isin(*cfg.models)
                      & F.col("correct").isNotNull())
-    g = c.groupBy("id").agg(F.count_distinct("model").alias("n_models"),
+    g = c.groupBy("id").agg(F.count(F.lit(1)).alias("n_models"),  # one cell for each model
                             F.bool_and(~F.col("correct")).alias("all_wrong"),
                             F.first("dataset").alias("dataset"))
     return g.filter((F.col("n_models") == len(cfg.models)) & F.col("all_wrong")).select("id", "dataset", "n_models")
@@ -66,7 +66,7 @@ def gold_audit(cells: DataFrame, cfg: EvalConfig, condition: str = OPENBOOK) ->
 def local_share(cov: DataFrame, cfg: EvalConfig, general: str = "general") -> DataFrame:
     """Share (%) of items in a non-general domain, native vs translated."""
     local_cols = [f"dom_{d}" for d in cfg.all_domains if d != general]
-    local = sum((F.col(c) for c in local_cols), F.lit(0))
+    local = sum((F.coalesce(F.col(c), F.lit(0)) for c in local_cols), F.lit(0))  # null: another language's domain
     x = cov.select("lang", cfg.dataset_role("dataset").alias("role"),
                    (local.cast("double") * 100 / F.col("n")).alias("pct"))
     g = x.groupBy("lang").agg(F.max(F.when(F.col("role") == "native", F.col("pct"))).alias("native_pct"),

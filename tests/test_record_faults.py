@@ -44,6 +44,15 @@ def test_domains_and_phenomena_of_other_languages_are_not_reported(spark):
     assert {r.value for r in long if r.dataset == "squad_sw" and r.facet == "phenomenon"} == {*PILOT.lang("sw").phenomena, "none"}
 
 
+def test_local_share_ignores_domains_of_other_languages(spark):
+    from slicekit.operators import compare as X
+    tag = lambda d: ([], None, d)
+    rows = [("a", "sw", "tydiqa_sw", tag("east_african_history")), ("b", "sw", "tydiqa_sw", tag("general")),
+            ("c", "sw", "squad_sw", tag("general"))]
+    cov = S.coverage(spark.createDataFrame(rows, f"id string, lang string, dataset string, tags {TAGS}"), PILOT)
+    assert [(r.lang, r.native_pct, r.translated_pct) for r in X.local_share(cov, PILOT).collect()] == [("sw", 50.0, 0.0)]
+
+
 def test_pairs_that_share_a_key_are_scored_each(spark):
     pairs = [("k", "same text", "same text"), ("k", "xyzw", "abcd"), ("d", "ab cd", "ab ce"), ("d", "ab cd", "ab ce"), ("e", "", "ref")]
     got = C.chrf_sentence(spark.createDataFrame(pairs, "id string, hyp string, ref string"), ["id"]).collect()
