@@ -198,14 +198,12 @@ def _links_by_key(key: np.ndarray, fp: np.ndarray, ring: Ring) -> tuple[np.ndarr
 
 
 def _classes(docs: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints, and ``fp, root, component_id`` of every distinct one."""
+    """The rows' fingerprints, and ``fp, root, least`` (smallest id) of every distinct one."""
     rows = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints-distinct")
     roots = materialize(connected_components(fingerprint_links(distinct, max_bits)), "fingerprint-roots")
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
+    return rows, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, linked.join(of_root, "root").select("fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -217,7 +215,8 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     Repeated rows are kept each.  An empty table gives no rows; other columns
     are not read."""
     rows, classes = _classes(docs, shingle, max_bits)
-    return (rows.join(classes, "fp")
+    of_root = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return (rows.join(classes.join(of_root, "root").select("fp", "component_id"), "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
