@@ -1,6 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-Texts are cut into sentences without losing a character.  From every sentence
+Texts are cut into sentences without losing a character, long sentences into
+pieces at places their words define, so a passage is cut alike wherever it stands.
+From every sentence
 the shortest run forwards, and to every sentence the shortest run backwards,
 that has several sentences and enough words is hashed; equal runs meet in one
 shuffle, and sentences covered by a run that occurred before -- in the order of
@@ -29,12 +31,68 @@ from .common import byte_slices, texts_of
 
 MIN_SENTENCES = 2
 MIN_WORDS = 13
-LONG_SENTENCE = 32  # words; longer sentences count as consecutive pieces of so many
-
-# a sentence ends behind .!? and blanks, at a line end, and before a capitalised word that follows a small letter
+LONG_SENTENCE = 32  # words; longer sentences are cut into pieces of at most so many
+_PIECE_WORDS = 8  # words of such a piece, on average
+
+# scripts without blanks between words, and the tenths of a word that one of their characters counts for
+_HAN = "\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff20\uff61-\uff9f\U00020000-\U0003ffff"
+_THAI = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"  # Thai, Lao, Burmese, Khmer
+_WORD, _HAN_CHAR, _THAI_CHAR = 10, 5, 2
+_NO_BLANKS = re.compile("[%s%s]" % (_HAN, _THAI))
+_UNIT = re.compile(r"(?:([%s])|([%s])|[^\s%s%s]+)\s*" % (_HAN, _THAI, _HAN, _THAI))
+_TENTHS = {None: _WORD, 1: _HAN_CHAR, 2: _THAI_CHAR}  # by the group that matched
+
+# a sentence ends behind .!? and blanks, behind a full-width stop, at a line end, and before a capitalised word
+# that follows a small letter
 _CAPITAL = "A-ZÀ-ÖØ-Þ"
-_END = re.compile(r"\s(?:(?<=[.!?].)\s*|(?<=\n)\s*|[ \t]*\n\s*|(?<=[^\W\d_].)(?=[%s][^\W%s\d_]))" % (_CAPITAL, _CAPITAL), re.S)
-_PIECE = re.compile(r"\s*(?:\S+\s*){1,%d}" % LONG_SENTENCE)
+_STOP = "。！？｡"
+_END = re.compile(r"[\s%s](?:(?<=[%s])[%s」』）”’]*\s*|(?<=[.!?].)\s*|(?<=\n)\s*|[ \t]*\n\s*|(?<=[^\W\d_].)(?=[%s][^\W%s\d_]))"
+                  % (_STOP, _STOP, _STOP, _CAPITAL, _CAPITAL), re.S)
+
+
+def tenths(sentence: str) -> int:
+    """Ten times the words of ``sentence``, where characters of scripts without blanks are shares of a word."""
+    if sentence.isascii() or not _NO_BLANKS.search(sentence):
+        return _WORD * len(sentence.split())
+    return sum(_TENTHS[m.lastindex] for m in _UNIT.finditer(sentence))
+
+
+def _pieces(sentence: str) -> list[str]:
+    """A long sentence cut at places that its words alone define, wherever it begins:
+    behind words whose hash with the word before falls in one of ``_PIECE_WORDS``
+    classes, and, where none does in ``LONG_SENTENCE`` words, behind the least hash of
+    the latter half of them (the last of equal ones)."""
+    out, start = [], 0
+    ends, weights, hashes = [], [], []
+    names: list[str] = []
+    first = held = 0  # first unit of the piece, and tenths of words since
+    for i, m in enumerate(_UNIT.finditer(sentence)):
+        w = _TENTHS[m.lastindex]
+        names.append(m[0].rstrip().lower())
+        context = 2 * _WORD // w  # units that make up two words
+        h = xxhash.xxh32_intdigest(" ".join(names[-context:]))
+        ends.append(m.end())
+        weights.append(w)
+        hashes.append(h)
+        held += w
+        cut = -1
+        if i + 1 >= context and h % (_PIECE_WORDS * _WORD // w) == 0:
+            cut = i
+        elif held >= LONG_SENTENCE * _WORD:
+            least, after = 1 << 32, held
+            for j in range(i, first - 1, -1):
+                if after <= LONG_SENTENCE * _WORD // 2:
+                    break
+                if hashes[j] < least:
+                    least, cut = hashes[j], j
+                after -= weights[j]
+        if cut >= 0:
+            out.append(sentence[start:ends[cut]])
+            start, first = ends[cut], cut + 1
+            held = sum(weights[first:])
+    if start < len(sentence):
+        out.append(sentence[start:])
+    return out
 
 
 def sentences(text: str) -> list[str]:
@@ -46,12 +104,11 @@ def sentences(text: str) -> list[str]:
             at = m.end()
     if at < len(text):
         out.append(text[at:])
-    if len(text) < 6 * LONG_SENTENCE:
-        return out
+    wide = not text.isascii() and _NO_BLANKS.search(text)
     cut = []
     for s in out:
-        if len(s) > 2 * LONG_SENTENCE and len(s.split()) > LONG_SENTENCE:
-            cut += _PIECE.findall(s)
+        if len(s) > 2 * LONG_SENTENCE and (tenths(s) > LONG_SENTENCE * _WORD if wide else len(s.split()) > LONG_SENTENCE):
+            cut += _pieces(s)
         else:
             cut.append(s)
     return cut
@@ -101,9 +158,9 @@ def _spread(min_sentences: int, min_words: int):
             for batch in byte_slices(whole, "text"):
                 cols: list[list[np.ndarray]] = [[], [], [], [], []]
                 for row, text in enumerate(texts_of(batch)):
-                    norm = [s.lower().split() for s in sentences(text or "")]
-                    words = np.fromiter(map(len, norm), np.int64, len(norm))
-                    first, last = runs(words, min_sentences, min_words)
+                    parts = sentences(text or "")
+                    norm = [s.lower().split() for s in parts]
+                    first, last = runs(np.fromiter(map(tenths, parts), np.int64, len(parts)), min_sentences, _WORD * min_words)
                     if not len(first):
                         continue
                     each = np.fromiter((xxhash.xxh64_intdigest(" ".join(s)) for s in norm), np.uint64, len(norm))
@@ -198,7 +255,8 @@ def remove_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, m
     smallest (doc_id, place) stays, null ids first; rows of one id are ordered by
     their row key, and rows equal in id and text are one document and treated
     alike.  A span that repeats inside its own text is a repeat as well.  Texts
-    of fewer sentences or words than a run needs are left alone."""
+    of fewer sentences or words than a run needs are left alone.  Words are what blanks
+    part; in scripts without blanks characters count as shares of a word."""
     by_row = (repeated_spans(docs, min_sentences, min_words).groupBy("doc_id", "k1")
               .agg(F.collect_list(F.struct("first", "last")).alias("__spans"))  # at most two a sentence
               .select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k1"), "__spans"))

@@ -122,3 +122,47 @@ def test_stage_keeps_columns_and_counts_characters(spark):
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[1].text == passage and rows[3].text is None
     assert rows[2].n_chars == len(rows[2].text) < len(passage)
+
+
+def _left(spark, passage, before, joint=" "):
+    """Share of a passage that stays in the second of two texts that hold it behind ``before``."""
+    rows = [(i, joint.join([b, passage])) for i, b in enumerate(before)]
+    got = {int(r.doc_id): r.text for r in S.span_dedup(documents(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and got[1].startswith(before[1])
+    return (len(got[1]) - len(before[1])) / len(passage)
+
+
+def _unpunctuated(rng, n):
+    return " ".join(sentence(rng, n)[:-1].lower().split())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_an_unpunctuated_passage_is_found_at_any_offset(spark, seed):
+    rng = random.Random(seed)
+    passage = _unpunctuated(rng, 200)
+    assert _left(spark, passage, [_unpunctuated(rng, 37), _unpunctuated(rng, 5 + seed)]) < 0.25
+
+
+def test_few_words_over_and_over_are_cut_alike():
+    rng = random.Random(8)
+    for period in (2, 4, 8):
+        passage = " ".join([_unpunctuated(rng, period)] * (240 // period))
+        one, two = ([p.strip() for p in S.sentences(_unpunctuated(rng, n) + " " + passage)] for n in (40, 35))
+        assert sum(len(p.split()) for p in two if p in one) > 160
+
+
+def test_short_texts_are_cut_like_long_ones():
+    words = "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2
+    assert len(words) < 192 and len(S.sentences(words)) > 1
+    assert max(len(p.split()) for p in S.sentences(words)) <= S.LONG_SENTENCE
+
+
+def test_full_width_stops_and_scripts_without_blanks(spark):
+    assert S.sentences("今天下雨。「是吗？」 我们走！x") == ["今天下雨。", "「是吗？」 ", "我们走！", "x"]
+    assert [S.tenths(t) for t in ("one two", "今天 one", "ไทย")] == [20, 20, 6]
+    rng = random.Random(7)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    thai = lambda n: "".join(chr(rng.randint(0x0E01, 0x0E2E)) for _ in range(n))
+    assert _left(spark, "".join(han(12) + "。" for _ in range(9)), ["", ""], "") == 0
+    assert _left(spark, han(400), [han(71), han(6)], "") < 0.25
+    assert _left(spark, thai(1200), [thai(150), thai(31)], "") < 0.25
