@@ -7,8 +7,12 @@ they reject -- give each character a probability that blends all orders up to
 (Witten-Bell smoothing).  The mean difference of log-likelihoods per character
 decides, against a cut calibrated on labelled urls left out of the counts.
 
-Counts are taken from all labelled urls by one aggregation.  The model that is
-broadcast is hashed into ``SLOTS`` slots, so its size does not depend on the data.
+A character and the ``ORDER`` bytes before it, its window, hold its grams and contexts
+of all orders, so a window has one number, and a url's ratio is the mean of its
+windows' numbers.  Grams are counted from all labelled urls, each for itself and
+exactly.  While their measured number is at most ``SLOTS``, the counts are
+broadcast; beyond, the numbers of the distinct windows come from joins with the
+counts, order by order, and go to chunks of urls, with the same results.
 """
 
 from __future__ import annotations
@@ -17,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from ..session import materialize, ship_package
 from .common import byte_slices, texts_of
 
 ORDER = 5
-SLOTS = 1 << 19  # a power of two
+SLOTS = 1 << 19  # counted grams that a broadcast model holds; more are joined
 CALIBRATION_FOLDS = 5  # one of so many labelled urls calibrates the cut
 _BIN = 0.01  # log-likelihood difference per character that a bin of the calibration spans
 
@@ -54,116 +60,185 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, action
 
 
-# -- grams: hashes of the last k characters and of their contexts
+# -- grams: a window's last k + 1 bytes are its gram of order k, those without the last one the context
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_FACTOR = np.uint64(0x100000001B3)
+_TAG = 8 * (ORDER + 1)  # a key holds the order above the bytes
+_CHUNK_BYTES = 1 << 19  # of urls, scored at once
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _ODD
-    return x ^ (x >> np.uint64(29))
-
-
-def grams(urls: list[str | None], order: int = ORDER) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each order 0 to ``order``: hashes of gram and context at every character
-    (an end mark included); and characters per url."""
-    raw = [b"\x00" * order + (u or "").lower().encode() + b"\x01" for u in urls]
+def windows(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Every character (an end mark included) with the ``ORDER`` bytes before it, as a
+    number; and characters per url."""
+    raw = [b"\x00" * ORDER + (u or "").lower().encode() + b"\x01" for u in urls]
     flat = np.frombuffer(b"".join(raw), np.uint8)
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     first = np.repeat(np.cumsum(size) - size, size)
-    at = np.flatnonzero(np.arange(len(flat)) - first >= order)
-    out = []
-    context = np.zeros(len(at), np.uint64)
-    for k in range(order + 1):
-        if k:
-            context = context * _FACTOR + flat[at - k] + np.uint64(1)
-        own = _mixed(context + np.uint64((k + 1) * int(_ODD) & (1 << 64) - 1))
-        out.append((_mixed(own + (flat[at] + np.uint64(1)) * _FACTOR), own))
-    return out, size - order
+    at = np.flatnonzero(np.arange(len(flat)) - first >= ORDER)
+    out = np.zeros(len(at), np.int64)
+    for k in range(ORDER, -1, -1):
+        out = out << 8 | flat[at - k]
+    return out, size - ORDER
 
 
-class UrlModel:
-    """Both models, hashed: counts of grams and contexts, and followers of contexts."""
+def _mask(k: int) -> int:
+    return (1 << 8 * (k + 1)) - 1
+
+
+def _mean(each: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Means of consecutive runs of ``size`` values, at least one each."""
+    return np.add.reduceat(each, np.cumsum(size) - size) / size if len(size) else np.zeros(0)
+
 
-    def __init__(self, gram: np.ndarray, context: np.ndarray, followers: np.ndarray):
-        self.gram, self.context, self.followers = gram, context, followers  # (2, SLOTS): accepted, rejected
+class UrlModel:
+    """Counts of both models, accepted and rejected, held whole."""
+
+    def __init__(self, key: np.ndarray, seen: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.seen = key[order], seen[:, order]  # (grams,), (2, grams)
+        context = (self.key & _mask(ORDER)) >> 8 | self.key >> _TAG << _TAG
+        self.context, at = np.unique(context, return_inverse=True)
+        sums = lambda v: np.stack([np.bincount(at, x, len(self.context)) for x in v])
+        self.n, self.followers = sums(self.seen), sums(self.seen > 0)
+
+    def numbers(self, window: np.ndarray) -> np.ndarray:
+        """Difference of log-likelihoods, accepted over rejected, of each window."""
+        p = np.full((2, len(window)), 1 / 256)
+        for k in range(ORDER + 1):
+            gram = window & _mask(k)
+            seen, n, t = (np.where(ok, values[:, i], 0) for values, (i, ok) in (
+                (self.seen, _place(self.key, gram | k << _TAG)),
+                *((v, _place(self.context, gram >> 8 | k << _TAG)) for v in (self.n, self.followers))))
+            p = np.where(n > 0, (seen + t * p) / np.maximum(n + t, 1), p)
+        return np.log(p[0]) - np.log(p[1])
 
     def ratio(self, urls: list[str | None]) -> np.ndarray:
         """Mean difference of log-likelihoods per character, accepted over rejected."""
-        by_order, size = grams(urls)
-        logs = []
-        for y in range(2):
-            p = np.full(len(by_order[0][0]), 1 / 256)
-            for g, c in by_order:
-                g, c = (g & np.uint64(SLOTS - 1)).astype(np.int64), (c & np.uint64(SLOTS - 1)).astype(np.int64)
-                n, t = self.context[y][c].astype(float), self.followers[y][c].astype(float)
-                seen = np.minimum(self.gram[y][g], n)
-                p = np.where(n > 0, (seen + t * p) / np.maximum(n + t, 1), p)
-            logs.append(np.log(p))
-        total = np.concatenate([[0], np.cumsum(logs[0] - logs[1])])
-        ends = np.cumsum(size)
-        return (total[ends] - total[ends - size]) / size
+        each, size = windows(urls)
+        distinct, back = np.unique(each, return_inverse=True)
+        return _mean(self.numbers(distinct)[back], size)
+
+    def score(self, pages: DataFrame) -> DataFrame:
+        """``pages`` and ``llr``, the ratio of their urls; one pass."""
+        shipped = pages.sparkSession.sparkContext.broadcast((self.key, self.seen))
+        columns = pages.columns
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = UrlModel(*shipped.value)
+            for whole in batches:
+                for batch in byte_slices(whole, "url", _CHUNK_BYTES):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.ratio(texts_of(batch, "url")), pa.float64())],
+                                                     names=[*columns, "llr"])
+
+        return pages.mapInArrow(score, StructType(list(pages.schema)).add("llr", DoubleType()))
+
+
+def _place(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked key stands in the sorted keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+class JoinedModel:
+    """Counts of both models in a table; windows get their numbers by joins.
+
+    A gram has at most 256 grams of the next order, and a context as many grams, so
+    no join piles up on a key; a window meets each chunk of urls once."""
+
+    def __init__(self, counts: DataFrame):
+        self.counts = counts
+
+    def numbers(self, window: DataFrame) -> DataFrame:
+        """``window, number`` of the distinct ``window``s."""
+        key, low = F.col("key"), F.lit(_mask(ORDER))
+        context = F.shiftright(key.bitwiseAND(low), 8).bitwiseOR(F.shiftleft(F.shiftright(key, _TAG), _TAG))
+        contexts = materialize(self.counts.groupBy(context.alias("context")).agg(
+            *(F.sum(c).alias(f"n_{c}") for c in _KINDS), *(F.sum((F.col(c) > 0).cast("long")).alias(f"t_{c}") for c in _KINDS)), "url-contexts")
+        before = None
+        for k in range(ORDER + 1):
+            gram = F.col("gram")
+            p = window.select(F.col("window").bitwiseAND(F.lit(_mask(k))).alias("gram")).distinct()
+            if before is None:
+                p = p.withColumns({f"p_{c}": F.lit(1 / 256) for c in _KINDS})
+            else:
+                p = p.withColumn("shorter", gram.bitwiseAND(F.lit(_mask(k - 1)))).join(before, "shorter").drop("shorter")
+            p = (p.withColumns({"key": gram.bitwiseOR(F.lit(k << _TAG)), "context": F.shiftright(gram, 8).bitwiseOR(F.lit(k << _TAG))})
+                 .join(self.counts, "key", "left").join(contexts, "context", "left"))
+            n, t, seen, prior = ([F.col(f"{x}{c}") for c in _KINDS] for x in ("n_", "t_", "", "p_"))
+            before = p.select(gram.alias("shorter"), *(
+                F.when(n[i] > 0, (F.coalesce(seen[i], F.lit(0)) + t[i] * prior[i]) / (n[i] + t[i])).otherwise(prior[i]).alias(f"p_{c}")
+                for i, c in enumerate(_KINDS)))
+        return before.select(F.col("shorter").alias("window"), (F.log("p_accepted") - F.log("p_rejected")).alias("number"))
+
+    def score(self, pages: DataFrame) -> DataFrame:
+        """``pages`` and ``llr``, the ratio of their urls."""
+        schema, columns = StructType(list(pages.schema)), pages.columns
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk = TaskContext.get().partitionId() << 32
+            for whole in batches:
+                for batch in byte_slices(whole, "url", _CHUNK_BYTES):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([chunk] * batch.num_rows, pa.int64())],
+                                                     names=[*columns, "__chunk"])
+                    chunk += 1
+
+        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                chunk = batch.column(1).to_numpy()
+                url = texts_of(batch, "url")
+                for c in np.unique(chunk):
+                    found = np.unique(windows([url[i] for i in np.flatnonzero(chunk == c)])[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), c)), pa.array(found)], names=["__chunk", "window"])
+
+        def rate(own: pa.Table, numbers: pa.Table) -> pa.Table:
+            key, value = (numbers.column(c).to_numpy() for c in ("window", "number"))
+            order = np.argsort(key)
+            each, size = windows(own.column("url").to_pylist())
+            llr = _mean(value[order[np.searchsorted(key, each, sorter=order)]], size)
+            return own.drop_columns("__chunk").append_column("llr", pa.array(llr, pa.float64()))
+
+        # written, so that a url is in the same chunk whenever it is read
+        dealt = materialize(pages.mapInArrow(deal, StructType(list(schema)).add("__chunk", LongType())), "url-chunks")
+        asked = materialize(dealt.select("url", "__chunk").mapInArrow(distinct, "__chunk long, window long"), "url-windows")
+        numbers = asked.distinct().join(self.numbers(asked.select("window").distinct()), "window")
+        return (dealt.groupBy("__chunk").cogroup(numbers.groupBy("__chunk"))
+                .applyInArrow(rate, StructType(list(schema)).add("llr", DoubleType())))
+
+
+_KINDS = ("accepted", "rejected")
 
 
 def count_grams(labelled: DataFrame) -> DataFrame:
-    """``gram, context, accepted, rejected`` over all rows of ``labelled(url, accepted)``."""
+    """``key, accepted, rejected``: grams of all orders over all rows of ``labelled(url, accepted)``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in byte_slices(whole, "url", 1 << 19):
-                by_order, size = grams(texts_of(batch, "url"))
+            for batch in byte_slices(whole, "url", _CHUNK_BYTES):
+                each, size = windows(texts_of(batch, "url"))
                 good = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), size)
-                for g, c in by_order:
-                    gram, at, back = np.unique(g, return_index=True, return_inverse=True)
-                    n = np.bincount(back, minlength=len(gram))
-                    n_good = np.bincount(back, good, len(gram)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram.view(np.int64)), pa.array(c[at].view(np.int64)), pa.array(n_good), pa.array(n - n_good)],
-                        names=["gram", "context", "accepted", "rejected"])
+                for k in range(ORDER + 1):
+                    key, back = np.unique(each & _mask(k) | k << _TAG, return_inverse=True)
+                    n, n_good = np.bincount(back, minlength=len(key)), np.bincount(back[good], minlength=len(key))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n_good), pa.array(n - n_good)], names=["key", *_KINDS])
 
-    return (labelled.select("url", "accepted").mapInArrow(count, "gram long, context long, accepted long, rejected long")
-            .groupBy("gram", "context").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")))
+    return (labelled.select("url", "accepted").mapInArrow(count, "key long, accepted long, rejected long")
+            .groupBy("key").agg(*(F.sum(c).alias(c) for c in _KINDS)))
 
 
-def fit_model(labelled: DataFrame) -> UrlModel | None:
-    """The hashed model of ``labelled(url, accepted)``; None unless there are urls of both kinds."""
+def fit_model(labelled: DataFrame) -> UrlModel | JoinedModel | None:
+    """The model of ``labelled(url, accepted)``; None unless there are urls of both kinds."""
     counts = materialize(count_grams(labelled), "url-grams")
-    slot = lambda c: F.col(c).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-    out = []
-    for key, sums in (("gram", ("accepted", "rejected")),
-                      ("context", ("accepted", "rejected", "cast(accepted > 0 as int)", "cast(rejected > 0 as int)"))):
-        table = np.zeros((len(sums), SLOTS), np.float32)
-        # at most SLOTS rows come to the driver
-        got = counts.groupBy(slot(key).alias("slot")).agg(*(F.sum(F.expr(s)).alias(f"s{i}") for i, s in enumerate(sums))).toArrow()
-        at = got.column("slot").to_numpy()
-        for i in range(len(sums)):
-            table[i, at] = got.column(f"s{i}").to_numpy()
-        out.append(table)
-    gram, context = out
-    if not gram[0].any() or not gram[1].any():
+    n, *kinds = counts.agg(F.count("*"), *(F.sum(c) for c in _KINDS)).first()
+    if not all(kinds):
         return None
-    return UrlModel(gram, context[:2], context[2:])
-
-
-def _scored(pages: DataFrame, model: UrlModel) -> DataFrame:
-    shipped = pages.sparkSession.sparkContext.broadcast((model.gram, model.context, model.followers))
-    columns = pages.columns
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = UrlModel(*shipped.value)
-        for whole in batches:
-            for batch in byte_slices(whole, "url", 1 << 19):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.ratio(texts_of(batch, "url")), pa.float64())],
-                                                 names=[*columns, "llr"])
-
-    from pyspark.sql.types import DoubleType, StructType
-    return pages.mapInArrow(score, StructType(list(pages.schema)).add("llr", DoubleType()))
+    if n > SLOTS:
+        return JoinedModel(counts)
+    got = counts.toArrow()  # at most SLOTS rows
+    return UrlModel(got.column("key").to_numpy(), np.stack([got.column(c).to_numpy() for c in _KINDS]))
 
 
-def calibrate(labelled: DataFrame, model: UrlModel) -> float:
+def calibrate(labelled: DataFrame, model: UrlModel | JoinedModel) -> float:
     """The cut with the smallest mean of both kinds' error rates (the middle of the
     best ones), from a histogram of all ``labelled(url, accepted)``."""
-    bins = (_scored(labelled, model).groupBy(F.greatest(F.least(F.floor(F.col("llr") / _BIN), F.lit(1000)), F.lit(-1000)).cast("int").alias("b"), "accepted")
+    bins = (model.score(labelled).groupBy(F.greatest(F.least(F.floor(F.col("llr") / _BIN), F.lit(1000)), F.lit(-1000)).cast("int").alias("b"), "accepted")
             .count().collect())  # at most 2001 bins of two kinds
     n = np.zeros((2, 2001))
     for r in bins:
@@ -200,6 +275,6 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
         return parsed.select("page_id", "host", "path", "rule", F.coalesce("action", verdict).alias("verdict"),
                              F.lit(None).cast("double").alias("llr"))
     cut = calibrate(labelled.filter(fold), model)
-    return _scored(parsed, model).select(
+    return model.score(parsed).select(
         "page_id", "host", "path", "rule",
         F.coalesce("action", F.when(F.col("llr") >= cut, "allow").otherwise("block")).alias("verdict"), "llr")

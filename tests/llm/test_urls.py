@@ -99,3 +99,37 @@ def test_one_kind_of_label_or_none(spark):
     assert only(["http://a.b/", "http://c.d/"], (("block", "b", "/"),)) == {"block"}
     assert only(["http://a.b/", "http://c.d/"], (("allow", "b", "/"),)) == {"allow"}
     assert U.filter_urls(_pages(spark, [])).count() == 0
+
+
+def _labelled(rng, n):
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(2, 12)))
+    return [(f"http://{name()}.{'org' if ok else 'biz'}/{name()}/{name()}", ok) for ok in (True, False) for _ in range(n)]
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 19])
+def test_any_number_of_grams_is_counted_exactly(spark, monkeypatch, bound):
+    monkeypatch.setattr(U, "SLOTS", bound)  # 0: by joins
+    rows = _labelled(random.Random(3), 400)
+    model = U.fit_model(spark.createDataFrame(rows, "url string, accepted boolean").repartition(3))
+    a, b = (_PlainModel([u for u, ok in rows if ok is kind]) for kind in (True, False))
+    asked = [u for u, _ in rows[::40]] * 2 + ["http://other.org/win", "http://q.biz/", "", None, "é中"]
+    scored = model.score(_pages(spark, asked))
+    assert scored.columns == ["page_id", "url", "html", "llr"]
+    got = {r.page_id: r.llr for r in scored.collect()}
+    assert len(got) == len(asked)
+    for i, u in enumerate(asked):
+        assert got[i] == pytest.approx(a.log(u) - b.log(u), abs=1e-9)
+
+
+def test_joins_give_the_verdicts_of_the_broadcast_model(spark, monkeypatch):
+    urls = [u for u, _ in _labelled(random.Random(4), 150)] + [None, "", "http://x.net/a"]
+    rules = (("allow", "org", "/a"), ("allow", "org", "/b"), ("block", "biz", "/a"), ("block", "biz", "/b"))
+    pages = _pages(spark, urls + urls[:5])
+    rows = []
+    for bound in (1 << 19, 0):
+        monkeypatch.setattr(U, "SLOTS", bound)
+        rows.append(sorted(U.filter_urls(pages, rules).collect()))
+    assert len(rows[0]) == len(urls) + 5 and {r.verdict for r in rows[0] if r.rule is None} == {"allow", "block"}
+    for x, y in zip(*rows, strict=True):
+        assert x[:-1] == y[:-1] and x.llr == pytest.approx(y.llr, abs=1e-9)
+    assert U.filter_urls(spark.createDataFrame([], PAGES)).count() == 0
