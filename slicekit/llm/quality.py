@@ -249,7 +249,8 @@ def fit_scorer(docs: DataFrame, labels: DataFrame | None = None, train_rows: int
 
     annotated = cast_votes.filter(" or ".join(f"a_{a} < 2" for a in AXES))
     enough = annotated.limit(200).count() == 200
-    drawn = (annotated if enough else cast_votes).orderBy(F.xxhash64("__k1"), "__k2").limit(train_rows)
+    # rows equal in id and text are one document
+    drawn = (annotated if enough else cast_votes).dropDuplicates(["__k1", "__k2"]).orderBy(F.xxhash64("__k1"), "__k2").limit(train_rows)
 
     known = [{p: float(y) for p, y in zip(patterns, posterior(np.array(list(patterns)), *of))} if of else {}
              for patterns, of in belief]
@@ -267,7 +268,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame | None = None, train_rows: int
                     names=_SAMPLE_COLUMNS)
 
     # at most train_rows ids: bounded, so the texts are not shuffled for them
-    picked = keyed.drop("doc_id").join(F.broadcast(drawn.drop("doc_id")), ["__k1", "__k2"]).select(
+    picked = keyed.drop("doc_id").join(F.broadcast(drawn.drop("doc_id")), ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]).select(
         "text", "low_quality", "toxic", "a_low_quality", "a_toxic", (F.pmod("__k1", F.lit(5)) == 0).alias("held"))
     sample = materialize(picked.mapInArrow(extract, _SAMPLE), "quality-sample")
     return _fit(sample, train_rows)

@@ -114,3 +114,13 @@ def test_held_out_labels_of_the_tables(spark):
                                    F.sum((~bad & F.col("rejected")).cast("int"))).first()
     assert hit / n_bad > 0.95
     assert false / (n - n_bad) < 0.01
+
+
+def test_repeated_rows_take_one_place_of_the_sample(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 3)) for i in range(30)]
+    got = []
+    monkeypatch.setattr(Q, "_fit", lambda sample, train_rows: got.append(sample.count()))
+    Q.fit_scorer(documents(spark, rows + [(None, "")] * 40 + rows[:5]))
+    Q.fit_scorer(documents(spark, rows * 3), train_rows=20)
+    assert got == [31, 20]
