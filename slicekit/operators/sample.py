@@ -20,6 +20,10 @@ from pyspark.sql import Window
 from ..functions.tags import mt_phenomena
 from ..session import materialize as materialize_table
 from .jobs import new_candidates
+from .ordering import running_totals
+
+#: Samples of more rows a group than this get their positions from range partitions instead of one window a group.
+WINDOW_ROWS = 100_000
 
 # Sentinels for thresholds: md5 hex digests sort strictly between them.
 _BEFORE_ALL = ""      # bucket already full: no item may enter through it
@@ -38,14 +42,36 @@ def seeded_sample(df: DataFrame, n: int, seed: int = 42, by: str | None = "datas
     ``id_prefix_col`` the id becomes ``<prefix>_<position zero-padded>``.
     """
     k = order_key(seed, key)
+    if by and int(n) > WINDOW_ROWS:
+        x = _large_sample(df, int(n), k, by, key)
+        return _sample_ids(x, id_prefix_col, key, width)
     w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(k, F.col(key))
     if not by:  # the n rows are taken before one window numbers them
         df = df.orderBy(k, F.col(key)).limit(int(n))
     x = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(int(n)))
     x = x.withColumn("position", F.col("_rn") - 1).drop("_rn")
-    if id_prefix_col:
-        x = x.withColumn(key, F.format_string(f"%s_%0{width}d", F.col(id_prefix_col), F.col("position")))
-    return x
+    return _sample_ids(x, id_prefix_col, key, width)
+
+
+def _sample_ids(x: DataFrame, prefix: str | None, key: str, width: int) -> DataFrame:
+    if not prefix:
+        return x
+    return x.withColumn(key, F.format_string(f"%s_%0{width}d", F.col(prefix), F.col("position")))
+
+
+def _large_sample(df: DataFrame, n: int, k: Column, by: str, key: str) -> DataFrame:
+    """The same rows and positions as by the window, with each group's order spread over range partitions.
+
+    Only the order's columns are laid out; the rows join their position by (group, id), and rows
+    that repeat an id take their places in turn."""
+    ids = df.groupBy(by, key).agg(F.count(F.lit(1)).alias("_times")).withColumn("_k", k)
+    placed = running_totals(ids, [by], ["_k", key], {"_last": ("sum", F.col("_times"))}) \
+        .filter(F.col("_last") - F.col("_times") < n).select(by, key, "_k", "_last", "_times")
+    x = df.alias("d").join(placed.alias("p"), F.col(f"d.{by}").eqNullSafe(F.col(f"p.{by}"))
+                           & F.col(f"d.{key}").eqNullSafe(F.col(f"p.{key}")))
+    turn = F.row_number().over(Window.partitionBy(F.col(f"d.{by}"), F.col(f"d.{key}")).orderBy(F.lit(0)))
+    x = x.select("d.*", (F.col("_last") - F.col("_times") + turn - 1).cast("int").alias("position"))
+    return x.filter(F.col("position") < n)
 
 
 def take_first_n(df: DataFrame, n: int, order: str | list[str]) -> DataFrame:
