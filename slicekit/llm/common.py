@@ -9,6 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys held by more than one row in HOT_SHARE join by broadcast: at most HOT_SHARE keys, whatever the input.
+HOT_SHARE = 1000
+
 #: Text bytes handled at once inside a task: bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
 
@@ -55,3 +58,13 @@ def keep_one_row(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """One row of ``docs`` for each key of ``marked(__k1, __k2)``."""
     return (with_row_keys(docs).join(marked, ["__k1", "__k2"], "left_semi")
             .dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2"))
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join with ``right``, unique in ``keys``, whose column ``count`` says how many of ``left``'s ``total`` rows
+    (or more) have the key.  Hot keys are broadcast, and no other fills a partition of the shuffled join."""
+    hot = F.col(count) * HOT_SHARE > F.lit(total)
+    few = F.broadcast(right.filter(hot).drop(count).withColumn("__hot", F.lit(True)))
+    marked = left.join(few, keys, "left")
+    rest = marked.filter("__hot IS NULL").select(*left.columns).join(right.filter(~hot).drop(count), keys)
+    return marked.filter("__hot").drop("__hot").unionByName(rest)

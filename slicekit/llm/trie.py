@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import running_totals
 from ..session import materialize, ship_package
+from .common import join_counted
 from .digest import ordered_digests
 
 #: Components of at most this load are summed by one task.
@@ -46,46 +47,48 @@ SHARED = 8
 
 
 def ordered_turns(turns: DataFrame) -> DataFrame:
-    """``conv_id, pos, role, text, n_turns``: positions from 0."""
+    """``conv_id, pos, ta, tb, nbytes, n_turns``: places from 0, two hashes of (role, text), the text's UTF-8 bytes."""
     rows = turns.filter("conv_id IS NOT NULL").select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     one = ("sum", F.lit(1).cast("long"))
     placed = running_totals(rows, ["conv_id"], ["turn", "role", "text"], {"at": one}, {"n_turns": one})
-    return placed.select("conv_id", (F.col("at") - 1).alias("pos"), "role", "text", "n_turns")
+    return placed.select("conv_id", (F.col("at") - 1).alias("pos"), F.xxhash64(F.lit(11), "role", "text").alias("ta"),
+                         F.xxhash64(F.lit(13), "role", "text").alias("tb"),
+                         F.octet_length("text").cast("long").alias("nbytes"), "n_turns")
 
 
 def rebuild(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every conversation c with the first ``h = crc32(decimal c) % 9`` turns of conversation ``c - c % 5``, then its own
-    from its h-th on: ``(conv_id, depth, role, text)`` with depths from 1, and ``(conv_id, length)`` of all conversations.
+    from its h-th on: ``(conv_id, depth, ta, tb, nbytes)`` with depths from 1, and ``(conv_id, length)`` of all conversations.
 
     ``%`` takes the sign of c, as SQL has it."""
     placed = materialize(ordered_turns(turns), "turns")
+    turn = ["ta", "tb", "nbytes"]
     base = F.col("conv_id") - F.col("conv_id") % 5
-    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % (SHARED + 1)
-    convs = placed.groupBy("conv_id").agg(F.first("n_turns").alias("own")) \
-        .withColumns({"base": base, "h": head.cast("long")})
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % (SHARED + 1)).cast("long")
+    convs = placed.groupBy("conv_id").agg(F.first("n_turns").alias("own")).withColumns({"base": base, "h": head})
     lengths = convs.select(F.col("conv_id").alias("base"), F.col("own").alias("base_own"))
     convs = convs.join(lengths, "base", "left").select(
         "conv_id", "base", "h", F.least("h", F.coalesce("base_own", F.lit(0))).alias("taken"),
         F.greatest(F.col("own") - F.col("h"), F.lit(0)).alias("kept"))
-    convs = convs.withColumn("length", F.col("taken") + F.col("kept"))
+    convs = materialize(convs.withColumn("length", F.col("taken") + F.col("kept")), "convs")
     heads = placed.filter((F.col("conv_id") % 5 == 0) & (F.col("pos") < SHARED)) \
-        .select(F.col("conv_id").alias("base"), "pos", "role", "text")
+        .select(F.col("conv_id").alias("base"), "pos", *turn)
     shared = heads.join(convs.filter("h > 0").select("conv_id", "base", "h"), "base").filter("pos < h") \
-        .select("conv_id", (F.col("pos") + 1).alias("depth"), "role", "text")
+        .select("conv_id", (F.col("pos") + 1).alias("depth"), *turn)
     # the own turns come behind what was taken: as many as the base has, at most h
-    own = placed.filter(F.col("pos") >= head).join(
-        convs.filter("taken <> h").select("conv_id", "taken"), "conv_id", "left").select(
-        "conv_id", (F.col("pos") - head + F.coalesce("taken", head) + 1).alias("depth"), "role", "text")
+    kept = placed.filter(F.col("pos") >= head).select("conv_id", "pos", *turn)
+    total = convs.agg(F.sum("kept")).first()[0] or 0
+    own = join_counted(kept, convs.filter("kept > 0").select("conv_id", "h", "taken", "kept"), ["conv_id"], "kept", total) \
+        .select("conv_id", (F.col("pos") - F.col("h") + F.col("taken") + 1).alias("depth"), *turn)
     return shared.unionByName(own), convs.select("conv_id", "length")
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
     """``conv_id, depth, a, b, pa, pb, nbytes, length``: the node (a, b) every turn leads to, its parent's, the UTF-8 bytes
     of the turn's text and the number of the conversation's turns."""
-    h = [F.xxhash64(F.lit(seed), "depth", "role", F.lit("\n"), "text") for seed in (11, 13)]
-    narrow = rows.select("conv_id", F.col("depth").cast("long").alias("depth"), h[0].alias("ha"), h[1].alias("hb"),
-                         F.octet_length("text").cast("long").alias("nbytes"))
+    narrow = rows.select("conv_id", F.col("depth").cast("long").alias("depth"),
+                         *[F.xxhash64(F.lit(seed), "depth", "ta", "tb").alias(n) for seed, n in ((11, "ha"), (13, "hb"))], "nbytes")
     placed = running_totals(narrow, ["conv_id"], ["depth"], {"a": ("xor", F.col("ha")), "b": ("xor", F.col("hb"))},
                             {"length": ("sum", F.lit(1).cast("long"))})
     return placed.select("conv_id", "depth", "a", "b", F.col("a").bitwiseXOR(F.col("ha")).alias("pa"),
@@ -107,13 +110,14 @@ def trie_nodes(paths: DataFrame, convs: DataFrame) -> DataFrame:
     nodes = materialize(nodes.unionByName(root), "nodes")
     children = nodes.filter("pa IS NOT NULL").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")) \
         .agg(F.count(F.lit(1)).alias("n_children"))
-    nodes = nodes.join(children, ["a", "b"], "left").fillna(0, ["n_children"])
+    nodes = materialize(nodes.join(children, ["a", "b"], "left").fillna(0, ["n_children"]), "nodes")
     # a node's parent has the same smallest member but where the member's own piece of the trie begins:
     # one node for each conversation at most asks for its parent's
     first = nodes.groupBy("conv_id").agg(F.min("depth").alias("own_from"))
     tops = nodes.join(first.withColumnRenamed("own_from", "depth"), ["conv_id", "depth"]).select("a", "b", "pa", "pb")
-    asked = tops.join(nodes.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("above")), ["pa", "pb"]) \
-        .select("a", "b", "above")
+    above = nodes.filter("n_children > 0").select(F.col("a").alias("pa"), F.col("b").alias("pb"),
+                                                  F.col("conv_id").alias("above"), "n_children")
+    asked = join_counted(tops.filter("pa IS NOT NULL"), above, ["pa", "pb"], "n_children", nodes.count()).select("a", "b", "above")
     return nodes.join(asked, ["a", "b"], "left").withColumn(
         "parent_conv_id", F.when(F.col("pa").isNotNull(), F.coalesce("above", "conv_id"))).drop("above")
 
@@ -128,6 +132,7 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, values: list[str], local_lo
     state = nodes.select("a", "b", "pa", "pb", "conv_id", "depth", "load", *values,
                          *[F.lit(0).cast("long").alias(s) for s in sums],
                          F.lit(0).cast("long").alias("ca"), F.lit(0).cast("long").alias("cb"))
+    state = materialize(state, "components")
     ways = paths.select("conv_id", "depth", "a", "b", "pa", "pb")
     settled = []
     while True:
@@ -207,10 +212,10 @@ def end_digests(paths: DataFrame, convs: DataFrame) -> DataFrame:
 
 
 def prefix_trie(rows: DataFrame, convs: DataFrame, local_load: int = LOCAL_LOAD) -> DataFrame:
-    """The trie of ``rows(conv_id, depth, role, text)``, depths from 1 without gaps, and ``convs(conv_id, length)``: per node
+    """The trie of ``rows(conv_id, depth, ta, tb, nbytes)``, depths from 1 without gaps, and ``convs(conv_id, length)``: per node
     ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``."""
     ship_package(rows.sparkSession)
-    paths, convs = materialize(prefixes(rows), "paths"), materialize(convs, "convs")
+    paths = materialize(prefixes(rows), "paths")
     nodes = trie_nodes(paths, convs).withColumns({
         "n_leaves": F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long"),
         "saved_tokens": (F.col("n_convs") - 1) * F.col("nbytes")})

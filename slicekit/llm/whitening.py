@@ -21,15 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
+from .common import join_counted
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 32
-#: Vectors held by more than one row in HOT_SHARE join by broadcast: at most HOT_SHARE vectors, whatever the input.
-HOT_SHARE = 1000
 #: Eigenvalues under this share of the trace are rounding.
 RANK_SHARE = 1e-12
 
@@ -187,25 +186,12 @@ def whiten_embeddings(df: DataFrame, id_col: str = "vec_id", vector: str = "embe
         "k1 long, k2 long, x array<long>, weight long, held long, deviation long, z array<double>"), "whitened")
     zero = np.zeros(len(values))
     error = float(np.abs(weighted_covariance(white, "z", zero, n) - np.eye(len(values))).max())
-    out = _join_back(rows, white)
+    out = join_counted(rows, white.select("k1", "k2", "x", "held", "deviation", "z"), ["k1", "k2", "x"], "held", rows.count())
     explained = [float(v) for v in values / np.trace(cov)]
     return out.select("vec_id", F.lit(n).cast("long").alias("n"), "deviation", "z",
                       F.array(*map(F.lit, explained)).alias("explained"), F.lit(error).alias("identity_error"))
 
 
-def _join_back(rows: DataFrame, white: DataFrame) -> DataFrame:
-    """Rows with the results of their vector.  Vectors of more than one row in HOT_SHARE are
-    at most HOT_SHARE: they are broadcast, and no other can fill a partition of the shuffled join."""
-    total = rows.count()
-    hot: Column = F.col("held") * HOT_SHARE > F.lit(total)
-    keys = ["k1", "k2", "x"]
-    few = F.broadcast(white.filter(hot).select(*keys, "deviation", "z", F.lit(True).alias("few")))
-    marked = rows.join(few, keys, "left")
-    rest = marked.filter("few IS NULL").select("vec_id", *keys).join(
-        white.filter(~hot).select(*keys, "deviation", "z"), keys)
-    return marked.filter("few").select("vec_id", "deviation", "z").unionByName(rest.select("vec_id", "deviation", "z"))
-
-
 def _empty(rows: DataFrame) -> DataFrame:
     none = {"n": "long", "deviation": "long", "z": "array<double>", "explained": "array<double>", "identity_error": "double"}
     return rows.filter(F.lit(False)).select("vec_id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
