@@ -51,8 +51,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share; "
                                f"a folder of this machine would not do on {master or 'a cluster'}")
-        root = tempfile.mkdtemp(prefix="slicekit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # the setting cannot be changed while the session runs: the folder stays with the context
+        holder = spark.sparkContext
+        root = getattr(holder, "_slicekit_checkpoints", None) or tempfile.mkdtemp(prefix="slicekit-ckpt-")
+        holder._slicekit_checkpoints = root
     try:  # classic sessions: RDD checkpoints go to the same folder
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
