@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,18 +135,19 @@ class _Shard:
                 break
         return starts
 
-    def near(self, by_rarity: list[int], span: int) -> np.ndarray:
-        """Places of the rarest term that have all other terms within ``span`` words, in the same document."""
-        if not all(t in self.lists for t in by_rarity):
+    def near(self, by_rarity: list[int], span: int, least: int) -> np.ndarray:
+        """Places of the rarest term that have, itself counted, ``least`` of the terms within ``span`` words, in the same document."""
+        at = self.lists.get(by_rarity[0])
+        if at is None:
             return np.zeros(0, np.int64)
-        at = self.lists[by_rarity[0]]
         doc = np.searchsorted(self.first, at, "right") - 1
         low, high = np.maximum(at - span, self.first[doc]), np.minimum(at + span, self.first[doc] + self.sizes[doc] - 1)
-        ok = np.ones(len(at), bool)
+        held = np.ones(len(at), np.int64)
         for t in by_rarity[1:]:
-            places = self.lists[t]
-            ok &= np.searchsorted(places, low) < np.searchsorted(places, high, "right")
-        return at[ok]
+            places = self.lists.get(t)
+            if places is not None:
+                held += np.searchsorted(places, low) < np.searchsorted(places, high, "right")
+        return at[held >= least]
 
 
 # -- the search
@@ -227,9 +229,14 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, n_rarest: int = 4, span: int = 20) -> DataFrame:
-    """``doc_id, item_id, place``: where an item's ``n_rarest`` rarest terms come within
-    ``span`` words of the rarest one, in any order.  Items with fewer distinct words need all of them."""
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, n_rarest: int = 4, span: int = 20, share: float = 1.0,
+                      least_known: float = 0.5) -> DataFrame:
+    """``doc_id, item_id, place``: where ``share`` of an item's ``n_rarest`` rarest terms (rounded up, the rarest
+    among them) come within ``span`` words of the rarest one, in any order.
+
+    The rarest terms are taken among those that occur in the corpus: an edited or misspelt word of
+    an item hides nothing else of it.  Items of which less than ``least_known`` of the distinct words occur have no match;
+    those with fewer than ``n_rarest`` words that occur go by those."""
     index = build_index(docs, _vocabulary(benchmark))
     out = None
     for held in _items(benchmark, 1, WINDOWS_PER_PASS):
@@ -238,16 +245,21 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, n_rarest: int = 4,
             for item in items:
                 words.setdefault(item, set()).add(term_of(w))
         counts = _term_counts(index, set().union(*words.values()))
-        plan = index.sparkSession.sparkContext.broadcast(
-            [(item, sorted(ts, key=lambda t: (counts.get(t, 0), t))[:n_rarest]) for item, ts in words.items()])
+        chosen = []
+        for item, ts in words.items():
+            known = sorted((t for t in ts if t in counts), key=lambda t: (counts[t], t))
+            if known and len(known) >= least_known * len(ts):
+                rarest = known[:n_rarest]
+                chosen.append((item, rarest, math.ceil(share * len(rarest))))
+        plan = index.sparkSession.sparkContext.broadcast(chosen)
 
         def find(batches: Iterator[pa.RecordBatch], plan=plan) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
                     shard = _Shard(row)
-                    for item, rarest in plan.value:
-                        at = shard.near(rarest, span)
+                    for item, rarest, least in plan.value:
+                        at = shard.near(rarest, span, least)
                         doc = np.searchsorted(shard.first, at, "right") - 1
                         if len(at):
                             yield pa.RecordBatch.from_arrays(

@@ -12,7 +12,6 @@ each worker and laid out as one table, so that many texts take a step at once.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +30,15 @@ TRAIN_SYMBOLS = 24_000
 SEGMENT = 256
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 # letters and bytes beyond ASCII are symbols of their own, all else is one blank
 _SYMBOL = np.array([b if 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256)], np.uint8)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category (L*); digits of any kind, as in "½ ²", are not."""
+    return any(map(str.isalpha, text))
+
+
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all texts one after the other, runs of blanks as one, and symbols per text."""
     raw = [t.lower().encode() for t in texts]
@@ -134,7 +137,7 @@ class CrossParser:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language of each text and its share of the inverse code lengths."""
-        known = [bool(t) and bool(_LETTER.search(t)) for t in texts]
+        known = [bool(t) and has_letter(t) for t in texts]
         if not self.langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         s, per = symbols([t if k else "" for t, k in zip(texts, known)])
@@ -159,7 +162,7 @@ def training_text(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars:
         .filter(F.col("__n") <= sample_rows)
     texts: dict[str, list[str]] = {}
     for r in few.orderBy("lang", "__n").collect():  # sample_rows excerpts a language
-        if _LETTER.search(r["excerpt"]):
+        if has_letter(r["excerpt"]):
             texts.setdefault(r["lang"], []).append(r["excerpt"])
     return {lang: symbols([" ".join(x)])[0].tobytes()[:train_symbols] for lang, x in texts.items()}
 

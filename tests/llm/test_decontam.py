@@ -104,3 +104,18 @@ def test_proximity(spark):
     got = D.proximity_matches(documents(spark, rows), spark.createDataFrame(items, ITEMS), n_rarest=3, span=10)
     # the rarest of the three is any of them with the fewest places: zeta 5, alpha 5, beta 4
     assert sorted((r.doc_id, r.item_id, r.place) for r in got.collect()) == [(1, "1", 8), (3, "1", 0)]
+
+
+def test_proximity_with_words_the_corpus_lacks(spark):
+    rows = [(1, "zeta one two three alpha five six beta gamma"), (2, "zeta pad alpha pad pad"), (3, "other words other")]
+
+    def found(item, **how):
+        got = D.proximity_matches(documents(spark, rows), spark.createDataFrame([(1, item)], ITEMS), span=10, **how)
+        return sorted({r.doc_id for r in got.collect()})
+
+    assert found("alpha beta zeta") == [1]
+    assert found("alpha beta zeta unheardof") == [1]  # one unknown word hides nothing
+    assert found("alpha beta zeta un1 un2 un3 un4") == []  # most words unknown: no match
+    assert found("alpha unheardof") == [1, 2] and found("unheardof") == []
+    # beta, the rarest with gamma, must be there; three of the four suffice
+    assert found("beta gamma alpha other", share=0.75) == [1] and found("beta gamma alpha other") == []

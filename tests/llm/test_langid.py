@@ -87,3 +87,9 @@ def test_edge_rows(spark):
 def test_ties_go_to_the_first_name():
     parser = L.CrossParser({"b": b"same", "a": b"same"})
     assert parser.predict(["same"]) == (["a"], [pytest.approx(0.5)])
+
+
+@pytest.mark.parametrize("text, letter", [("½ ²", False), ("Ⅷ ٣", False), ("12 _ ́", False), ("a", True), ("字", True), ("ª", True), ("", False)])
+def test_letters_are_those_of_the_letter_categories(text, letter):
+    import unicodedata
+    assert L.has_letter(text) is letter is any(unicodedata.category(c)[0] == "L" for c in text)
