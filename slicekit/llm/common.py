@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +17,20 @@ HOT_SHARE = 1000
 SLICE_BYTES = 2 << 20
 
 
+_HELD: dict = {}
+
+
+def worker_state(kind: str, key, build: Callable):
+    """What a worker process keeps for an operator between tasks -- one thing at a time: what another operator, or
+    this one with another model, left behind is dropped first.  Workers are reused by all stages of a pipeline."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[kind, key] = build()
+    return _HELD[kind, key]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,8 +1,8 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Batches are balanced by bytes, and texts are split at boundaries where the
-tokenizer always cuts, so one very long text costs no more memory than many
-short ones.  No shuffle: rows stay in their partitions.
+tokenizer always cuts; a very long text is encoded piece by piece (with a sentencepiece
+model, whole).  No shuffle: rows stay in their partitions.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..session import ship_package
-from .common import SLICE_BYTES, byte_slices, texts_of
+from .common import SLICE_BYTES, byte_slices, texts_of, worker_state
 from .tokens import encoder, tokenizer_path
 
 
@@ -45,11 +45,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
             .mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"))
 
 
-_PIECE_MODELS: dict = {}
-
-
 def _sentencepiece(name: str, texts: list[str | None]) -> list[int]:
-    if name not in _PIECE_MODELS:
-        import sentencepiece
-        _PIECE_MODELS[name] = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
-    return [len(x) for x in _PIECE_MODELS[name].encode([t or "" for t in texts], num_threads=1)]
+    import sentencepiece
+    model = worker_state("sentencepiece", name, lambda: sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name)))
+    return [len(x) for x in model.encode([t or "" for t in texts], num_threads=1)]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import byte_slices, texts_of
+from .common import byte_slices, texts_of, worker_state
 
 #: Per language: labelled rows drawn by hash, characters taken of each at a place drawn by hash, symbols trained on.
 SAMPLE_ROWS = 96
@@ -167,9 +167,6 @@ def training_text(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars:
     return {lang: symbols([" ".join(x)])[0].tobytes()[:train_symbols] for lang, x in texts.items()}
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
 def identify_languages(docs: DataFrame, training: DataFrame | None = None, **sample) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs(doc_id, text, lang)``.
 
@@ -186,12 +183,10 @@ def identify_languages(docs: DataFrame, training: DataFrame | None = None, **sam
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(tuple(sorted(model.value.items())))
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = CrossParser(model.value)
+        parser = worker_state("cross parser", key, lambda: CrossParser(model.value))
         for whole in batches:
             for batch in byte_slices(whole, "text"):
-                lang, score = _PARSERS[key].predict(texts_of(batch))
+                lang, score = parser.predict(texts_of(batch))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                     names=["doc_id", "held_out", "lang_pred", "score"])

@@ -13,6 +13,7 @@ document is rejected on either.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from ..session import materialize, ship_package
-from .common import byte_slices, texts_of, with_row_keys
+from .common import byte_slices, texts_of, with_row_keys, worker_state
 
 #: Documents the scorer is trained on, at most (drawn by hash; annotated ones where there are enough).
 TRAIN_ROWS = 8000
@@ -35,6 +36,9 @@ AXES = ("low_quality", "toxic")
 INSULTS = frozenset(b"""clown disgusting dumb fool garbage idiot imbecile jerk loser moron pathetic
 scum stupid trash ugly useless vermin worthless""".split())
 
+#: Words whose weights a scorer remembers.
+KNOWN_WORDS = 200_000
+
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _UPPER = bytes(range(0x41, 0x5B))
 _SYMBOLS = b"!#$%&*+<=>@[\\]^_`{|}~"
@@ -193,13 +197,15 @@ class Scorer:
 
     def score(self, text: str | None) -> list[float]:
         words = set(words_of((text or "").lower()))
-        if len(self.known) > 500_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known = {}
         known, total = self.known, [0.0] * len(self.axes)
         for word in words:
             if word not in known:
-                known[word] = self._word(word)
-            if each := known[word]:
+                each = known[word if len(word) <= 64 else b""] = self._word(word)
+            else:
+                each = known[word]
+            if each:
                 for k, v in enumerate(each):
                     total[k] += v
         form, scale = np.array(shape(text or "")), _scale(len(words))
@@ -338,10 +344,10 @@ def with_scores(docs: DataFrame, scorer: Scorer, names: tuple[str, str] = ("__lo
     """``docs`` and the scorer's P(bad) on both axes; one pass, no shuffle, all columns kept."""
     ship_package(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(scorer.axes)  # at most FEATURES weights an axis
-    columns = docs.columns
+    columns, key = docs.columns, uuid.uuid4().hex
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(model.value)
+        own = worker_state("scorer", key, lambda: Scorer(model.value))
         for whole in batches:
             for batch in byte_slices(whole, "text"):
                 scores = [own.score(t) for t in texts_of(batch)]
