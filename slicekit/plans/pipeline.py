@@ -23,8 +23,7 @@ from .registry import query
 _KEY = ["id", "model", "condition"]
 
 
-from .userfns import (FlakyOnce, _infer_ok, infer_fn, judge_fn, length_ratio_scorer,  # noqa: E402
-                      locate_fn, translate_fn)
+from .userfns import infer_fn, judge_fn, length_ratio_scorer, locate_fn, translate_fn  # noqa: E402
 
 
 # -- J5 / J6 ----------------------------------------------------------------------------
@@ -104,15 +103,6 @@ def q_enrich_missing(spark, sf_dir):
     return E.enrich_missing(work, infer_fn, "prediction string", _KEY)
 
 
-@query("enrich_with_retry", with_views("""
-SELECT id, model, condition, model || ':' || question AS prediction,
- 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM pending_infer""", "pending_infer"))
-def q_enrich_with_retry(spark, sf_dir):
-    work = _pending_infer(spark, sf_dir)
-    fn = E.retrying(FlakyOnce(_infer_ok), max_tries=3, wait=lambda k: 0.0, sleep=lambda s: None)
-    return E.enrich_missing(work, fn, "prediction string", _KEY)
-
-
 def _judged(cells):
     work = J.pending_judge(cells, CFG.datasets).select(*_KEY, "prediction")
     res = E.enrich_missing(work, judge_fn, "verdict string, reason string", _KEY)

@@ -22,22 +22,14 @@ def judge_fn(rec: dict) -> dict:
     return {"verdict": "correct" if ok else "incorrect", "reason": "length parity"}
 
 
-class FlakyOnce:
-    """Fails the first call for every key ending in 3, then succeeds."""
-
-    def __init__(self, fn):
-        self.fn, self.seen = fn, set()
-
-    def __call__(self, rec: dict) -> dict:
-        k = (rec["id"], rec["model"], rec["condition"])
-        if rec["id"].endswith("3") and k not in self.seen:
-            self.seen.add(k)
-            raise ConnectionError("transient")
-        return self.fn(rec)
-
-
-def _infer_ok(rec: dict) -> dict:
-    return {"prediction": f"{rec['model']}:{rec['question']}"}
+def surface_tag_fn(rec: dict) -> dict:
+    """Tags a text by its surface; a blank one is refused."""
+    import json
+    t = rec["context"] or ""
+    if not t.strip():
+        raise ValueError("nothing to tag")
+    signs = (("newline", "\n" in t), ("pipe", " | " in t), ("email", "@" in t), ("long", len(t) > 1500))
+    return {"tags_json": json.dumps({"linguistic_phenomena": [p for p, hit in signs if hit]})}
 
 
 def length_ratio_scorer(pdf):
