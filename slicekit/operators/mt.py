@@ -3,7 +3,7 @@ A20, A23, P17, P18).
 
 Input is the flattened MT frame of :func:`reshape.flatten_mt`:
 ``(id, lang, model, phenomena, <metric columns>)`` with nulls kept.  ``n``
-counts rows, means skip nulls (both are reported).
+counts rows, means skip nulls (both are reported).  The first two also take an MT cube (:mod:`cube`).
 """
 
 from __future__ import annotations
@@ -14,15 +14,16 @@ from pyspark.sql import Window
 
 from ..config import METRIC_SCALE, MT_DELTA_BAND, MT_METRICS, EvalConfig
 from ..functions.tags import has_tag
+from .cube import metric_count, metric_mean_of, weight
 
 
 def system_level(flat: DataFrame, cfg: EvalConfig, metrics: tuple[str, ...] = MT_METRICS) -> DataFrame:
     """(lang, model) -> n rows, scored rows per metric, mean per metric, in
     the order of languages and models in the config."""
     sub = flat.filter(F.col("lang").isin(*(cfg.mt_langs or cfg.lang_codes)))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.count(m).alias(f"n_{m}") for m in metrics]
-    aggs += [F.avg(m).alias(m) for m in metrics]
+    aggs = [F.sum(weight(flat)).alias("n")]
+    aggs += [metric_count(flat, m).alias(f"n_{m}") for m in metrics]
+    aggs += [metric_mean_of(flat, m).alias(m) for m in metrics]
     return sub.groupBy("lang", "model").agg(*aggs).orderBy(cfg.lang_rank("lang"), cfg.model_rank("model").asc_nulls_last(), "model")
 
 
@@ -42,12 +43,12 @@ def per_tag(flat: DataFrame, cfg: EvalConfig, metrics: tuple[str, ...] = MT_METR
                 vocab_all[p] = None
     phs = tuple(vocab_all)
     sub = flat.filter(F.col("lang").isin(*langs))
-    aggs = []
+    aggs, w = [], weight(flat)
     for i, p in enumerate(phs):
         h = has_tag("phenomena", p)
-        aggs += [F.count_if(h).alias(f"nw{i}"), F.count_if(~h).alias(f"no{i}")]
+        aggs += [F.sum(F.when(h, w).otherwise(0)).alias(f"nw{i}"), F.sum(F.when(~h, w).otherwise(0)).alias(f"no{i}")]
         for m in metrics:
-            aggs += [F.avg(F.when(h, F.col(m))).alias(f"w{i}_{m}"), F.avg(F.when(~h, F.col(m))).alias(f"o{i}_{m}")]
+            aggs += [metric_mean_of(flat, m, h).alias(f"w{i}_{m}"), metric_mean_of(flat, m, ~h).alias(f"o{i}_{m}")]
     g = sub.groupBy("lang", "model").agg(*aggs)
     structs = []
     for i, p in enumerate(phs):

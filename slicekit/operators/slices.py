@@ -5,6 +5,8 @@ Design: each report is ONE grouped aggregation with conditional aggregates
 are low-cardinality (dataset x condition x model), so partial (map-side)
 aggregation collapses every partition before the shuffle and a hot key
 (one language holding a third of all rows) costs nothing extra.
+
+Where only counts matter a report takes a cube (:mod:`cube`) as well as rows.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Window
 
 from ..config import CLOSEDBOOK, OPENBOOK, QA_ALERT_PP, EvalConfig
 from ..functions.tags import has_tag, qa_phenomena
+from .cube import right, weight
 
 
 def pct(k: Column, n: Column) -> Column:
@@ -39,7 +42,7 @@ def pct1(k: Column, n: Column) -> Column:
 def accuracy_by_benchmark(flat: DataFrame, cfg: EvalConfig, ordered: bool = True) -> DataFrame:
     """(dataset, condition, model) -> n, accuracy % (1 decimal), canonical order."""
     agg = flat.groupBy("dataset", "condition", "model").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("correct").alias("k"))
+        F.sum(weight(flat)).alias("n"), F.sum(right(flat)).alias("k"))
     out = agg.select("dataset", "condition", "model", "n",
                      pct1(F.col("k"), F.col("n")).alias("accuracy_pct"))
     return canonical_order(out, cfg) if ordered else out
@@ -65,12 +68,13 @@ def coverage(items: DataFrame, cfg: EvalConfig) -> DataFrame:
     appear; what only other languages have is null.  A dataset without tagged
     items yields no row."""
     tagged = items.filter(F.col("tags").isNotNull() & F.col("lang").isin(*cfg.lang_codes))
-    ph = qa_phenomena("tags")
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.count_if(has_tag(ph, p)).alias(f"ph_{p}") for p in cfg.all_phenomena]
-    aggs.append(F.count_if(F.size(ph) == 0).alias("none"))
-    aggs += [F.count_if(F.col("tags.paraphrase_distance") == v).alias(f"para_{v}") for v in cfg.paraphrase]
-    aggs += [F.count_if(F.col("tags.domain") == v).alias(f"dom_{v}") for v in cfg.all_domains]
+    ph, w = qa_phenomena("tags"), weight(items)
+    held = lambda c: F.sum(F.when(c, w).otherwise(0))
+    aggs = [F.sum(w).alias("n")]
+    aggs += [held(has_tag(ph, p)).alias(f"ph_{p}") for p in cfg.all_phenomena]
+    aggs.append(held(F.size(ph) == 0).alias("none"))
+    aggs += [held(F.col("tags.paraphrase_distance") == v).alias(f"para_{v}") for v in cfg.paraphrase]
+    aggs += [held(F.col("tags.domain") == v).alias(f"dom_{v}") for v in cfg.all_domains]
     out = tagged.groupBy("lang", "dataset").agg(*aggs)
     # keep only the configured (lang, dataset) pairs
     ok = F.lit(False)
@@ -102,7 +106,7 @@ def tagged_counts(items: DataFrame, cfg: EvalConfig, spark: SparkSession) -> Dat
     bench = spark.createDataFrame([(lang, d, i) for i, (lang, d, _) in enumerate(cfg.benchmarks)],
                                   "lang string, dataset string, ord int")
     cnt = (items.filter(F.col("tags").isNotNull()).groupBy("lang", "dataset")
-           .agg(F.count(F.lit(1)).alias("n_tagged")))
+           .agg(F.sum(weight(items)).alias("n_tagged")))
     # the benchmark list is config-sized: the join is planned as a broadcast
     return (F.broadcast(bench).join(cnt, ["lang", "dataset"], "left")
             .select("lang", "dataset", F.coalesce("n_tagged", F.lit(0)).alias("n_tagged"), "ord")
@@ -116,11 +120,11 @@ def _phenomenon_counts(flat: DataFrame, cfg: EvalConfig, condition: str) -> Data
     """One pass: per (lang, dataset, model) the with/without counts and hits of
     every vocabulary tag, then unpivot to (..., phenomenon) rows."""
     sub = flat.filter(F.col("condition") == condition)
-    aggs = []
+    aggs, w, k = [], weight(flat), right(flat)
     for p in cfg.all_phenomena:
         h = has_tag("phenomena", p)
-        aggs += [F.count_if(h).alias(f"nw_{p}"), F.sum(F.when(h, F.col("correct"))).alias(f"kw_{p}"),
-                 F.count_if(~h).alias(f"no_{p}"), F.sum(F.when(~h, F.col("correct"))).alias(f"ko_{p}")]
+        aggs += [F.sum(F.when(h, w).otherwise(0)).alias(f"nw_{p}"), F.sum(F.when(h, k)).alias(f"kw_{p}"),
+                 F.sum(F.when(~h, w).otherwise(0)).alias(f"no_{p}"), F.sum(F.when(~h, k)).alias(f"ko_{p}")]
     g = sub.groupBy("lang", "dataset", "model").agg(*aggs)
     arr = F.array(*[F.struct(F.lit(p).alias("phenomenon"), F.col(f"nw_{p}").alias("n_with"),
                              F.col(f"kw_{p}").alias("k_with"), F.col(f"no_{p}").alias("n_without"),
@@ -171,7 +175,7 @@ def accuracy_by_category(flat: DataFrame, category: str, condition: str = OPENBO
     """Open-book accuracy per (dataset, model, category); null class dropped."""
     sub = flat.filter((F.col("condition") == condition) & F.col(category).isNotNull())
     g = sub.groupBy("lang", "dataset", "model", F.col(category).alias("category")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("correct").alias("k"))
+        F.sum(weight(flat)).alias("n"), F.sum(right(flat)).alias("k"))
     return g.select("lang", "dataset", "model", "category", "n", pct1(F.col("k"), F.col("n")).alias("accuracy"))
 
 
@@ -194,9 +198,10 @@ def _bench_model_grid(spark: SparkSession, cfg: EvalConfig, native_only: bool =
 
 def _open_closed(flat: DataFrame) -> DataFrame:
     o, c = F.col("condition") == OPENBOOK, F.col("condition") == CLOSEDBOOK
+    w, k = weight(flat), right(flat)
     return flat.groupBy("lang", "dataset", "model").agg(
-        F.count_if(o).alias("n_open"), F.sum(F.when(o, F.col("correct"))).alias("k_open"),
-        F.count_if(c).alias("n_closed"), F.sum(F.when(c, F.col("correct"))).alias("k_closed"))
+        F.sum(F.when(o, w).otherwise(0)).alias("n_open"), F.sum(F.when(o, k)).alias("k_open"),
+        F.sum(F.when(c, w).otherwise(0)).alias("n_closed"), F.sum(F.when(c, k)).alias("k_closed"))
 
 
 def open_vs_closed(flat: DataFrame, cfg: EvalConfig, spark: SparkSession) -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import has_tag, mt_phenomena, qa_phenomena
 from ..functions.text import sql_ustrip
+from ..operators import cube as Q
 from ..operators import mt as M
 from ..operators import prep as P
 from ..operators import reshape as R
 from ..operators import slices as S
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import checkpoint as CK
 from ..sources import corpus as CO
 from ..sources import jsonl as IO
@@ -335,6 +336,9 @@ def q_write_inspection(spark, sf_dir):
 _S6_MT = {"n": None, "chrf": 2, "comet": 3, "adequacy": 2, "fluency": 2}  # decimals of the summary
 
 
+_S6_TAG = [f"{m}_{side}" for m in ("chrf", "comet", "adequacy", "fluency") for side in ("with", "without", "delta")]
+
+
 def _s6_sql() -> str:
     """Every section as long rows: (section, key columns, value columns, table)."""
     cov_cols = ["n", *(f"ph_{p}" for p in fx.PH), "none", *(f"para_{v}" for v in fx.PARA), *(f"dom_{v}" for v in fx.DOM)]
@@ -354,33 +358,45 @@ FROM scored WHERE condition = 'openbook' AND {col} IS NOT NULL AND lang IN {fx.L
         ("paraphrase", ["lang", "dataset", "model", "category"], ["n", "accuracy"], category("paraphrase_distance")),
         ("domain", ["lang", "dataset", "model", "category"], ["n", "accuracy"], category("domain")),
         ("mt_system", ["lang", "model"], list(_S6_MT), f"(SELECT lang, model, {mt} FROM system_level)"),
+        ("mt_phenomenon", ["lang", "phenomenon", "model"], _S6_TAG, "(SELECT lang, phenomenon, model, "
+         + ", ".join(f"round_even({c}, 2) AS {c}" for c in _S6_TAG) + " FROM per_tag)"),
     ]
     body = " UNION ALL ".join(
         f"""SELECT '{name}' AS section, {" || '|' || ".join(keys)} AS row_key, '{c}' AS "column", CAST("{c}" AS DOUBLE) AS value
  FROM {source} AS s_{name}""" for name, keys, cols, source in sections for c in cols)
-    return with_views(body, "scored", "coverage", "items", "by_phenomenon", "system_level")
+    return with_views(body, "scored", "coverage", "items", "by_phenomenon", "system_level", "per_tag")
 
 
 @query("report_tables", _s6_sql())
 def q_report_tables(spark, sf_dir):
-    """All sections of a run's summary in one long table."""
-    it = fx.items(spark, sf_dir)
-    flat = R.flatten_all(fx.cells(spark, sf_dir), None, CFG)
-    system = M.system_level(mt_reports.mt_flat(spark, sf_dir), CFG).select(
+    """All sections of a run's summary in one long table, rolled up from three small cubes."""
+    qa, items, mt = (Q.as_flat(c, CFG) for c in report_cubes(spark, sf_dir))
+    system = M.system_level(mt, CFG).select(
         "lang", "model", *[F.col(c) if d is None else F.bround(c, d).alias(c) for c, d in _S6_MT.items()])
+    per_tag = M.per_tag(mt, CFG).select("lang", "phenomenon", "model", *[F.bround(c, 2).alias(c) for c in _S6_TAG])
     by_tag = ["lang", "dataset", "phenomenon", "model"]
     by_class = ["lang", "dataset", "model", "category"]
     return SK.report_tables({
-        "accuracy": (S.accuracy_by_benchmark(flat, CFG, ordered=False), ["dataset", "condition", "model"]),
-        "coverage": (S.coverage(it, CFG), ["lang", "dataset"]),
-        "tagged": (S.tagged_counts(it, CFG, spark), ["lang", "dataset"]),
-        "phenomenon": (S.accuracy_by_phenomenon(flat, CFG), by_tag),
-        "paraphrase": (S.accuracy_by_paraphrase(flat), by_class),
-        "domain": (S.accuracy_by_domain(flat), by_class),
+        "accuracy": (S.accuracy_by_benchmark(qa, CFG, ordered=False), ["dataset", "condition", "model"]),
+        "coverage": (S.coverage(items, CFG), ["lang", "dataset"]),
+        "tagged": (S.tagged_counts(items, CFG, spark), ["lang", "dataset"]),
+        "phenomenon": (S.accuracy_by_phenomenon(qa, CFG), by_tag),
+        "paraphrase": (S.accuracy_by_paraphrase(qa), by_class),
+        "domain": (S.accuracy_by_domain(qa), by_class),
         "mt_system": (system, ["lang", "model"]),
+        "mt_phenomenon": (per_tag, ["lang", "phenomenon", "model"]),
     })
 
 
+def report_cubes(spark, sf_dir):
+    """The QA, item and MT cubes.  Items are written once without their texts, cells are read from them: one scan of
+    ``documents`` and of ``labels``; chrF is computed once."""
+    it = materialize(fx.items(spark, sf_dir).select("doc_id", "id", "lang", "dataset", "tags"), "report-items")
+    flat = R.flatten_all(fx.cells(spark, sf_dir, it), None, CFG)
+    return tuple(materialize(c, "cube") for c in (Q.qa_cube(flat, CFG), Q.item_cube(it, CFG),
+                                                  Q.mt_cube(mt_reports.mt_flat(spark, sf_dir), CFG)))
+
+
 # -- S7 + resumable stage -------------------------------------------------------------------------------
 @query("stage_checkpoint", with_views("""
 SELECT dataset, CAST(count(*) AS BIGINT) AS n,

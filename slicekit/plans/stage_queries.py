@@ -6,13 +6,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import cube as Q
 from ..operators import enrich as E
+from ..operators import mt as M
 from ..operators import parse as PA
+from ..operators import reshape as R
+from ..operators import slices as S
 from ..session import scratch_path
 from ..sources.checkpoint import StageStore
+from ..streaming import increments as I
 from ..streaming import ledger as L
 from ..streaming.quota import lazy_quota_sample
 from . import fixtures as fx
+from . import mt_reports, qa_reports
 from .compare_reports import BUCKETS
 from .fixtures import CONFIG as CFG
 from .fixtures import with_views
@@ -106,3 +112,73 @@ def q_enrich_with_retry(spark, sf_dir):
 def q_retry_with_fallback(spark, sf_dir):
     """The same with two tries, after which a fixed value stands for the reply."""
     return _attempts(spark, sf_dir, L.RetryPolicy(2, wait_on_reject=False, fallback={"k": 0}))
+
+
+# -- S7: reports from changed cells ------------------------------------------------------------------
+# a later judge: cells without a verdict, and those whose answer ends in 07, are right if its number is under 500
+_REJUDGED = "(c.correct IS NULL OR c.prediction LIKE '%07')"
+_LATER = f"CASE WHEN {_REJUDGED} THEN CAST(CAST(substr(c.prediction, 5) AS INTEGER) < 500 AS INTEGER) ELSE c.correct END"
+fx.register_sql("scored_later", f"""
+SELECT c.id, c.lang, c.dataset, c.model, c.condition, {_LATER} AS correct,
+ i.tagged, i.t_newline, i.t_pipe, i.t_email, i.t_long, i.paraphrase_distance, i.domain
+FROM cells c JOIN items i ON c.id = i.id""", ("cells", "items"))
+_CELL = ["id", "model", "condition"]
+
+
+def _updated_cube(spark, sf_dir):
+    store = StageStore(spark, scratch_path(spark, "increments"))
+    payload = ["prediction", "verdict", "reason", "correct"]
+    I.write_table(store, "cells", fx.cells(spark, sf_dir))
+    cube = I.CubeTable(store, "qa_cube")
+    cube.start(Q.qa_cube(R.flatten_all(I.current(store, "cells"), None, CFG), CFG))
+    number = F.substr("prediction", F.lit(5)).cast("int")
+    results = I.current(store, "cells").filter(F.col("correct").isNull() | F.col("prediction").endswith("07")).select(
+        *_CELL, "prediction", F.when(number < 500, "correct").otherwise("incorrect").alias("verdict"), F.lit("later").alias("reason"),
+        (number < 500).alias("correct"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
+    version = I.upsert_with_changes(store, "cells", results, _CELL, payload)
+    I.apply_cell_changes(cube, "cells", version, CFG)
+    return Q.as_flat(cube.read(), CFG)
+
+
+@query("incremental_accuracy", with_views(
+    qa_reports.A1_SQL[qa_reports.A1_SQL.index("SELECT dataset"):].replace("FROM scored", "FROM scored_later"), "scored_later"))
+def q_incremental_accuracy(spark, sf_dir):
+    """Accuracy by benchmark from the cube after a later judge's verdicts, of which only the changed cells were read."""
+    return S.accuracy_by_benchmark(_updated_cube(spark, sf_dir), CFG)
+
+
+fx.register_sql("ph_counts_later", fx.SQL["ph_counts"].replace("FROM scored", "FROM scored_later"), ("scored_later",))
+
+
+@query("incremental_phenomenon", with_views(fx.SQL["by_phenomenon"].replace("ph_counts", "ph_counts_later"), "ph_counts_later"))
+def q_incremental_phenomenon(spark, sf_dir):
+    """Accuracy with and without each tag from the same updated cube."""
+    return S.accuracy_by_phenomenon(_updated_cube(spark, sf_dir), CFG)
+
+
+# a second metric run fills the missing comet values by the ratio of the lengths
+fx.register_sql("mt_flat_later", """
+SELECT f.* REPLACE (coalesce(f.comet, least(length(p.hyp), length(p.ref)) / CAST(greatest(length(p.hyp), length(p.ref), 1) AS DOUBLE)) AS comet)
+FROM mt_flat f JOIN mt_pairs p ON p.id = f.id AND p.model = f.model""", ("mt_flat", "mt_pairs"))
+
+
+@query("incremental_system_level", with_views("""
+SELECT lang, model, CAST(count(*) AS BIGINT) AS n, CAST(count(comet) AS BIGINT) AS n_comet, round(avg(chrf), 6) AS chrf,
+ round(avg(comet), 6) AS comet FROM mt_flat_later WHERE lang IN ('de','en','fr') GROUP BY ALL""", "mt_flat_later"))
+def q_incremental_system_level(spark, sf_dir):
+    """System-level means after missing metric values came in, from a cube that read only those rows."""
+    store = StageStore(spark, scratch_path(spark, "increments"))
+    metrics = ["chrf", "comet", "adequacy", "fluency"]
+    pairs = fx.mt_pairs(spark, sf_dir)
+    I.write_table(store, "scores", mt_reports.mt_flat(spark, sf_dir).withColumn("status", F.lit("ok")))
+    cube = I.CubeTable(store, "mt_cube")
+    cube.start(Q.mt_cube(I.current(store, "scores"), CFG))
+    longer = F.greatest(F.length("hyp"), F.length("ref"), F.lit(1)).cast("double")
+    results = I.current(store, "scores").filter("comet IS NULL").drop("comet", "lang", "phenomena").join(
+        pairs.select("id", "model", "hyp", "ref"), ["id", "model"]) \
+        .withColumn("comet", F.least(F.length("hyp"), F.length("ref")) / longer).select("id", "model", *metrics, "status")
+    version = I.upsert_with_changes(store, "scores", results, ["id", "model"], metrics)
+    before, after = I.changes(store, "scores", version)
+    cube.apply(version, before, after, lambda rows: Q.mt_cube(rows, CFG, sign="sign"))
+    out = M.system_level(Q.as_flat(cube.read(), CFG), CFG)
+    return out.select("lang", "model", "n", "n_comet", F.round("chrf", 6).alias("chrf"), F.round("comet", 6).alias("comet"))
