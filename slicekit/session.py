@@ -14,15 +14,25 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Arrow batches to Python workers are capped by bytes too: one batch of
-    # 10k rows with 100k-character contexts would not fit a worker
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
+#: Bounds of the Arrow batches that go to Python workers: both sides hold a batch outside the JVM's heap, and
+#: 10,000 rows with long texts, Spark's default, are hundreds of megabytes.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch bounds to ``ARROW_BATCH`` where they are higher."""
+    for key, most in ARROW_BATCH.items():
+        now = spark.conf.get(key, "")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "slicekit", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off."""
@@ -70,7 +80,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``slicekit`` importable in the Python workers (once per context).
+    """Make ``slicekit`` importable in the Python workers (once per context), and bound their batches.
 
     User functions and helpers are pickled by reference, so every executor
     needs the package; ``addPyFile`` distributes a zip of it through Spark.
@@ -78,6 +88,7 @@ def ship_package(spark: SparkSession) -> None:
     import shutil
 
     import slicekit
+    bound_batches(spark)
     try:
         holder = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: ship as a session artifact
