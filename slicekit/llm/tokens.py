@@ -119,7 +119,7 @@ class PieceEncoder:
     When the piece table passes ``max_pieces`` or ``max_bytes`` only the more frequent half is
     kept, and no long piece, which bounds the memory of a worker whatever the texts hold."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000, max_bytes: int = 16 << 20):
+    def __init__(self, path: str, max_pieces: int = 300_000, max_bytes: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
