@@ -28,7 +28,7 @@ ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch bounds to ``ARROW_BATCH`` where they are higher."""
     for key, most in ARROW_BATCH.items():
-        now = spark.conf.get(key, "")
+        now = spark.conf.get(key) or ""
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
 
