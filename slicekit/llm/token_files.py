@@ -25,6 +25,8 @@ from .common import byte_slices, texts_of
 from .tokens import encoder, tokenizer_path
 
 SEGMENT_TOKENS = 1 << 19
+#: Text bytes encoded at once: more of them share their distinct pieces.
+ENCODE_BYTES = 4 << 20
 _SCHEMA = "part int, seg int, first long, n_tokens long, doc_ids array<long>, starts array<long>, code binary"
 
 
@@ -56,7 +58,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
                 names=["part", "seg", "first", "n_tokens", "doc_ids", "starts", "code"])
 
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
+            for batch in byte_slices(whole, "text", ENCODE_BYTES):
                 flat, per = encoder(tokenizer_path(tokenizer)).ids(texts_of(batch))
                 ends = np.cumsum(per)
                 for doc, a, b in zip(batch.column(0).to_pylist(), (ends - per).tolist(), ends.tolist(), strict=True):
