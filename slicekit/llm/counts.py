@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..session import ship_package
-from .common import SLICE_BYTES, byte_slices, texts_of, worker_state
-from .tokens import encoder, tokenizer_path
+from .common import byte_slices, texts_of, worker_state
+from .tokens import ENCODE_BYTES, encoder, tokenizer_path
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 512) -> DataFrame:
@@ -35,7 +35,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in byte_slices(whole, "text", SLICE_BYTES):
+            for batch in byte_slices(whole, "text", ENCODE_BYTES):
                 n = pa.array(lengths(texts_of(batch)), pa.int64())
                 size = pc.fill_null(pc.cast(pc.binary_length(batch.column(1)), pa.int64()), 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0), size, n, pc.greater(n, limit)],

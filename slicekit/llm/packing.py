@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
 from .common import byte_slices, texts_of
-from .tokens import encoder, tokenizer_path
+from .tokens import ENCODE_BYTES, encoder, tokenizer_path
 
 CAPACITY = 1024
 SHARD = 8192  # pieces a shard holds, about
@@ -225,7 +225,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in byte_slices(whole, "text"):
+            for batch in byte_slices(whole, "text", ENCODE_BYTES):
                 flat, per = encoder(tokenizer_path(tokenizer)).ids(texts_of(batch))
                 ends = np.cumsum(per)
                 end = np.array([end_id], np.uint32)

@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, ship_package
 from . import dac
 from .common import byte_slices, texts_of
-from .tokens import encoder, tokenizer_path
+from .tokens import ENCODE_BYTES, encoder, tokenizer_path
 
 SEGMENT_TOKENS = 1 << 19
-#: Text bytes encoded at once: more of them share their distinct pieces.
-ENCODE_BYTES = 4 << 20
 _SCHEMA = "part int, seg int, first long, n_tokens long, doc_ids array<long>, starts array<long>, code binary"
 
 

@@ -104,6 +104,6 @@ def test_stages_on_empty_tables_and_clashing_columns(spark, tables):
 def test_one_query_for_each_operator():
     import __spark_entry__
     queries = __spark_entry__.queries()
-    assert sorted(int(q[2:].split("_")[0]) for q in registered.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in registered.QUERIES) == list(range(1, 14))
     assert set(registered.QUERIES) <= set(queries) and "pipeline" in queries
     assert set(registered.ORACLES) <= set(registered.QUERIES)
