@@ -2,8 +2,10 @@
 
 A solution is a set of bins (sequences).  Crossover injects whole well-filled
 bins of one parent into the other, removes the receiver's bins that hold a
-document twice by then, and best-fits the displaced documents.  Documents are
-dealt into shards of a bounded size; each shard is evolved by several islands,
+document twice by then, and best-fits the displaced documents, after exchanging
+them for smaller ones where that fills a bin better.  Among as many bins the
+greater sum of squared fills is fitter; a shard whose bins are as few as its
+tokens need is done.  Documents are dealt into shards of a bounded size; each shard is evolved by several islands,
 separate tasks that exchange their elite between epochs; the best island's
 solution of each shard is taken.  The poorly filled bins that shards leave are
 dissolved and packed once more among each other.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,9 @@ SHARD = 8192  # pieces a shard holds, about
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
-GENERATIONS = 3
+GENERATIONS = 12
+PATIENCE = 4  # generations without gain that end an epoch
+WELL_FILLED = 0.97  # share of the capacity from which on a bin is injected
 
 
 # -- one island: plain Python on a bounded shard
@@ -42,10 +47,10 @@ GENERATIONS = 3
 class Solution:
     """Bins of one shard: lists of piece numbers, and what each is filled to."""
 
-    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None):
+    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None, fill: list[int] | None = None):
         self.sizes, self.capacity = sizes, capacity
         self.bins = bins or []
-        self.fill = [sum(map(sizes.__getitem__, b)) for b in self.bins]
+        self.fill = fill or [sum(map(sizes.__getitem__, b)) for b in self.bins]
 
     def best_fit(self, order: list[int]) -> "Solution":
         """Put each piece into the fullest bin that still takes it.  Open bins are
@@ -66,7 +71,7 @@ class Solution:
                 b = at.pop()
                 if not at:
                     spaces ^= 1 << space
-                bins[b].append(piece)
+                bins[b] = bins[b] + [piece]  # lists are shared among solutions, never changed
                 fill[b] += size
                 left = space - size
             else:
@@ -81,54 +86,144 @@ class Solution:
                 held.append(b)
         return self
 
-    def fitness(self) -> float:
-        """Mean squared fill of the bins: fewer bins, and among as many, fuller ones."""
-        return sum((f / self.capacity) ** 2 for f in self.fill) / max(1, len(self.fill))
+    def replace(self, pieces: list[int], rng: np.random.Generator) -> list[int]:
+        """Put larger pieces in the place of one or two smaller ones where a bin gets
+        fuller by it; the pieces left over, which are smaller than those given."""
+        sizes, cap = self.sizes, self.capacity
+        out = sorted((sizes[p], p) for p in pieces)
+        for b in rng.permutation([b for b, f in enumerate(self.fill) if f < cap]).tolist():
+            if not out:
+                break
+            held, gap = self.bins[b], cap - self.fill[b]
+            best = (0, (), -1)
+            for i, p in enumerate(held[:8]):
+                for q in (None, *held[i + 1:8]):
+                    size = sizes[p] + (sizes[q] if q is not None else 0)
+                    at = bisect_left(out, (size + gap + 1,)) - 1
+                    if at >= 0 and out[at][0] - size > best[0]:
+                        best = (out[at][0] - size, (p,) if q is None else (p, q), at)
+            gain, gone, at = best
+            if gain:
+                self.bins[b] = [p for p in held if p not in gone] + [out.pop(at)[1]]
+                self.fill[b] += gain
+                for p in gone:
+                    insort(out, (sizes[p], p))
+        return [p for _, p in reversed(out)]
+
+    def rank(self) -> tuple[int, float]:
+        """Fewer bins first, and among as many the greater sum of squared fills:
+        what is left free lies in few bins then."""
+        share = np.array(self.fill) / self.capacity
+        return len(self.bins), -float(share @ share)
+
+    def at_bound(self) -> bool:
+        return len(self.bins) <= -(-sum(self.fill) // self.capacity)
+
+
+def rebuild(kept: Solution, displaced: list[int], rng: np.random.Generator) -> Solution:
+    """The displaced pieces, exchanged for smaller ones where that fills kept bins, are best-fitted."""
+    return kept.best_fit(kept.replace(displaced, rng))
+
+
+def exact_closings(sizes: list[int], capacity: int, rng: np.random.Generator, choice: str) -> Solution:
+    """Bins opened by the largest piece left and closed without free space, by one
+    piece or by two, where any such are left; else by the largest pieces that fit.
+    Of several pairs: the most ``even`` one, the most ``uneven`` or a ``random`` one."""
+    held: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for p in rng.permutation(len(sizes)).tolist():
+        held[sizes[p]].append(p)
+    have = np.array([bool(h) for h in held])
+    bins, top = [], capacity
+
+    def take(size: int) -> int:
+        piece = held[size].pop()
+        have[size] = bool(held[size])
+        return piece
+
+    while True:
+        while top and not held[top]:
+            top -= 1
+        if not top:
+            return Solution(sizes, capacity, bins)
+        bin_, room = [take(top)], capacity - top
+        while room and not have[room]:
+            pairs = np.flatnonzero(have[1:room // 2 + 1] & have[room - 1:(room - 1) // 2:-1]) + 1
+            if len(pairs) and 2 * pairs[-1] == room and len(held[room // 2]) < 2:
+                pairs = pairs[:-1]
+            if len(pairs):
+                size = int(pairs[-1] if choice == "even" else pairs[0] if choice == "uneven" else rng.choice(pairs))
+            else:
+                fits = np.flatnonzero(have[:room])
+                if not len(fits):
+                    break
+                size = int(fits[-1])
+            bin_.append(take(size))
+            room -= size
+        if room and have[room]:
+            bin_.append(take(room))
+        bins.append(bin_)
+
+
+def founder(number: int, sizes: list[int], capacity: int, rng: np.random.Generator) -> Solution:
+    """The members a population starts with: best fit in falling order of size (ties in
+    random order), exact closings of each kind, and from then on random closings and
+    best fit in a disturbed order by turns."""
+    choice = ("", "even", "uneven")[number] if number < 3 else ("random", "")[number % 2 == 0]
+    if choice:
+        return exact_closings(sizes, capacity, rng, choice)
+    noise = rng.random(len(sizes)) * (capacity / 50 if number else 0.5)
+    return Solution(sizes, capacity).best_fit(np.argsort(-(np.array(sizes) + noise), kind="stable").tolist())
 
 
 def crossover(a: Solution, b: Solution, rng: np.random.Generator) -> Solution:
-    """``a`` with a random half of ``b``'s full bins injected."""
-    full = [k for k in range(len(b.bins)) if b.fill[k] == b.capacity]
-    taken = [k for k in full if rng.random() < 0.5]
-    held = {p for k in taken for p in b.bins[k]}
-    kept, displaced = [list(b.bins[k]) for k in taken], []
-    for bin_ in a.bins:
+    """``a`` with a random half of ``b``'s well-filled bins injected; ``a``'s bins that
+    hold a piece twice by then are dissolved."""
+    well = [k for k, f in enumerate(b.fill) if f >= WELL_FILLED * b.capacity]
+    taken = [k for k, on in zip(well, rng.random(len(well)) < 0.5) if on]
+    child = Solution(a.sizes, a.capacity, [b.bins[k] for k in taken], [b.fill[k] for k in taken])
+    held = {p for bin_ in child.bins for p in bin_}
+    displaced: list[int] = []
+    for bin_, fill in zip(a.bins, a.fill):
         if held.isdisjoint(bin_):
-            kept.append(list(bin_))
+            child.bins.append(bin_)
+            child.fill.append(fill)
         else:
             displaced += [p for p in bin_ if p not in held]
-    displaced.sort(key=a.sizes.__getitem__, reverse=True)
-    return Solution(a.sizes, a.capacity, kept).best_fit(displaced)
+    return rebuild(child, displaced, rng)
 
 
 def mutate(s: Solution, rng: np.random.Generator) -> Solution:
-    """Dissolve the emptiest bins and a few random ones, and best-fit their pieces."""
-    order = np.argsort(s.fill)
-    gone = set(order[:max(2, len(order) // 50)].tolist()) | set(rng.integers(0, len(order), 2 + len(order) // 50).tolist())
-    kept = [list(x) for k, x in enumerate(s.bins) if k not in gone]
-    displaced = [p for k in gone for p in s.bins[k]]
-    displaced.sort(key=s.sizes.__getitem__, reverse=True)
-    return Solution(s.sizes, s.capacity, kept).best_fit(displaced)
+    """Dissolve the emptiest bins, a fifth of those not full, and a few of all."""
+    order = np.argsort(s.fill, kind="stable")
+    part_full = order[:sum(f < s.capacity for f in s.fill)]
+    gone = {*order[:2].tolist(), *rng.choice(part_full, len(part_full) // 5, replace=False).tolist(),
+            *rng.integers(0, len(order), 2 + len(order) // 100).tolist()}
+    stay = [k for k in range(len(order)) if k not in gone]
+    kept = Solution(s.sizes, s.capacity, [s.bins[k] for k in stay], [s.fill[k] for k in stay])
+    return rebuild(kept, [p for k in sorted(gone) for p in s.bins[k]], rng)
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, elite: list[list[list[int]]], population: int = POPULATION,
-           generations: int = GENERATIONS) -> Solution:
-    """The fittest solution of some generations; ``elite`` (bins of earlier solutions) joins the population."""
+           generations: int = GENERATIONS, patience: int = PATIENCE) -> Solution:
+    """The best solution after ``generations``; ``elite`` (bins of earlier solutions) joins
+    the population.  Ends early at the least number of bins there can be, and after
+    ``patience`` generations without a better solution."""
     rng = np.random.default_rng(seed)
-    least = -(-sum(sizes) // capacity)
-    by_size = np.array(sizes)
-    pool = [Solution(sizes, capacity, [list(x) for x in bins]) for bins in elite]
-    while len(pool) < population:  # best fit in falling order of size, ties and near ties in random order
-        noise = rng.random(len(sizes)) * (0.5 if not pool else capacity / 50)
-        pool.append(Solution(sizes, capacity).best_fit(np.argsort(-(by_size + noise), kind="stable").tolist()))
+    pool = [Solution(sizes, capacity, bins) for bins in elite]
+    while len(pool) < population and not any(s.at_bound() for s in pool):
+        pool.append(founder(len(pool) if not elite else 3, sizes, capacity, rng))
+    pool.sort(key=Solution.rank)
+    stale = 0
     for _ in range(generations):
-        pool.sort(key=lambda s: (len(s.bins), -s.fitness()))
-        if len(pool[0].bins) <= least:
+        if pool[0].at_bound() or stale >= patience or len(pool) < 2:
             break
-        a, b = pool[0], pool[1 + int(rng.integers(0, len(pool) - 1))]
-        pool[-1] = mutate(crossover(a, b, rng), rng)
-        pool[-2] = crossover(b, a, rng) if len(pool) > 2 else pool[-2]
-    return min(pool, key=lambda s: (len(s.bins), -s.fitness()))
+        before = pool[0].rank()
+        mate = pool[1 + int(rng.integers(0, len(pool) - 1))]
+        # the worst make room for the children
+        born = [mutate(pool[0], rng), mutate(crossover(pool[0], mate, rng), rng), crossover(mate, pool[0], rng)]
+        pool = sorted(pool + born, key=Solution.rank)[:population]
+        stale = 0 if pool[0].rank() < before else stale + 1
+    return pool[0]
 
 
 # -- the distributed part
@@ -156,7 +251,7 @@ def _islands(capacity: int, epoch: int):
         bin_of = np.zeros(len(lens), np.int32)
         for b, held in enumerate(best.bins):
             bin_of[held] = b
-        return pd.DataFrame({"shard": [shard], "island": [island], "bins": [len(best.bins)], "fit": [best.fitness()],
+        return pd.DataFrame({"shard": [shard], "island": [island], "bins": [len(best.bins)], "fit": [-best.rank()[1]],
                              "keys": [np.asarray(keys, np.int64)], "lens": [np.asarray(lens, np.int32)], "bin_of": [bin_of]})
 
     return run

@@ -82,3 +82,55 @@ def test_crossover_injects_full_bins_and_removes_duplicates():
 def test_best_fit_takes_the_fullest_bin_that_fits():
     s = packing.Solution([600, 500, 400, 100], 1000).best_fit([0, 1, 2, 3])
     assert s.bins == [[0, 2], [1, 3]]
+
+
+def _plain(sizes, capacity):
+    return packing.Solution(sizes, capacity).best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]))
+
+
+def _valid(s, sizes, capacity):
+    assert sorted(p for b in s.bins for p in b) == list(range(len(sizes)))
+    assert all(sum(sizes[p] for p in b) == f <= capacity for b, f in zip(s.bins, s.fill))
+    return len(s.bins)
+
+
+def test_fewer_sequences_than_plain_best_fit():
+    rng = np.random.default_rng(8)
+    triplets = []
+    for _ in range(60):  # 60 sequences can hold them
+        a = int(rng.integers(390, 500))
+        b = int(rng.integers(256, (1024 - a) // 2 + 1))
+        triplets += [a, b, 1024 - a - b]
+    cases = [(triplets, 1024, 8), ([int(x) for x in rng.integers(20, 101, 1500)], 150, 4),
+             ([int(x) for x in rng.integers(200, 700, 1500)], 1024, 5)]
+    for sizes, capacity, saved in cases:
+        best = _valid(packing.evolve(sizes, capacity, 1, []), sizes, capacity)
+        assert -(-sum(sizes) // capacity) <= best <= len(_plain(sizes, capacity).bins) - saved
+
+
+def test_generations_gain_over_their_founders():
+    """From best fit alone, without exact closings, crossover and mutation save sequences."""
+    rng = np.random.default_rng(9)
+    sizes = [int(x) for x in rng.integers(200, 700, 600)]
+    elite = [_plain(sizes, 1024).bins]
+    for k in range(3):
+        noise = rng.random(600) * 20
+        elite.append(packing.Solution(sizes, 1024).best_fit(sorted(range(600), key=lambda i: -sizes[i] - noise[i])).bins)
+    best = _valid(packing.evolve(sizes, 1024, 1, elite), sizes, 1024)
+    assert best < min(map(len, elite))
+
+
+def test_exact_closings_place_every_piece():
+    rng = np.random.default_rng(10)
+    for choice in ("even", "uneven", "random"):
+        for n in (0, 1, 2, 9, 300):
+            sizes = [int(x) for x in rng.integers(1, 24, n)]
+            _valid(packing.exact_closings(sizes, 24, rng, choice), sizes, 24)
+
+
+def test_replace_takes_larger_pieces_in():
+    sizes = [500, 300, 310, 224]
+    s = packing.Solution(sizes, 1024, [[0, 1]])  # 224 free
+    left = s.replace([2, 3], np.random.default_rng(0))
+    assert s.fill == [sum(sizes[p] for p in s.bins[0])] and s.fill[0] > 800
+    assert sorted(left + s.bins[0]) == [0, 1, 2, 3]
