@@ -35,6 +35,8 @@ class LangSpec:
     domains: tuple[str, ...] = ()
     required: tuple[str, ...] = ()   # MT quota buckets that gate sampling
     bonus: tuple[str, ...] = ()      # MT buckets tracked but not gating
+    native_label: str | None = None      # names shown for the datasets
+    translated_label: str | None = None
 
 
 @dataclass(frozen=True)
@@ -135,6 +137,12 @@ class EvalConfig:
         m = F.create_map(*[x for k in self.models for x in (F.lit(k), F.lit(labels.get(k, k)))])
         return F.coalesce(F.try_element_at(m, _c(col)), _c(col))
 
+    def dataset_label(self, col: Column | str) -> Column:
+        """The name shown for a dataset; its own where none is configured."""
+        labels = {d: label for s in self.langs for d, label in ((s.native_dataset, s.native_label), (s.translated_dataset, s.translated_label))
+                  if d and label}
+        return F.coalesce(_lookup({d: F.lit(label) for d, label in labels.items()}, col).cast("string"), _c(col))
+
 
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -156,7 +164,8 @@ _FIX_DOM = ("local_history", "local_geography", "general")
 
 def _fixture_lang(code: str, name: str) -> LangSpec:
     return LangSpec(code, name, f"{code}_native", f"{code}_translated", _FIX_PHEN, _FIX_DOM,
-                    required=("newline", "long", "pipe"), bonus=("email",))
+                    required=("newline", "long", "pipe"), bonus=("email",),
+                    native_label=f"{name} (native)", translated_label=f"{name} (translated)")
 
 
 # Configuration of the views over the driver's tables (FIXTURES.md B).
@@ -174,11 +183,13 @@ PILOT = EvalConfig(
         LangSpec("id", "Indonesian", "indoqa", "squad_id",
                  ("voice_meN", "voice_di", "reduplication", "complex_NP_yang"),
                  ("indonesian_history", "indonesian_geography", "general"),
-                 required=("voice_meN", "voice_di", "complex_NP_yang"), bonus=("reduplication",)),
+                 required=("voice_meN", "voice_di", "complex_NP_yang"), bonus=("reduplication",),
+                 native_label="IndoQA (native)", translated_label="SQuAD-ID (Gemini translated)"),
         LangSpec("sw", "Swahili", "tydiqa_sw", "squad_sw",
                  ("noun_class_concord", "applicative", "passive", "locative_ni"),
                  ("east_african_history", "east_african_geography", "general"),
-                 required=("noun_class_concord", "passive", "locative_ni"), bonus=("applicative",)),
+                 required=("noun_class_concord", "passive", "locative_ni"), bonus=("applicative",),
+                 native_label="TyDi QA Swahili (native)", translated_label="SQuAD-SW (Gemini translated)"),
         LangSpec("fr", "French", None, None,
                  ("clitic_pronoun", "subjunctive", "complex_NP_relative", "past_participle_agreement"),
                  required=("clitic_pronoun", "subjunctive", "complex_NP_relative"), bonus=("past_participle_agreement",)),

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,6 +27,7 @@ from ..session import materialize, ship_package
 
 RowFn = Callable[[dict], dict]
 BatchFn = Callable[[pd.DataFrame], pd.DataFrame]
+_LENGTH = "__length"
 
 
 def _as_struct(schema: T.StructType | str) -> T.StructType:
@@ -80,9 +81,14 @@ def enrich_missing(work: DataFrame, fn: RowFn, out_schema: T.StructType | str, k
 
 
 def score_batches(work: DataFrame, scorer: BatchFn, out_schema: T.StructType | str, keys: list[str],
-                  batch_size: int = 64) -> DataFrame:
+                  batch_size: int = 64, length: Column | None = None, batch_length: int | None = None) -> DataFrame:
     """A batch scorer over rows (e.g. (src, hyp, ref) triplets).
 
+    With ``length`` (such as ``F.length("hyp")``) rows are sorted by it inside each
+    partition, so that a batch holds rows of about one length and a scorer that pads
+    them to the longest wastes little; ``batch_length`` bounds a batch's rows times its
+    longest (a longer row is a batch of its own).  Rows whose length is null count as 0.
+
     ``scorer(pdf) -> pdf`` gets at most ``batch_size`` rows and returns the
     ``out_schema`` columns in the same row order.  A failing batch is retried
     row by row so one bad row cannot fail its neighbours.
@@ -91,6 +97,7 @@ def score_batches(work: DataFrame, scorer: BatchFn, out_schema: T.StructType | s
     res_schema = _result_schema(work, keys, out)
     names = [f.name for f in out.fields]
     cols = [f.name for f in res_schema.fields]
+    by_length = length is not None
 
     def score(chunk: pd.DataFrame) -> pd.DataFrame:
         res = scorer(chunk.reset_index(drop=True))
@@ -102,10 +109,23 @@ def score_batches(work: DataFrame, scorer: BatchFn, out_schema: T.StructType | s
         o["status"], o["error"] = "ok", None
         return o
 
+    def chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not by_length:
+            yield from (pdf.iloc[s:s + batch_size] for s in range(0, len(pdf), batch_size))
+            return
+        sizes, start, longest = pdf.pop(_LENGTH).to_numpy(), 0, 0
+        for i, size in enumerate(sizes):
+            over = batch_length is not None and max(longest, size) * (i - start + 1) > batch_length
+            if i > start and (i - start == batch_size or over):
+                yield pdf.iloc[start:i]
+                start, longest = i, 0
+            longest = max(longest, size)
+        if start < len(pdf):
+            yield pdf.iloc[start:]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for s in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[s:s + batch_size]
+            for chunk in chunks(pdf):
                 try:
                     yield score(chunk)[cols]
                 except Exception:  # noqa: BLE001 - fall back to single rows
@@ -121,9 +141,19 @@ def score_batches(work: DataFrame, scorer: BatchFn, out_schema: T.StructType | s
                             yield o[cols]
 
     ship_package(work.sparkSession)
+    if by_length:
+        work = work.withColumn(_LENGTH, F.coalesce(length.cast("long"), F.lit(0))).sortWithinPartitions(F.desc(_LENGTH))
     return work.mapInPandas(run, res_schema)
 
 
+def observe_mean(scored: DataFrame, value: str) -> tuple[DataFrame, Observation]:
+    """``scored`` and an observation that holds, once it has been written or counted,
+    its ``mean``, the number of values ``n`` and of failed rows ``failed``: no second job."""
+    seen = Observation()
+    failed = F.count(F.when(F.col("status") != "ok", 1))
+    return scored.observe(seen, F.avg(value).alias("mean"), F.count(value).alias("n"), failed.alias("failed")), seen
+
+
 def retrying(fn: Callable, max_tries: int = 3, wait: Callable[[int], float] | None = None,
              accept: Callable[[object], bool] | None = None,
              retry_on: tuple[type[BaseException], ...] = (Exception,), wait_on_reject: bool = True,

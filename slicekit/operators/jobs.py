@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EvalConfig
@@ -36,30 +36,39 @@ def pending(jobs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return jobs.join(done.select(*keys), keys, "left_anti")
 
 
-def pending_tag(items: DataFrame) -> DataFrame:
+def answered(value: str, status: str | None) -> Column:
+    """Whether a stage has answered a row.
+
+    With a ``status`` column an answer (``'ok'``) counts even where it held no value, so it is
+    not asked for again, and a value that is there counts too; without one only the value can tell."""
+    there = F.col(value).isNotNull()
+    return there | F.coalesce(F.col(status) == "ok", F.lit(False)) if status else there
+
+
+def pending_tag(items: DataFrame, status: str | None = None) -> DataFrame:
     """Items without a tag record."""
-    return items.filter(F.col("tags").isNull())
+    return items.filter(~answered("tags", status))
 
 
-def pending_infer(items: DataFrame, cells: DataFrame, cfg: EvalConfig) -> DataFrame:
+def pending_infer(items: DataFrame, cells: DataFrame, cfg: EvalConfig, status: str | None = None) -> DataFrame:
     """(item, model, condition) jobs with no prediction yet."""
-    done = cells.filter(F.col("prediction").isNotNull())
+    done = cells.filter(answered("prediction", status))
     return pending(expand_jobs(items, cfg), done, CELL_KEY)
 
 
-def pending_judge(cells: DataFrame, allowed_datasets: Iterable[str] | None = None) -> DataFrame:
-    """Cells with a prediction but no verdict (only allowed datasets)."""
-    x = cells.filter(F.col("prediction").isNotNull() & F.col("verdict").isNull())
+def pending_judge(cells: DataFrame, allowed_datasets: Iterable[str] | None = None, status: str | None = None) -> DataFrame:
+    """Cells with a prediction but no verdict (only allowed datasets); ``status`` is the judge's."""
+    x = cells.filter(F.col("prediction").isNotNull() & ~answered("verdict", status))
     if allowed_datasets is not None:
         x = x.filter(F.col("dataset").isin(*list(allowed_datasets)))
     return x
 
 
-def pending_translate(mt_items: DataFrame, translations: DataFrame, cfg: EvalConfig) -> DataFrame:
+def pending_translate(mt_items: DataFrame, translations: DataFrame, cfg: EvalConfig, status: str | None = None) -> DataFrame:
     """(item, model) pairs without a translation."""
     jobs = expand_jobs(mt_items.select("id", "lang", F.lit(None).cast("string").alias("dataset")), cfg,
                        with_conditions=False).drop("dataset")
-    return pending(jobs, translations.filter(F.col("hyp").isNotNull()), ["id", "model"])
+    return pending(jobs, translations.filter(answered("hyp", status)), ["id", "model"])
 
 
 def pending_metric(translations: DataFrame, scores: DataFrame, metric: str, status: str | None = None) -> DataFrame:

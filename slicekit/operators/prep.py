@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, ustrip
+from .ordering import running_totals
 
 
 def _c(col: Column | str) -> Column:
@@ -181,18 +182,31 @@ def align_parallel(rows: DataFrame, key: str, role: str, src_role: str, tgt_role
 
 
 def merge_existing(fresh: DataFrame, existing: DataFrame, allowed_datasets: Iterable[str],
-                   key: str = "id", order: str | None = None) -> DataFrame:
+                   key: str = "id", order: str | None = None, position: str | None = None) -> DataFrame:
     """An existing record wins over the fresh one with the same key; existing
     records not in the fresh set are kept when their dataset is allowed.
 
     Of existing records with one key the last by column ``order`` counts;
     without it the greatest as JSON text, so that the choice does not depend on
-    how the rows lie."""
+    how the rows lie.
+
+    With ``position`` both sides hold a column of that name that orders them, and the
+    result numbers its records in it from 1: the fresh ones in their order first, then the extras in
+    theirs (ties by key).  No window over the whole table is planned."""
+    if position:
+        rest = [c for c in fresh.columns if c != position]
+        at = fresh.groupBy(key).agg(F.lit(0).alias("__side"), F.min(position).alias("__at"))
+        behind = (existing.groupBy(key).agg(F.max_by(position, F.col(order)) if order else F.max(position))
+                  .toDF(key, "__at").join(at.select(key), key, "left_anti").select(key, F.lit(1).alias("__side"), "__at"))
+        merged = merge_existing(fresh.select(rest), existing, allowed_datasets, key, order)
+        placed = merged.join(at.unionByName(behind), key, "left")
+        return running_totals(placed.withColumn("__all", F.lit(0)), ["__all"], ["__side", "__at", key],
+                              {position: ("sum", F.lit(1).cast("long"))}).select(*fresh.columns)
     cols = fresh.columns
     record = F.struct(*[F.col(c) for c in cols])
     last = F.col(order) if order else F.to_json(record)
     ex_tag = existing.groupBy(key).agg(F.max_by(record, last).alias("_ex"))
-    ex = ex_tag.select("_ex.*")
+    ex = ex_tag.select(key, *[F.col(f"_ex.{c}").alias(c) for c in cols if c != key])  # by key still, as it was grouped
     merged = fresh.join(ex_tag, key, "left").select(
         *[F.when(F.col("_ex").isNotNull(), F.col(f"_ex.{c}")).otherwise(F.col(c)).alias(c) for c in cols])
     extras = extra_ids(ex, fresh, key).filter(F.col("dataset").isin(*list(allowed_datasets)))

@@ -14,6 +14,7 @@ from ..operators import enrich as E
 from ..operators import jobs as J
 from ..operators import parse as PA
 from ..operators import prep as P
+from ..operators.ordering import running_totals
 from . import fixtures as fx
 from .fixtures import CONFIG as CFG
 from .fixtures import with_views
@@ -203,14 +204,18 @@ SELECT d.doc_id, 'doc_' || CAST(d.doc_id AS VARCHAR) AS id, d.text AS context,
  CASE d.doc_id % 4 WHEN 0 THEN split_part(d.text, ' ', 2) WHEN 1 THEN b.text WHEN 2 THEN ''
       ELSE split_part(d.text, ' ', 2) || 'x' END AS gold,
  d.doc_id % 5 <> 0 AS claimed
-FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT nullif(count(*), 0) FROM benchmark)""")
+FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id NULLS FIRST, text NULLS FIRST) - 1 AS place FROM benchmark) b
+ ON b.place = d.doc_id % (SELECT nullif(count(*), 0) FROM benchmark)""")
 
 
 def _claims(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
-    b = fx.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("btext"))
-    n = b.agg(F.nullif(F.count(F.lit(1)), F.lit(0))).scalar()  # every benchmark row meets documents, however many there are
-    j = d.join(b, b.item_id == d.doc_id % n)
+    bench = fx.table(spark, sf_dir, "benchmark")
+    # every benchmark row meets documents, however many there are and whatever their ids
+    n = F.lit(bench.count() or None).cast("long")
+    b = running_totals(bench.select("item_id", F.col("text").alias("btext"), F.lit(0).alias("all")), ["all"], ["item_id", "btext"],
+                       {"place": ("sum", F.lit(1).cast("long"))})
+    j = d.join(b, b.place == d.doc_id % n + 1)
     k = F.col("doc_id") % 4
     gold = (F.when(k == 0, fx.second_word()).when(k == 1, F.col("btext"))
              .when(k == 2, F.lit("")).otherwise(F.concat(fx.second_word(), F.lit("x"))))

@@ -66,11 +66,14 @@ class StageStore:
             return None
         return self.spark.read.format(self.fmt).load(self.path(stage, v))
 
+    def next_version(self, stage: str) -> int:
+        """The number the next version gets."""
+        names = [n for n in self._children(f"{self.root}/{stage}") if n.startswith(("v=", "reset="))]
+        return max((int(n.split("=", 1)[1]) for n in names), default=0) + 1
+
     def write(self, stage: str, df: DataFrame, partition_by: list[str] | None = None) -> int:
         """Write ``df`` as the next version and return its number."""
-        names = [n for n in self._children(f"{self.root}/{stage}") if n.startswith(("v=", "reset="))]
-        nums = [int(n.split("=", 1)[1]) for n in names]
-        v = (max(nums) if nums else 0) + 1
+        v = self.next_version(stage)
         w = df.write.format(self.fmt).mode("errorifexists")
         if partition_by:
             w = w.partitionBy(*partition_by)
