@@ -93,12 +93,12 @@ def q_new_candidates(spark, sf_dir):
 
 
 # -- E1 / E2 / J3 ---------------------------------------------------------------------------
-@query("enrich_missing", with_views("""
+@query("enrich_missing", with_views(f"""
 SELECT id, model, condition,
- CASE WHEN length(question) > 400 THEN NULL ELSE model || ':' || question END AS prediction,
- CASE WHEN length(question) > 400 THEN 'error' ELSE 'ok' END AS status,
- CASE WHEN length(question) > 400 THEN 'ValueError: question too long: ' || question END AS error
-FROM pending_infer""", "pending_infer"))
+ CASE WHEN blank THEN NULL ELSE model || ':' || question END AS prediction,
+ CASE WHEN blank THEN 'error' ELSE 'ok' END AS status,
+ CASE WHEN blank THEN 'ValueError: blank question' END AS error
+FROM (SELECT *, {sql_ustrip('question')} = '' AS blank FROM pending_infer) p""", "pending_infer"))
 def q_enrich_missing(spark, sf_dir):
     work = _pending_infer(spark, sf_dir)
     return E.enrich_missing(work, infer_fn, "prediction string", _KEY)
@@ -171,12 +171,11 @@ def q_score_batches(spark, sf_dir):
 
 # -- E4 / A14 / P11 / P5 --------------------------------------------------------------------------
 fx.register_sql("located", f"""
-SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, {sql_ustrip('split_part(text, chr(10), 1)')} AS question,
- CASE WHEN doc_id % 4 <> 0 AND contains(text, CASE WHEN doc_id % 3 <> 0 THEN split_part(text, ' ', 2) ELSE 'not-in-text' END)
-      THEN CASE WHEN doc_id % 3 <> 0 THEN split_part(text, ' ', 2) ELSE 'not-in-text' END ELSE '' END AS gold,
- doc_id % 4 <> 0 AND contains(text, CASE WHEN doc_id % 3 <> 0 THEN split_part(text, ' ', 2) ELSE 'not-in-text' END)
-   AS span_found
-FROM documents""")
+SELECT id, question, CASE WHEN found THEN word ELSE '' END AS gold, found AS span_found
+FROM (SELECT id, question, word, word <> '' AND contains(body, word) AS found
+      FROM (SELECT id, question, split_part(question, ' ', 2) AS word, regexp_extract(text, '(?s)^[^\\n]*\\n(.*)$', 1) AS body
+            FROM (SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, text, {sql_ustrip('split_part(text, chr(10), 1)')} AS question
+                  FROM documents) a) b) c""")
 
 
 def _located(spark, sf_dir):
