@@ -114,11 +114,11 @@ def _judged(cells):
 @query("upsert_cells", with_views("""
 SELECT id, model, condition, prediction,
  CASE WHEN correct = 1 THEN 'correct' WHEN correct = 0 THEN 'incorrect'
-      WHEN id LIKE '%3' THEN NULL WHEN length(prediction) % 2 = 0 THEN 'correct' ELSE 'incorrect' END AS verdict,
- CASE WHEN correct IS NOT NULL THEN correct = 1 WHEN id LIKE '%3' THEN NULL
-      ELSE length(prediction) % 2 = 0 END AS correct,
+      WHEN length(prediction) < 7 THEN NULL WHEN CAST(substr(prediction, 5) AS INTEGER) < 500 THEN 'correct' ELSE 'incorrect' END AS verdict,
+ CASE WHEN correct IS NOT NULL THEN correct = 1 WHEN length(prediction) < 7 THEN NULL
+      ELSE CAST(substr(prediction, 5) AS INTEGER) < 500 END AS correct,
  'ok' AS status,
- CASE WHEN correct IS NULL AND id LIKE '%3' THEN 'ConnectionError: judge unavailable' END AS error
+ CASE WHEN correct IS NULL AND length(prediction) < 7 THEN 'ValueError: too short to judge: ' || prediction END AS error
 FROM cells""", "cells"))
 def q_upsert_cells(spark, sf_dir):
     it = fx.items(spark, sf_dir)

@@ -15,11 +15,11 @@ def infer_fn(rec: dict) -> dict:
 
 
 def judge_fn(rec: dict) -> dict:
-    """Grades by the parity of the prediction length; fails on ids ending in 3."""
-    if rec["id"].endswith("3"):
-        raise ConnectionError("judge unavailable")
-    ok = len(rec["prediction"]) % 2 == 0
-    return {"verdict": "correct" if ok else "incorrect", "reason": "length parity"}
+    """Grades by the answer's number; an answer of under three digits is too short to judge."""
+    number = rec["prediction"][4:]
+    if len(number) < 3:
+        raise ValueError(f"too short to judge: {rec['prediction']}")
+    return {"verdict": "correct" if int(number) < 500 else "incorrect", "reason": f"{number} of 500"}
 
 
 def surface_tag_fn(rec: dict) -> dict:
