@@ -399,10 +399,10 @@ def report_cubes(spark, sf_dir):
 
 # -- S7 + resumable stage -------------------------------------------------------------------------------
 @query("stage_checkpoint", with_views("""
-SELECT dataset, CAST(count(*) AS BIGINT) AS n,
- CAST(count_if(tagged OR id NOT LIKE '%9') AS BIGINT) AS n_tagged,
- CAST(count_if(NOT tagged AND id LIKE '%9') AS BIGINT) AS n_failed
-FROM items GROUP BY dataset""", "items"))
+SELECT i.dataset, CAST(count(*) AS BIGINT) AS n,
+ CAST(count_if(i.tagged OR coalesce(contains(d.text, '.'), false)) AS BIGINT) AS n_tagged,
+ CAST(count_if(NOT i.tagged AND NOT coalesce(contains(d.text, '.'), false)) AS BIGINT) AS n_failed
+FROM items i JOIN documents d ON d.doc_id = i.doc_id GROUP BY i.dataset""", "items"))
 def q_stage_checkpoint(spark, sf_dir):
     from ..streaming.stages import run_stage_in_waves
     store = CK.StageStore(spark, scratch_path(spark, "stages"))
