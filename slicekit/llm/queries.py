@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .chat import conversation_digest, write_formatted
+from .chat import conversation_digest, write_examples
 from .common import read_table
 from .counts import count_tokens
 from .decontam import WINDOW, contamination
@@ -84,12 +84,12 @@ def op11_whitening(spark, sf_dir):
 
 
 def op12_chat_format(spark, sf_dir):
-    """All conversations formatted, written and read back: digests of their turns and of what is trainable."""
+    """All conversations expanded to examples, written and read back: digests of their turns and of what is trainable."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit(_HOSTILE).alias("text"))
-    return conversation_digest(write_formatted(turns.unionByName(extra)))
+    return conversation_digest(write_examples(turns.unionByName(extra)))
 
 
 def op13_conversation_trie(spark, sf_dir):

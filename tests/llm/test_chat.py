@@ -92,3 +92,36 @@ def test_a_conversation_in_many_blocks(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     loss = "".join(r[3] for r in rows if r[0] == 1)
     assert got[1].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got[2].loss_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_every_example_is_written_out_with_its_prefix(spark):
+    rows = _rows()
+    written = C.write_examples(spark.createDataFrame(rows, SCHEMA).repartition(6))
+    got, behind = defaultdict(list), defaultdict(list)
+    for r in C.parse_segments(written).collect():
+        (behind[r.conv_id] if r.example is None else got[r.conv_id, r.example]).append(r)
+    for c, turns in _conversations(rows).items():
+        ends = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
+        for e, end in enumerate(ends):
+            parts = sorted(got.pop((c, e)), key=lambda r: r.seq)
+            assert [(p.role, p.text) for p in parts] == turns[:end + 1]  # the whole context, then the target
+            assert [p.loss_text for p in parts] == [None] * end + [turns[end][1]]  # the target alone is trained
+            assert all(p.final == (e == len(ends) - 1) for p in parts)
+            assert [p.start for p in parts] == [sum(len(q.segment) for q in parts[:i]) for i in range(len(parts))]
+        rest = sorted(behind.pop(c, []), key=lambda r: r.seq)
+        assert [(p.role, p.text) for p in rest] == turns[ends[-1] + 1 if ends else 0:]
+        assert all(p.final and p.loss_text is None for p in rest)
+    assert not got and not behind
+    digest = lambda df: sorted(map(tuple, C.conversation_digest(df).collect()), key=str)
+    assert digest(written) == digest(C.write_formatted(spark.createDataFrame(rows, SCHEMA)))
+
+
+def test_op12_reads_written_out_examples(spark, tmp_path, monkeypatch):
+    from slicekit.llm import queries as Q
+    rows = [(1, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(8)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "conversations.parquet"))
+    seen = []
+    monkeypatch.setattr(Q, "conversation_digest", lambda df: seen.append(df) or C.conversation_digest(df))
+    out = {r.conv_id: r for r in Q.op12_chat_format(spark, str(tmp_path)).collect()}
+    # replies 1, 3, 5, 7 with 2, 4, 6, 8 segments, and the two turns of conversation -7
+    assert seen[0].count() == 20 + 2 and out[1].n_turns == 8 and out[1].n_examples == 4
