@@ -13,8 +13,10 @@ only holds their description, which ``read`` restores after a restart.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import EvalConfig
 from ..operators import jobs as J
@@ -24,8 +26,28 @@ from ..session import scratch_path
 from .checkpoint import StageStore
 
 
+#: What a bucket holds of a table at most, about: a task sorts a bucket of both sides of a join.
+BUCKET_ROWS, BUCKET_BYTES = 100_000, 64 << 20
+
+
+def bucket_count(*tables: DataFrame) -> int:
+    """The number of buckets for a store of ``tables``, from their measured rows and text bytes, so that a task's share
+    does not grow with them; at least the session's shuffle partitions.  What a work list expands its items to counts as
+    a table.  One pass over each table; a store that its tables outgrow is written anew with more buckets."""
+    spark = tables[0].sparkSession
+
+    def size(df: DataFrame) -> DataFrame:
+        text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+        return df.agg(F.count(F.lit(1)).alias("n"), F.sum(reduce(lambda a, b: a + b, text, F.lit(0).cast("long"))).alias("bytes"))
+
+    sizes = reduce(DataFrame.unionByName, map(size, tables)).collect()
+    need = max(max(-(-r.n // BUCKET_ROWS), -(-(r.bytes or 0) // BUCKET_BYTES)) for r in sizes)
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(max(need, int(spark.conf.get("spark.sql.shuffle.partitions"))), most)
+
+
 class BucketStore:
-    """``buckets`` should be about (bytes of the largest table) / 256 MB; the same number
+    """``buckets`` should grow with the largest table, see ``bucket_count``; the same number
     must be given when a store is opened again.  Rows with one id lie in one bucket, so
     ``key`` must be a column of many values, such as an item's id."""
 
@@ -62,11 +84,16 @@ class BucketStore:
         """Rows shuffled to the buckets they belong to."""
         return results.repartition(self.buckets, self.key)
 
+    def _merged(self, stage: str) -> DataFrame:
+        """A stage for a join bucket by bucket: few bytes of Parquet can be many rows, and each task would hold all of
+        them if Spark broadcast them by that size."""
+        return self.read(stage).hint("merge")
+
     # -- the operators on stored stages
 
     def pending_infer(self, items: str, cells: str, cfg: EvalConfig, status: str | None = None) -> DataFrame:
         """Cells of ``items`` without an answer, without an exchange."""
-        return J.pending_infer(self.read(items), self.read(cells), cfg, status)
+        return J.pending_infer(self.read(items), self._merged(cells), cfg, status)
 
     def upsert(self, stage: str, results: DataFrame, keys: list[str], payload: list[str]) -> int:
         """The next version of ``stage``, with ``results`` merged in; only the results are shuffled."""
@@ -74,11 +101,11 @@ class BucketStore:
 
     def merge_existing(self, fresh: str, existing: str, allowed_datasets) -> DataFrame:
         """J2 of two stored tables, without an exchange."""
-        return P.merge_existing(self.read(fresh), self.read(existing), allowed_datasets, self.key)
+        return P.merge_existing(self.read(fresh), self._merged(existing), allowed_datasets, self.key)
 
     def nested(self, items: str, cells: str) -> DataFrame:
         """A record for each item with all its cells, without an exchange."""
-        return R.nest_results(self.read(items), self.read(cells))
+        return R.nest_results(self.read(items), self._merged(cells))
 
     def _save(self, stage: str, rows: DataFrame) -> int:
         """Writes rows that lie by bucket already."""

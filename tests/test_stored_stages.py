@@ -80,6 +80,52 @@ def test_results_alone_are_shuffled_into_the_buckets(spark, stored):
         again.read("nothing")
 
 
+def _tables(spark, path, n):
+    docs = [(i, f"q{i} a{i} and more", ("de", "en", "es", "fr")[i % 4], f"src{i % 5}", 20) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, n, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_buckets_grow_with_the_tables_so_that_a_task_does_not(spark, sort_merge, tmp_path, monkeypatch):
+    from slicekit.plans import state_queries as SQ
+    from slicekit.sources import buckets as B
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(B, "BUCKET_ROWS", 100)
+    largest = []
+    for n in (200, 800):
+        at = _tables(spark, tmp_path / str(n), n)
+        store = SQ._stored(spark, at)
+        assert store.buckets == n * 8 // 100
+        jobs = J.expand_jobs(store.read("items"), FIXTURE)
+        largest.append(max(r.n for r in jobs.groupBy(F.spark_partition_id()).agg(F.count("id").alias("n")).collect()))
+        todo = store.pending_infer("items", "cells", FIXTURE, "status")
+        assert "Exchange" not in _plan(todo)
+        want = J.pending_infer(fx.items(spark, at), fx.cells(spark, at), FIXTURE, "status")
+        assert want.count() and _rows(todo.select(*J.CELL_KEY)) == _rows(want.select(*J.CELL_KEY))
+    assert largest[1] < 2 * largest[0]  # four times the items
+
+    # texts count too; few rows stay at the session's partitions, also where there is none
+    long = spark.createDataFrame([(str(i), "x" * 1000) for i in range(50)], "id string, text string")
+    assert B.bucket_count(long) == B.bucket_count(long.limit(0)) == least
+    monkeypatch.setattr(B, "BUCKET_BYTES", 1000)
+    assert B.bucket_count(long.limit(0), long) == 51
+
+
+def test_stored_tables_are_not_broadcast_for_being_small_on_disk(spark, sort_merge, tmp_path):
+    from slicekit.plans import prep_queries
+    from slicekit.plans import state_queries as SQ
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")  # the fixture sets it back
+    at = _tables(spark, tmp_path / "t", 200)
+    store = SQ._stored(spark, at)
+    fresh, existing = prep_queries._fresh_existing(spark, at)
+    store.write("fresh", fresh)
+    store.write("existing", existing)
+    for df in (store.pending_infer("items", "cells", FIXTURE, "status"), store.nested("items", "cells"),
+               store.merge_existing("fresh", "existing", FIXTURE.datasets)):
+        assert "Broadcast" not in _plan(df) and "Exchange" not in _plan(df) and "SortMergeJoin" in _plan(df)
+
+
 def test_an_answer_without_a_value_is_not_asked_for_again(spark):
     items = spark.createDataFrame([("a", "de", "de_native", None, "ok"), ("b", "de", "de_native", None, "error"), ("c", "de", "de_native", None, None)],
                                   "id string, lang string, dataset string, tags string, status string")
