@@ -74,11 +74,17 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items_of(d.join(lab, "doc_id", "left"))
 
 
+@memo_plan
+def plain_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items without their tags (null here): no join with ``labels``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    return _items_of(d.withColumn("_lab", F.lit(None).cast("boolean")))
+
+
 @memo_plan
 def plain_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells without their items' tags (null here): no join with ``labels``."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
-    return cells(spark, sf_dir, _items_of(d.withColumn("_lab", F.lit(None).cast("boolean"))))
+    return cells(spark, sf_dir, plain_items(spark, sf_dir))
 
 
 def _items_of(j: DataFrame) -> DataFrame:
